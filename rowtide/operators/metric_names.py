@@ -1,8 +1,10 @@
 """Bean strings to metric name, type and labels.
 
 Rules are tried in order and the first that matches anywhere in the string wins. A rule is one
-``regexp_replace`` that writes ``name \\x01 type \\x01 label \\x02 value ...`` in a single go;
-no string is parsed twice and nothing leaves the JVM.
+``regexp_replace`` that writes ``name \\x01 type \\x01 table \\x01 label \\x02 value ...`` in a
+single go; no string is parsed twice and nothing leaves the JVM. Attributes with a name of their
+own are looked up in the rule's table afterwards, so a connector needs one rule and not one per
+attribute.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ class MetricRule:
     name: str
     type: str = "GAUGE"
     labels: dict[str, str] = field(default_factory=dict)
+    table: str = ""
 
     def whole(self) -> str:
         return f"^.*?(?:{self.pattern}).*$"
 
     def replacement(self) -> str:
         pairs = [f"{k}{_PAIR}{v}" for k, v in self.labels.items()]
-        return _FIELD.join([self.name, self.type, *pairs])
+        return _FIELD.join([self.name, self.type, self.table, *pairs])
 
 
 # Bean heads of the change-capture connectors, their labels, and the names of the
@@ -63,17 +66,31 @@ POSTGRES_ATTRIBUTES = {
 }
 
 
+def _attribute(names: list[str]) -> str:
+    """One group for the attribute; a name of its own is found even as the start of a longer one."""
+    return "(" + "|".join(names) + "|[^:]+)"
+
+
 def _capture_rules() -> list[MetricRule]:
-    sql = [MetricRule(SQLSERVER_HEAD + a, "debezium_metrics_" + n, t, SQLSERVER_LABELS) for a, n, t in ATTRIBUTES]
-    sql.append(MetricRule(SQLSERVER_HEAD + "([^:]+)", "debezium_metrics_$5", "GAUGE", SQLSERVER_LABELS))
+    every = [a for a, _, _ in ATTRIBUTES]
+    some = [a for a in every if a in POSTGRES_ATTRIBUTES]
     short = {"connector": "$1", "task": "$2", "context": "$3", "plugin": "sqlserver"}
-    sql.append(MetricRule(SQLSERVER_SHORT_HEAD + "([^:]+)", "debezium_metrics_$4", "GAUGE", short))
-    pg = [
-        MetricRule(POSTGRES_HEAD + a, "debezium_metrics_" + n, t, POSTGRES_LABELS)
-        for a, n, t in ATTRIBUTES if a in POSTGRES_ATTRIBUTES
+    return [
+        MetricRule(SQLSERVER_HEAD + _attribute(every), "debezium_metrics_$5", "GAUGE", SQLSERVER_LABELS, "sqlserver"),
+        MetricRule(SQLSERVER_SHORT_HEAD + "([^:]+)", "debezium_metrics_$4", "GAUGE", short),
+        MetricRule(POSTGRES_HEAD + _attribute(some), "debezium_metrics_$3", "GAUGE", POSTGRES_LABELS, "postgres"),
     ]
-    pg.append(MetricRule(POSTGRES_HEAD + "([^:]+)", "debezium_metrics_$3", "GAUGE", POSTGRES_LABELS))
-    return sql + pg
+
+
+def _own_names() -> Column:
+    """(table, raw name) -> name and type."""
+    pairs = []
+    for attribute, name, kind in ATTRIBUTES:
+        for table in ("sqlserver", "postgres"):
+            if table == "sqlserver" or attribute in POSTGRES_ATTRIBUTES:
+                pairs.append(F.lit(f"{table}/debezium_metrics_{attribute}"))
+                pairs.append(F.struct(F.lit("debezium_metrics_" + name).alias("name"), F.lit(kind).alias("type")))
+    return F.create_map(*pairs)
 
 
 # Rules for the worker's own beans, as (bean pattern, name, labels).
@@ -206,10 +223,14 @@ def normalise_metrics(lines: DataFrame, rules: list[MetricRule], bean: str = "be
 
     Names are lower case, and characters a metric name cannot hold become underscores.
     """
-    text = lines.withColumn("_text", _rewritten(F.col(bean), rules)).filter(F.col("_text").isNotNull())
-    parts = F.split("_text", _FIELD, 3)
-    name = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), "[^a-z0-9_:]", "_")
-    pairs = F.get(parts, F.lit(2))
+    # exploding a list of one keeps the optimizer from copying the rules into every use below
+    hit = lines.select("*", F.explode(F.array_compact(F.array(_rewritten(F.col(bean), rules)))).alias("_text"))
+    parts = F.split("_text", _FIELD, 4)
+    raw, kind, table, pairs = (F.get(parts, F.lit(i)) for i in range(4))
+    own = F.try_element_at(_own_names(), F.concat_ws("/", table, raw))
+    plain = F.regexp_replace(F.lower(raw), "[^a-z0-9_:]", "_")
     empty = F.create_map().cast("map<string,string>")
     labels = F.when(pairs.isNull(), empty).otherwise(F.str_to_map(pairs, F.lit(_FIELD), F.lit(_PAIR)))
-    return text.withColumns({"metric": name, "type": F.get(parts, F.lit(1)), "labels": labels}).drop("_text")
+    return hit.withColumns(
+        {"metric": F.coalesce(own["name"], plain), "type": F.coalesce(own["type"], kind), "labels": labels}
+    ).drop("_text")

@@ -161,7 +161,7 @@ def schema_compat(registry: DataFrame) -> DataFrame:
     )
     return new.join(old, ["subject", "version", "name"], "full").select(
         "subject", "version", "name", verdict.alias("verdict"),
-        ~verdict.isin("added_required", "type_changed").alias("compatible"),
+        (~verdict.isin("added_required", "type_changed")).alias("compatible"),
     )
 
 
