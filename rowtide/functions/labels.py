@@ -11,7 +11,7 @@ from rowtide.functions.names import matches_whole
 def series_key(labels: Column) -> Column:
     """One string per label set, independent of the order the labels came in."""
     pairs = F.transform(
-        F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+        F.sort_array(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
     return F.array_join(pairs, ",")
 

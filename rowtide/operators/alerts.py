@@ -113,68 +113,103 @@ def classify(value: Column, bounds: list[tuple[float | None, str]]) -> Column:
     return F.when(value.isNotNull(), out.otherwise(bounds[-1][1]))
 
 
-def _flags(df: DataFrame, rules: list[AlertRule], value: Column, select: bool = True) -> DataFrame:
-    """Every rule of one kind in a single pass over the samples."""
-    found = []
+_RANGE_FN = {"rate": "rate", "sum_rate": "rate", "busy": "rate", "deriv": "deriv", "stalled": "changes"}
+_KEYS = ["alertname", "severity", "for_s", "ts", "node", "series"]
+
+
+def _part(r: AlertRule, cond: Column, node: Column, series: Column, a: Column, b: Column | None = None) -> Column:
+    """What one sample adds to one rule, or null."""
+    none = F.lit(None).cast("double")
+    return F.when(cond, F.struct(
+        F.lit(r.name).alias("alertname"), F.lit(r.severity).alias("severity"), F.lit(r.for_s).alias("for_s"),
+        node.alias("node"), series.alias("series"), a.cast("double").alias("_a"),
+        (none if b is None else b.cast("double")).alias("_b"),
+    ))
+
+
+def _parts(df: DataFrame, parts: list[Column]) -> DataFrame:
+    return df.select("ts", F.inline(F.array_compact(F.array(*parts))))
+
+
+def _plain_parts(r: AlertRule) -> list[Column]:
+    """Contributions of samples as they are: sums, used shares, the second half of ``stalled``."""
+    value, none, blank = F.col("value"), F.lit(None).cast("double"), F.lit("")
+    other = (F.col("metric") == r.other) & matcher(F.col("labels"), r.eq)
+    if r.kind == "sum":
+        return [_part(r, r.selects(), blank, blank, value)]
+    if r.kind == "used":
+        return [_part(r, r.selects(), F.col("node"), F.col("instance"), value),
+                _part(r, other, F.col("node"), F.col("instance"), none, value)]
+    return [_part(r, other & (value > 0), F.col("node"), F.col("series"), none, value)]
+
+
+def _ranged_part(r: AlertRule) -> Column:
+    a, blank = F.col(f"_{_RANGE_FN[r.kind]}_{r.window_s}"), F.lit("")
+    cond = r.selects() & a.isNotNull()
+    if r.kind == "sum_rate":
+        return _part(r, cond, blank, blank, a)
+    return _part(r, cond, F.col("node"), F.col("instance" if r.kind == "busy" else "series"), a)
+
+
+def _grouped_value(r: AlertRule) -> Column:
+    """The rule's value from the sums of a group."""
+    return {
+        "sum": F.col("_sum"), "sum_rate": F.col("_sum"), "rate": F.col("_sum"), "deriv": F.col("_sum"),
+        "busy": 100 - F.col("_avg") * 100,
+        "used": (1 - F.col("_max") / F.col("_other")) * 100,
+        "stalled": F.when(F.col("_other").isNotNull(), F.col("_max")),
+    }[r.kind]
+
+
+def _by_rule(rules: list[AlertRule], make) -> Column:
+    out = None
     for r in rules:
-        entry = F.struct(
-            F.lit(r.name).alias("alertname"), F.lit(r.severity).alias("severity"), F.lit(r.for_s).alias("for_s"),
-            F.coalesce(r.met(value), F.lit(False)).alias("active"),
-        )
-        found.append(F.when(r.selects(), entry) if select else entry)
-    return df.select("ts", "node", "series", value.alias("value"), F.inline(F.array_compact(F.array(*found))))
+        cond = F.col("alertname") == r.name
+        out = F.when(cond, make(r)) if out is None else out.when(cond, make(r))
+    return out
 
 
 def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us: int = DAY) -> DataFrame:
     """Flags ``ts, alertname, severity, node, series, for_s, value, active`` of all rules.
 
-    Rules are grouped by kind (and window), so the samples are read once per group and not once
-    per rule. Rules that aggregate over series have the empty series and node.
+    The number of passes over the samples does not depend on the number of rules. Threshold rules
+    are one pass without a shuffle. All range functions are computed together in one layout
+    (series and chunk of time), and what the samples add to a rule is summed per rule, instant
+    and series, which also replaces the joins between two metrics. Rules that aggregate over
+    series have the empty series and node.
     """
     rules = ALERT_RULES if rules is None else rules
-    base = tm.with_series(samples).withColumn("node", label(F.col("labels"), "node"))
-    out = []
-
-    def of(kind: str) -> list[AlertRule]:
-        return [r for r in rules if r.kind == kind]
-
-    def need(group: list[AlertRule]) -> DataFrame:
-        return base.filter(F.col("metric").isin(sorted({r.metric for r in group})))
-
-    def total(df: DataFrame, r: AlertRule, value: str) -> DataFrame:
-        sums = df.filter(r.selects()).groupBy("ts").agg(F.sum(value).alias("value"))
-        named = sums.withColumns({"node": F.lit(""), "series": F.lit("")})
-        return _flags(named, [r], F.col("value"), select=False)
-
-    if of("value"):
-        out.append(_flags(need(of("value")), of("value"), F.col("value")))
-    windows = sorted({r.window_s for r in rules if r.kind in ("rate", "sum_rate")})
-    for w in windows:
-        group = [r for r in rules if r.kind in ("rate", "sum_rate") and r.window_s == w]
-        rates = tm.rate(need(group), w, chunk_us=chunk_us)
-        single = [r for r in group if r.kind == "rate"]
-        if single:
-            out.append(_flags(rates, single, F.col("rate")))
-        out += [total(rates, r, "rate") for r in group if r.kind == "sum_rate"]
-    out += [total(need([r]), r, "value") for r in of("sum")]
-    for r in of("deriv"):
-        out.append(_flags(tm.deriv(need([r]).filter(r.selects()), r.window_s, chunk_us=chunk_us), [r], F.col("deriv")))
-    for r in of("stalled"):
-        still = tm.changes(need([r]).filter(r.selects()), r.window_s, chunk_us=chunk_us)
-        left = base.filter((F.col("metric") == r.other) & matcher(F.col("labels"), r.eq) & (F.col("value") > 0))
-        joined = still.join(
-            left.select("ts", "series").distinct().withColumn("_left", F.lit(True)), ["ts", "series"], "left"
-        )
-        value = F.when(F.col("_left"), F.col("changes").cast("double"))
-        out.append(_flags(joined, [r], value))
-    for r in of("used"):
-        used = tm.used_percent(samples, r.metric, r.other, ["instance", "node"], r.eq)
-        out.append(_flags(used.withColumn("series", F.col("instance")), [r], F.col("value"), select=False))
-    for r in of("busy"):
-        idle = tm.rate(need([r]).filter(r.selects()), r.window_s, chunk_us=chunk_us)
-        busy = tm.busy_percent(idle, ["instance", "node"])
-        out.append(_flags(busy.withColumn("series", F.col("instance")), [r], F.col("value"), select=False))
-    return union_all(out)
+    base = tm.with_series(samples).withColumns(
+        {"node": label(F.col("labels"), "node"), "instance": label(F.col("labels"), "instance")}
+    )
+
+    def of(metrics: list[str]) -> DataFrame:
+        return base.filter(F.col("metric").isin(sorted(set(metrics))))
+
+    direct = [r for r in rules if r.kind == "value"]
+    grouped = [r for r in rules if r.kind != "value"]
+    plain = [r for r in grouped if r.kind in ("sum", "used", "stalled")]
+    ranged = [r for r in grouped if r.kind in _RANGE_FN]
+    out, adds = [], []
+    if direct:
+        seen = _parts(of([r.metric for r in direct]), [
+            _part(r, r.selects(), F.col("node"), F.col("series"), F.col("value")) for r in direct])
+        out.append(seen.select(*_KEYS, F.col("_a").alias("value")))
+    if plain:
+        names = [r.metric for r in plain if r.kind != "stalled"] + [r.other for r in plain if r.other]
+        adds.append(_parts(of(names), [p for r in plain for p in _plain_parts(r)]))
+    if ranged:
+        specs = {f"_{_RANGE_FN[r.kind]}_{r.window_s}": (_RANGE_FN[r.kind], r.window_s) for r in ranged}
+        adds.append(_parts(
+            tm.range_columns(of([r.metric for r in ranged]), specs, chunk_us=chunk_us), [_ranged_part(r) for r in ranged]))
+    if adds:
+        sums = union_all(adds).groupBy(*_KEYS).agg(
+            F.sum("_a").alias("_sum"), F.avg("_a").alias("_avg"), F.max("_a").alias("_max"), F.max("_b").alias("_other"))
+        paired = ~F.col("alertname").isin([r.name for r in grouped if r.kind == "used"]) | F.col("_other").isNotNull()
+        whole = sums.filter(F.col("_max").isNotNull() & paired)
+        out.append(whole.select(*_KEYS, _by_rule(grouped, _grouped_value).alias("value")))
+    met = _by_rule(rules, lambda r: r.met(F.col("value")))
+    return union_all(out).withColumn("active", F.coalesce(met, F.lit(False)))
 
 
 def hold_for(flags: DataFrame, step_s: int, by: list[str] = FLAG, chunk_us: int = DAY) -> DataFrame:
@@ -219,7 +254,7 @@ def _by_severity(table: dict[str, int], default: int) -> Column:
     out = F.lit(default)
     for sev, v in table.items():
         out = F.when(F.col("severity") == sev, v).otherwise(out)
-    return out * 1_000_000
+    return out.cast("bigint") * 1_000_000
 
 
 def notifications(instants: DataFrame, step_s: int, group: list[str] = ("alertname", "severity", "node"),

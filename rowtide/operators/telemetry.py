@@ -24,6 +24,41 @@ def select_series(samples: DataFrame, metric: str, eq=None, regex=None, not_rege
     return samples.filter((F.col("metric") == metric) & matcher(F.col("labels"), eq, regex, not_regex))
 
 
+RangeSpecs = dict[str, tuple[str, int]]
+
+
+def range_columns(samples: DataFrame, specs: RangeSpecs, by: list[str] = SERIES, chunk_us: int = DAY) -> DataFrame:
+    """Several range functions at once, name -> (function, window in seconds), with one shuffle.
+
+    Functions: ``rate``, ``changes``, ``deriv``, and ``avg``, ``min``, ``max``, ``sum``, ``count``
+    of the samples in the window.
+    """
+    needs_previous = any(fn in ("rate", "changes") for fn, _ in specs.values())
+    f = Frames(samples, by, micros(F.col("ts")), max(seconds(w) for _, w in specs.values()), chunk_us,
+               carry=["value"] if needs_previous else None)
+    rows = f.rows
+    if needs_previous:
+        prev = F.lag("value").over(f.ordered)
+        grown = F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
+        moved = F.when(F.col("value") != prev, 1).otherwise(0)
+        rows = rows.withColumns({"_inc": grown, "_moved": moved})
+    if any(fn == "deriv" for fn, _ in specs.values()):
+        rows = rows.withColumn("_x", (F.col("_t") - F.col("_chunk")) / F.lit(float(SECOND)))
+    simple = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+    made = {}
+    for name, (fn, window_s) in specs.items():
+        w = f.ordered.rangeBetween(-(seconds(window_s) - 1), 0)
+        if fn == "rate":
+            made[name] = F.sum("_inc").over(w) / F.lit(float(window_s))
+        elif fn == "changes":
+            made[name] = F.sum("_moved").over(w)
+        elif fn == "deriv":
+            made[name] = F.regr_slope("value", "_x").over(w)
+        else:
+            made[name] = simple[fn]("value").over(w)
+    return f.own(rows.withColumns(made)).drop("_inc", "_moved", "_x")
+
+
 def rate(samples: DataFrame, window_s: int, by: list[str] = SERIES, chunk_us: int = DAY) -> DataFrame:
     """Counter increase per second over the window.
 
@@ -31,34 +66,23 @@ def rate(samples: DataFrame, window_s: int, by: list[str] = SERIES, chunk_us: in
     increase is the new value. An increase counts at the time of its later sample, and nothing
     is extrapolated to the window borders. The first sample of a series has no rate.
     """
-    f = Frames(samples, by, micros(F.col("ts")), seconds(window_s), chunk_us, carry=["value"])
-    prev = F.lag("value").over(f.ordered)
-    grown = F.when(prev.isNull(), None).when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
-    out = f.rows.withColumn("_inc", grown).withColumn("rate", F.sum("_inc").over(f.frame) / F.lit(float(window_s)))
-    return f.own(out).drop("_inc").filter(F.col("rate").isNotNull())
+    out = range_columns(samples, {"rate": ("rate", window_s)}, by, chunk_us)
+    return out.filter(F.col("rate").isNotNull())
 
 
 def over_time(samples: DataFrame, fn: str, window_s: int, by: list[str] = SERIES, chunk_us: int = DAY) -> DataFrame:
     """avg, min, max, sum or count of the samples in the window."""
-    agg = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}[fn]
-    f = Frames(samples, by, micros(F.col("ts")), seconds(window_s), chunk_us)
-    return f.own(f.rows.withColumn(f"{fn}_over_time", agg("value").over(f.frame)))
+    return range_columns(samples, {f"{fn}_over_time": (fn, window_s)}, by, chunk_us)
 
 
 def deriv(samples: DataFrame, window_s: int, by: list[str] = SERIES, chunk_us: int = DAY) -> DataFrame:
     """Least-squares slope per second of the samples in the window; null with a single sample."""
-    f = Frames(samples, by, micros(F.col("ts")), seconds(window_s), chunk_us)
-    x = (F.col("_t") - F.col("_chunk")) / F.lit(float(SECOND))
-    return f.own(f.rows.withColumn("_x", x).withColumn("deriv", F.regr_slope("value", "_x").over(f.frame))).drop("_x")
+    return range_columns(samples, {"deriv": ("deriv", window_s)}, by, chunk_us)
 
 
 def changes(samples: DataFrame, window_s: int, by: list[str] = SERIES, chunk_us: int = DAY) -> DataFrame:
     """How often the value differs from the sample before it, within the window."""
-    f = Frames(samples, by, micros(F.col("ts")), seconds(window_s), chunk_us, carry=["value"])
-    prev = F.lag("value").over(f.ordered)
-    moved = F.when(prev.isNotNull() & (F.col("value") != prev), 1).otherwise(0)
-    out = f.rows.withColumn("_moved", moved).withColumn("changes", F.sum("_moved").over(f.frame))
-    return f.own(out).drop("_moved")
+    return range_columns(samples, {"changes": ("changes", window_s)}, by, chunk_us)
 
 
 def agg_series(samples: DataFrame, fn: str, by: list[str], value: str = "value") -> DataFrame:

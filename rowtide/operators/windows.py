@@ -44,17 +44,17 @@ class Frames:
         by, t = self.by, F.col("_t")
         # the chunk after _seen is the first whose frames do not reach back to the row
         seen = _start(t + (self.frame_us - 1), size)
-        cells = base.groupBy(*by, home.alias("_home"), seen.alias("_seen")).agg(
-            F.max_by(F.struct("_t", *carry), t).alias("_tail")
-        )
-        tails = cells.select(*by, (F.col("_seen") + size).alias("_pos"), F.lit(0).alias("_rank"), "_tail")
-        empty = F.lit(None).cast(cells.schema["_tail"].dataType).alias("_tail")
-        keys = cells.select(*by, F.col("_home").alias("_pos"), F.lit(1).alias("_rank"), empty).distinct()
-        # one row per series and chunk from here on
-        w = Window.partitionBy(*by).orderBy("_pos", "_rank", F.col("_tail._t"))
-        last = F.last("_tail", ignorenulls=True).over(w)
-        found = tails.unionByName(keys).withColumn("_tail", last)
-        found = found.filter((F.col("_rank") == 1) & F.col("_tail").isNotNull())
+        newest = [F.max(t).alias("_t"), *[F.max_by(c, t).alias(c) for c in carry]]
+        cells = base.groupBy(*by, home.alias("_home"), seen.alias("_seen")).agg(*newest)
+        tail = F.struct("_t", *carry)
+        empty = F.lit(None).cast(cells.select(tail.alias("x")).schema["x"].dataType)
+        # one row per series and chunk from here on: what a cell leaves behind, and who asks for it
+        leaves = F.struct((F.col("_seen") + size).alias("_pos"), F.lit(0).alias("_rank"), tail.alias("_tail"))
+        asks = F.struct(F.col("_home").alias("_pos"), F.lit(1).alias("_rank"), empty.alias("_tail"))
+        moves = cells.select(*by, F.inline(F.array(leaves, asks)))
+        w = Window.partitionBy(*by).orderBy("_pos", "_rank", "_tail._t").rowsBetween(Window.unboundedPreceding, 0)
+        found = moves.withColumn("_tail", F.last("_tail", ignorenulls=True).over(w))
+        found = found.filter((F.col("_rank") == 1) & F.col("_tail").isNotNull()).dropDuplicates([*by, "_pos"])
         return found.select(*by, "_tail.*", F.col("_pos").alias("_chunk"), F.lit(False).alias("_own"))
 
     @property

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.sources.changes import source_struct
-from rowtide.sources.tables import read_table
+from rowtide.sources.tables import read_table, spread
 
 TOPIC = "sqlserver.shop.dbo.orders"
 NEW_KEY = 1_000_000_000_000
@@ -26,9 +26,10 @@ def _image(**changed: Column) -> Column:
     return F.struct(*[changed.get(c, F.col(c)).alias(c) for c in ORDER_COLS])
 
 
-def orders_log(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshot of ``orders`` and changes to it, with redeliveries and tombstones."""
-    df = orders(spark, root)
+def orders_log(spark: SparkSession, root: str, df: DataFrame | None = None) -> DataFrame:
+    """Snapshot of ``orders`` (or ``df``, its stream) and changes to it, with redeliveries and
+    tombstones."""
+    df = orders(spark, root) if df is None else df
     k = F.col("o_orderkey")
     none = F.lit(None).cast(df.schema)
     row, text = _image(), F.lit(None).cast("string")
@@ -104,9 +105,9 @@ def _orders_log_sql() -> str:
     )
 
 
-def events_log(spark: SparkSession, root: str) -> DataFrame:
+def events_log(spark: SparkSession, root: str, df: DataFrame | None = None) -> DataFrame:
     """User activity as change events; arrival is 0 to 6 seconds after the event."""
-    ev = read_table(spark, root, "events")
+    ev = read_table(spark, root, "events") if df is None else df
     op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
     topic = "sqlserver.shop.dbo.activity"
     return ev.select(
@@ -296,9 +297,10 @@ SCRAPE = [
 LABELS = sorted({name for _, labels, _, _ in SCRAPE for name in labels})
 
 
-def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None) -> DataFrame:
-    """Samples ``ts, metric, labels, value``; one scan of ``events``, whatever is asked for."""
-    ev = read_table(spark, root, "events").select(
+def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None, df: DataFrame | None = None) -> DataFrame:
+    """Samples ``ts, metric, labels, value``; one scan of ``events`` (or its stream ``df``),
+    whatever is asked for."""
+    ev = (read_table(spark, root, "events") if df is None else df).select(
         ((F.col("event_id") - F.col("event_id") % 8) / 8).cast("bigint").alias("tick"),
         (F.col("event_id") % 8).alias("g"), F.floor("value").cast("bigint").alias("v"),
     )
@@ -312,7 +314,7 @@ def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None) ->
             f"'value', cast({value} as double)) end"
         ))
     at = F.timestamp_micros(F.col("tick") * 15_000_000 + ORIGIN_US).cast("timestamp_ntz")
-    return ev.select(at.alias("ts"), F.inline(F.array_compact(F.array(*found))))
+    return spread(ev).select(at.alias("ts"), F.inline(F.array_compact(F.array(*found))))
 
 
 def scrape_sql(metrics: list[str]) -> str:

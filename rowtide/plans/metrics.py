@@ -15,6 +15,9 @@ HOUR = 3_600_000_000
 MESSAGES = "kafka_server_brokertopicmetrics_messagesinpersec"
 LAG = "debezium_metrics_milliseconds_behind_source"
 RECORDS_LAG = "kafka_consumer_consumer_fetch_manager_metrics_records_lag"
+MEMORY = ["node_memory_MemAvailable_bytes", "node_memory_MemTotal_bytes"]
+DISK = ["node_filesystem_avail_bytes", "node_filesystem_size_bytes"]
+QUEUE = ["debezium_metrics_queue_remaining_capacity", "debezium_metrics_queue_total_capacity"]
 ROWS, LEFT = "debezium_metrics_rows_scanned", "debezium_metrics_remaining_table_count"
 
 
@@ -27,7 +30,7 @@ def tag(name):
 
 
 def select_series(spark, root):
-    got = tm.select_series(scrape(spark, root), LAG, {"context": "streaming"}, {"connector": "c[0-5]"}, {"node": "node-2"})
+    got = tm.select_series(scrape(spark, root, [LAG]), LAG, {"context": "streaming"}, {"connector": "c[0-5]"}, {"node": "node-2"})
     return got.select(sec().alias("sec"), tag("connector"), "value")
 
 
@@ -73,13 +76,12 @@ def or_zero(spark, root):
 
 
 def memory_percent(spark, root):
-    out = tm.used_percent(scrape(spark, root), "node_memory_MemAvailable_bytes", "node_memory_MemTotal_bytes", ["node"])
+    out = tm.used_percent(scrape(spark, root, MEMORY), *MEMORY, ["node"])
     return out.select(sec().alias("sec"), "node", "value")
 
 
 def disk_percent(spark, root):
-    out = tm.used_percent(scrape(spark, root), "node_filesystem_avail_bytes", "node_filesystem_size_bytes",
-                          ["instance", "node"], {"mountpoint": "/data/kafka"})
+    out = tm.used_percent(scrape(spark, root, DISK), *DISK, ["instance", "node"], {"mountpoint": "/data/kafka"})
     return out.select(sec().alias("sec"), "node", "value")
 
 
@@ -89,8 +91,7 @@ def cpu_busy(spark, root):
 
 
 def queue_use(spark, root):
-    out = tm.queue_use(scrape(spark, root), "debezium_metrics_queue_remaining_capacity",
-                       "debezium_metrics_queue_total_capacity", ["connector"])
+    out = tm.queue_use(scrape(spark, root, QUEUE), *QUEUE, ["connector"])
     return out.select(sec().alias("sec"), "connector", "value")
 
 
@@ -124,7 +125,7 @@ def last_value(spark, root):
 
 
 def label_values(spark, root):
-    return tm.label_values(scrape(spark, root), LAG, "connector")
+    return tm.label_values(scrape(spark, root, [LAG]), LAG, "connector")
 
 
 def target_labels(spark, root):
