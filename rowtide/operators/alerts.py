@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.functions.clock import from_micros, micros, seconds
-from rowtide.functions.labels import label, matcher
+from rowtide.functions.labels import label
+from rowtide.functions.names import whole
 from rowtide.operators import telemetry as tm
 from rowtide.operators.windows import DAY, asof_join, merge_runs
 from rowtide.sources.changes import union_all
@@ -34,11 +35,25 @@ class AlertRule:
     window_s: int = 0
     other: str = ""
 
-    def met(self, value: Column) -> Column:
-        return {">": value > self.threshold, "==": value == self.threshold}[self.op]
+    def met(self) -> str:
+        return f"value {'=' if self.op == '==' else self.op} {float(self.threshold)}D"
 
-    def selects(self) -> Column:
-        return (F.col("metric") == self.metric) & matcher(F.col("labels"), self.eq, self.regex, self.not_regex)
+    def selects(self, metric: str | None = None) -> str:
+        """Condition on ``metric`` and ``labels``, as SQL text."""
+        conds = [f"metric = {text(metric or self.metric)}"]
+        conds += [f"{_label(k)} = {text(v)}" for k, v in self.eq.items()]
+        conds += [f"{_label(k)} rlike {text(whole(p))}" for k, p in self.regex.items()]
+        conds += [f"NOT {_label(k)} rlike {text(whole(p))}" for k, p in self.not_regex.items()]
+        return " AND ".join(conds)
+
+
+def text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _label(name: str) -> str:
+    return f"coalesce(try_element_at(labels, {text(name)}), '')"
 
 
 _STREAMING, _SNAPSHOT = {"context": "streaming"}, {"context": "snapshot"}
@@ -117,56 +132,50 @@ _RANGE_FN = {"rate": "rate", "sum_rate": "rate", "busy": "rate", "deriv": "deriv
 _KEYS = ["alertname", "severity", "for_s", "ts", "node", "series"]
 
 
-def _part(r: AlertRule, cond: Column, node: Column, series: Column, a: Column, b: Column | None = None) -> Column:
-    """What one sample adds to one rule, or null."""
-    none = F.lit(None).cast("double")
-    return F.when(cond, F.struct(
-        F.lit(r.name).alias("alertname"), F.lit(r.severity).alias("severity"), F.lit(r.for_s).alias("for_s"),
-        node.alias("node"), series.alias("series"), a.cast("double").alias("_a"),
-        (none if b is None else b.cast("double")).alias("_b"),
-    ))
+def _part(r: AlertRule, cond: str, node: str, series: str, a: str, b: str = "NULL") -> str:
+    """What one sample adds to one rule, or null. SQL text: there are many of these, and one text
+    is far quicker to hand over than as many column objects."""
+    return (
+        f"CASE WHEN {cond} THEN named_struct('alertname', {text(r.name)}, 'severity', {text(r.severity)}, "
+        f"'for_s', {r.for_s}, 'node', {node}, 'series', {series}, "
+        f"'_a', CAST({a} AS DOUBLE), '_b', CAST({b} AS DOUBLE)) END"
+    )
 
 
-def _parts(df: DataFrame, parts: list[Column]) -> DataFrame:
-    return df.select("ts", F.inline(F.array_compact(F.array(*parts))))
+def _parts(df: DataFrame, parts: list[str]) -> DataFrame:
+    return df.selectExpr("ts", f"inline(array_compact(array({', '.join(parts)})))")
 
 
-def _plain_parts(r: AlertRule) -> list[Column]:
+def _plain_parts(r: AlertRule) -> list[str]:
     """Contributions of samples as they are: sums, used shares, the second half of ``stalled``."""
-    value, none, blank = F.col("value"), F.lit(None).cast("double"), F.lit("")
-    other = (F.col("metric") == r.other) & matcher(F.col("labels"), r.eq)
     if r.kind == "sum":
-        return [_part(r, r.selects(), blank, blank, value)]
+        return [_part(r, r.selects(), "''", "''", "value")]
     if r.kind == "used":
-        return [_part(r, r.selects(), F.col("node"), F.col("instance"), value),
-                _part(r, other, F.col("node"), F.col("instance"), none, value)]
-    return [_part(r, other & (value > 0), F.col("node"), F.col("series"), none, value)]
+        return [_part(r, r.selects(), "node", "instance", "value"),
+                _part(r, r.selects(r.other), "node", "instance", "NULL", "value")]
+    return [_part(r, r.selects(r.other) + " AND value > 0", "node", "series", "NULL", "value")]
 
 
-def _ranged_part(r: AlertRule) -> Column:
-    a, blank = F.col(f"_{_RANGE_FN[r.kind]}_{r.window_s}"), F.lit("")
-    cond = r.selects() & a.isNotNull()
+def _ranged_part(r: AlertRule) -> str:
+    a = f"_{_RANGE_FN[r.kind]}_{r.window_s}"
+    cond = f"{r.selects()} AND {a} IS NOT NULL"
     if r.kind == "sum_rate":
-        return _part(r, cond, blank, blank, a)
-    return _part(r, cond, F.col("node"), F.col("instance" if r.kind == "busy" else "series"), a)
+        return _part(r, cond, "''", "''", a)
+    return _part(r, cond, "node", "instance" if r.kind == "busy" else "series", a)
 
 
-def _grouped_value(r: AlertRule) -> Column:
-    """The rule's value from the sums of a group."""
-    return {
-        "sum": F.col("_sum"), "sum_rate": F.col("_sum"), "rate": F.col("_sum"), "deriv": F.col("_sum"),
-        "busy": 100 - F.col("_avg") * 100,
-        "used": (1 - F.col("_max") / F.col("_other")) * 100,
-        "stalled": F.when(F.col("_other").isNotNull(), F.col("_max")),
-    }[r.kind]
+# the rule's value from the sums of a group, by kind
+_GROUPED = {
+    "sum": "_sum", "sum_rate": "_sum", "rate": "_sum", "deriv": "_sum",
+    "busy": "100 - _avg * 100",
+    "used": "(1 - _max / _other) * 100",
+    "stalled": "IF(_other IS NOT NULL, _max, NULL)",
+}
 
 
 def _by_rule(rules: list[AlertRule], make) -> Column:
-    out = None
-    for r in rules:
-        cond = F.col("alertname") == r.name
-        out = F.when(cond, make(r)) if out is None else out.when(cond, make(r))
-    return out
+    arms = " ".join(f"WHEN {text(r.name)} THEN {make(r)}" for r in rules)
+    return F.expr(f"CASE alertname {arms} END")
 
 
 def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us: int = DAY) -> DataFrame:
@@ -193,7 +202,7 @@ def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us:
     out, adds = [], []
     if direct:
         seen = _parts(of([r.metric for r in direct]), [
-            _part(r, r.selects(), F.col("node"), F.col("series"), F.col("value")) for r in direct])
+            _part(r, r.selects(), "node", "series", "value") for r in direct])
         out.append(seen.select(*_KEYS, F.col("_a").alias("value")))
     if plain:
         names = [r.metric for r in plain if r.kind != "stalled"] + [r.other for r in plain if r.other]
@@ -207,8 +216,8 @@ def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us:
             F.sum("_a").alias("_sum"), F.avg("_a").alias("_avg"), F.max("_a").alias("_max"), F.max("_b").alias("_other"))
         paired = ~F.col("alertname").isin([r.name for r in grouped if r.kind == "used"]) | F.col("_other").isNotNull()
         whole = sums.filter(F.col("_max").isNotNull() & paired)
-        out.append(whole.select(*_KEYS, _by_rule(grouped, _grouped_value).alias("value")))
-    met = _by_rule(rules, lambda r: r.met(F.col("value")))
+        out.append(whole.select(*_KEYS, _by_rule(grouped, lambda r: _GROUPED[r.kind]).alias("value")))
+    met = _by_rule(rules, lambda r: r.met())
     return union_all(out).withColumn("active", F.coalesce(met, F.lit(False)))
 
 

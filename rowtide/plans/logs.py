@@ -22,54 +22,47 @@ def orders(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "orders")
 
 
-def _image(**changed: Column) -> Column:
-    return F.struct(*[changed.get(c, F.col(c)).alias(c) for c in ORDER_COLS])
+def _image(changed: dict[str, str] | None) -> str:
+    if changed is None:
+        return f"CAST(NULL AS STRUCT<{_ORDER_TYPES}>)"
+    return "named_struct(" + ", ".join(f"'{c}', {changed.get(c, c)}" for c in ORDER_COLS) + ")"
+
+
+_ORDER_TYPES = (
+    "o_orderkey: BIGINT, o_custkey: BIGINT, o_orderstatus: STRING, o_totalprice: DOUBLE, o_orderdate: TIMESTAMP_NTZ, "
+    "o_orderpriority: STRING"
+)
+# lsn, op, key, condition, row before, row after; a row is the order with some values changed
+_ORDER_EVENTS = [
+    (0, "'r'", "o_orderkey", "true", None, {}),
+    (10, "'u'", "o_orderkey", "o_orderkey % 3 = 0", {}, {"o_orderstatus": "'U'"}),
+    (10, "'u'", "o_orderkey", "o_orderkey % 21 = 0", {}, {"o_orderstatus": "'U'"}),
+    (20, "'u'", "o_orderkey", "o_orderkey % 6 = 0", {"o_orderstatus": "'U'"},
+     {"o_orderstatus": "'U'", "o_totalprice": "o_totalprice + 1.0D"}),
+    (30, "'d'", "o_orderkey", "o_orderkey % 10 = 0", {}, None),
+    (31, "CAST(NULL AS STRING)", "o_orderkey", "o_orderkey % 10 = 0", None, None),
+    (40, "'c'", "o_orderkey", "o_orderkey % 20 = 0", None, {"o_orderstatus": "'R'"}),
+    (50, "'c'", f"o_orderkey + {NEW_KEY}", "o_orderkey % 11 = 0", None, {"o_orderkey": f"o_orderkey + {NEW_KEY}"}),
+]
 
 
 def orders_log(spark: SparkSession, root: str, df: DataFrame | None = None) -> DataFrame:
     """Snapshot of ``orders`` (or ``df``, its stream) and changes to it, with redeliveries and
     tombstones."""
     df = orders(spark, root) if df is None else df
-    k = F.col("o_orderkey")
-    none = F.lit(None).cast(df.schema)
-    row, text = _image(), F.lit(None).cast("string")
-    touched = _image(o_orderstatus=F.lit("U"))
-    dearer = _image(o_orderstatus=F.lit("U"), o_totalprice=F.col("o_totalprice") + 1.0)
-    again = _image(o_orderstatus=F.lit("R"))
-    fresh = _image(o_orderkey=k + NEW_KEY)
-
-    def entry(lsn: int, op: Column, key: Column, before: Column, after: Column) -> Column:
-        return F.struct(
-            F.lit(lsn).cast("bigint").alias("lsn"), op.alias("op"), key.cast("bigint").alias("k"),
-            before.alias("before"), after.alias("after"),
-        )
-
-    update = entry(10, F.lit("u"), k, row, touched)
-    entries = F.array_compact(F.array(
-        entry(0, F.lit("r"), k, none, row),
-        F.when(k % 3 == 0, update),
-        F.when((k % 3 == 0) & (k % 7 == 0), update),
-        F.when(k % 6 == 0, entry(20, F.lit("u"), k, touched, dearer)),
-        F.when(k % 10 == 0, entry(30, F.lit("d"), k, row, none)),
-        F.when(k % 10 == 0, entry(31, text, k, none, none)),
-        F.when(k % 20 == 0, entry(40, F.lit("c"), k, none, again)),
-        F.when(k % 11 == 0, entry(50, F.lit("c"), k + NEW_KEY, none, fresh)),
-    ))
-    flat = df.select("o_orderdate", F.inline(entries))
-    lsn, key = F.col("lsn"), F.col("k")
-    origin = F.when(
-        key % 4 == 0, F.create_map(F.lit("__origin"), F.lit("site_a"), F.lit("trace"), F.lit("t"))
+    entries = ", ".join(
+        f"CASE WHEN {cond} THEN named_struct('lsn', {lsn}L, 'op', {op}, 'k', {key}, 'before', {_image(before)}, "
+        f"'after', {_image(after)}) END"
+        for lsn, op, key, cond, before, after in _ORDER_EVENTS
     )
-    return flat.select(
-        F.lit(TOPIC).alias("topic"),
-        (key % 3).cast("int").alias("partition"),
-        (lsn * F.lit(STRIDE) + key).alias("offset"),
-        (F.col("o_orderdate") + F.make_dt_interval(secs=lsn)).alias("ts"),
-        F.struct(key.alias("o_orderkey")).alias("key"),
+    flat = spread(df).selectExpr("o_orderdate", f"inline(array_compact(array({entries})))")
+    return flat.selectExpr(
+        f"'{TOPIC}' AS topic", "CAST(k % 3 AS INT) AS partition", f"lsn * {STRIDE} + k AS offset",
+        "o_orderdate + make_dt_interval(0, 0, 0, lsn) AS ts", "named_struct('o_orderkey', k) AS key",
         "op", "before", "after",
-        source_struct(TOPIC, lsn, F.col("o_orderdate"), False).alias("source"),
-        origin.alias("headers"),
-        F.lit(2).alias("schema_version"),
+        "named_struct('db', 'shop', 'schema', 'dbo', 'table', 'orders', 'lsn', lsn, 'seq', 0L, 'ts', o_orderdate, "
+        "'snapshot', false) AS source",
+        "IF(k % 4 = 0, map('__origin', 'site_a', 'trace', 't'), NULL) AS headers", "2 AS schema_version",
     )
 
 
