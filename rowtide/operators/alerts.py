@@ -182,10 +182,10 @@ def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us:
     """Flags ``ts, alertname, severity, node, series, for_s, value, active`` of all rules.
 
     The number of passes over the samples does not depend on the number of rules. Threshold rules
-    are one pass without a shuffle. All range functions are computed together in one layout
-    (series and chunk of time), and what the samples add to a rule is summed per rule, instant
-    and series, which also replaces the joins between two metrics. Rules that aggregate over
-    series have the empty series and node.
+    are one pass without a shuffle. Range functions are laid out by series and chunk of time, once
+    per function, and what the samples add to a rule is summed per rule, instant and series, which
+    also replaces the joins between two metrics. Rules that aggregate over series have the empty
+    series and node.
     """
     rules = ALERT_RULES if rules is None else rules
     base = tm.with_series(samples).withColumns(
@@ -207,10 +207,13 @@ def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us:
     if plain:
         names = [r.metric for r in plain if r.kind != "stalled"] + [r.other for r in plain if r.other]
         adds.append(_parts(of(names), [p for r in plain for p in _plain_parts(r)]))
-    if ranged:
-        specs = {f"_{_RANGE_FN[r.kind]}_{r.window_s}": (_RANGE_FN[r.kind], r.window_s) for r in ranged}
-        adds.append(_parts(
-            tm.range_columns(of([r.metric for r in ranged]), specs, chunk_us=chunk_us), [_ranged_part(r) for r in ranged]))
+    for fn in sorted({_RANGE_FN[r.kind] for r in ranged}):
+        # one layout per function: a frame costs its length for every row, so rows of metrics that
+        # do not need it stay out
+        mine = [r for r in ranged if _RANGE_FN[r.kind] == fn]
+        specs = {f"_{fn}_{r.window_s}": (fn, r.window_s) for r in mine}
+        rows = tm.range_columns(of([r.metric for r in mine]), specs, chunk_us=chunk_us)
+        adds.append(_parts(rows, [_ranged_part(r) for r in mine]))
     if adds:
         sums = union_all(adds).groupBy(*_KEYS).agg(
             F.sum("_a").alias("_sum"), F.avg("_a").alias("_avg"), F.max("_a").alias("_max"), F.max("_b").alias("_other"))

@@ -17,6 +17,9 @@ SERIES = ["metric", "series"]
 
 
 def with_series(samples: DataFrame) -> DataFrame:
+    """Add the series key; a store that keeps it next to the labels saves sorting them again."""
+    if "series" in samples.columns:
+        return samples
     return samples.withColumn("series", series_key(F.col("labels")))
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from rowtide.operators import alerts as al
 from rowtide.plans.logs import SCRAPE, scrape, scrape_sql, sec, sql
 from rowtide.plans.metrics import HOUR
-from rowtide.sources.tables import cut_lineage
+from rowtide.sources.tables import cut_lineage, stored
 
 STEP = 15
 
 
 def flags(spark, root):
-    return al.evaluate(scrape(spark, root), chunk_us=HOUR)
+    """The rules read the samples several times, so they are derived and stored once."""
+    samples = stored(scrape(spark, root), "samples", within="metric")
+    return al.evaluate(samples, chunk_us=HOUR)
 
 
 def held(spark, root):

@@ -291,7 +291,7 @@ LABELS = sorted({name for _, labels, _, _ in SCRAPE for name in labels})
 
 
 def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None, df: DataFrame | None = None) -> DataFrame:
-    """Samples ``ts, metric, labels, value``; one scan of ``events`` (or its stream ``df``),
+    """Samples ``ts, metric, labels, series, value``; one scan of ``events`` (or its stream ``df``),
     whatever is asked for."""
     ev = (read_table(spark, root, "events") if df is None else df).select(
         ((F.col("event_id") - F.col("event_id") % 8) / 8).cast("bigint").alias("tick"),
@@ -302,12 +302,13 @@ def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None, df:
         if metrics is not None and metric not in metrics:
             continue
         pairs = ", ".join(f"'{k}', {v}" for k, v in labels.items())
-        found.append(F.expr(
+        series = ", ',', ".join(f"'{k}=', {labels[k]}" for k in sorted(labels))
+        found.append(
             f"case when {cond} then named_struct('metric', '{metric}', 'labels', map({pairs}), "
-            f"'value', cast({value} as double)) end"
-        ))
+            f"'series', concat({series}), 'value', cast({value} as double)) end"
+        )
     at = F.timestamp_micros(F.col("tick") * 15_000_000 + ORIGIN_US).cast("timestamp_ntz")
-    return spread(ev).select(at.alias("ts"), F.inline(F.array_compact(F.array(*found))))
+    return spread(ev).select(at.alias("ts"), F.expr(f"inline(array_compact(array({', '.join(found)})))"))
 
 
 def scrape_sql(metrics: list[str]) -> str:

@@ -60,6 +60,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str, within: str | None = None) -> DataFrame:
+    """The same rows, written once as a table in the shared folder and read from there.
+
+    ``within`` names a column to sort by inside each file, so that later filters on it skip most
+    of every file.
+    """
+    path = run_dir(df.sparkSession, label)
+    rows = df if within is None else df.sortWithinPartitions(within)
+    rows.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for one run, below the shared folder."""
     return f"{shared_dir(spark)}/rowtide/{label}-{uuid.uuid4().hex}"
