@@ -89,7 +89,7 @@ def evolve(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Check that a union by name is safe: columns may be added, types may not change."""
     changed = [
         c for c in rows.columns
-        if c in state.columns and state.schema[c].dataType != rows.schema[c].dataType
+        if c in state.columns and state.schema[c].dataType.simpleString() != rows.schema[c].dataType.simpleString()
     ]
     if changed:
         raise TypeError(f"column type changed, not applied: {changed}")
