@@ -16,18 +16,19 @@ from rowtide.plans.merge import ORACLE as MERGE_ORACLE
 from rowtide.sources.tables import read_table, run_dir, stream_table
 from rowtide.streaming.jobs import event_time
 
-CENTS = F.round(F.col("value") * 100, 0).cast("bigint")
-AGGS = {"n": F.count("*"), "cents": F.sum("cents")}
+def _aggs():
+    return {"n": F.count("*"), "cents": F.sum("cents")}
 
 
 def _events(spark, root, stream=True):
     ev = stream_table(spark, root, "events") if stream else read_table(spark, root, "events")
-    return event_time(ev.select("event_id", "ts", "user_id", "event_type", CENTS.alias("cents")))
+    cents = F.round(F.col("value") * 100, 0).cast("bigint")
+    return event_time(ev.select("event_id", "ts", "user_id", "event_type", cents.alias("cents")))
 
 
 def _windowed(window, slide=None):
     def run(spark, root):
-        agg = st.window_agg(_events(spark, root), window, ["event_type"], AGGS, "1 hour", slide)
+        agg = st.window_agg(_events(spark, root), window, ["event_type"], _aggs(), "1 hour", slide)
         d = run_dir(spark, "windows")
         st.update_sink(agg, f"{d}/out", f"{d}/checkpoint")
         out = st.latest_epoch(spark, f"{d}/out", ["window_start", "window_end", "event_type"])
@@ -48,7 +49,7 @@ def session(spark, root):
 
 def session_stream(spark, root):
     """The same sessions while the stream runs: those the watermark has closed."""
-    agg = st.session_agg(_events(spark, root), f"{GAP_S} seconds", ["user_id"], AGGS, "10 minutes")
+    agg = st.session_agg(_events(spark, root), f"{GAP_S} seconds", ["user_id"], _aggs(), "10 minutes")
     d = run_dir(spark, "sessions")
     st.run_now(agg, f"{d}/out", f"{d}/checkpoint")
     return spark.read.parquet(f"{d}/out").select(
