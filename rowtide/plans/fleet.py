@@ -1,5 +1,5 @@
-"""Catalog audit of a fleet. Every part is a table of one of twenty databases; its line items are
-the storage partitions that hold its rows; suppliers give the replication slots."""
+"""Catalog audit of a fleet. Every part is a table, a hundred tables make a database; line items
+are the storage partitions that hold a table's rows; suppliers give the replication slots."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from rowtide.sources.tables import read_table
 PUBLICATION, ROLE = "cdc_publication", "cdc_reader"
 
 
-def _db(col):
-    return F.concat(F.lit("db"), (col % 20).cast("string"))
+def _db(col, size=100):
+    return F.concat(F.lit("db"), F.floor(col / size).cast("string"))
 
 
 def tables(spark, root):
@@ -78,15 +78,16 @@ def slots(spark, root):
         return F.concat_ws("/", F.hex(hi), F.hex(lo))
 
     return read_table(spark, root, "supplier").select(
-        _db(s).alias("db_id"), F.concat(F.lit("slot_"), s).alias("slot_name"), (s % 6 != 0).alias("active"),
+        _db(s, 5).alias("db_id"), F.concat(F.lit("slot_"), s).alias("slot_name"), (s % 6 != 0).alias("active"),
         pos(s, s * 4097).alias("restart_lsn"), pos(s, s * 8191).alias("confirmed_flush_lsn"),
         pos(s + F.when(s % 9 == 0, 1).otherwise(0), s * 16381).alias("current_lsn"))
 
 
 def lsn_time(spark, root):
     ev = read_table(spark, root, "events")
-    return ev.filter(F.col("event_type") != "signup").select(
-        _db(F.col("user_id") * F.col("user_id")).alias("db_id"), F.col("event_id").alias("lsn"),
+    busy = F.floor(F.col("user_id") / 8) % 4 != 1
+    return ev.filter((F.col("event_type") != "signup") & busy).select(
+        _db(F.col("user_id"), 8).alias("db_id"), F.col("event_id").alias("lsn"),
         F.col("ts").alias("tran_end_time"))
 
 
@@ -96,18 +97,19 @@ NOW = "2024-01-30 12:00:00"
 def recency(spark, root):
     now = F.lit(NOW).cast("timestamp_ntz")
     before = lsn_time(spark, root).filter(F.col("tran_end_time") <= now)
-    captured = change_tables(spark, root).filter(F.col("object_id") % 20 != 1)
+    captured = change_tables(spark, root).filter(F.col("db_id") != "db1")
     return au.capture_recency(tables(spark, root), before, captured, now)
 
 
 def members(spark, root):
     return read_table(spark, root, "customer").select(
-        _db(F.col("c_custkey")).alias("db_id"), F.concat(F.lit("user"), F.col("c_nationkey")).alias("principal"),
+        _db(F.col("c_custkey"), 75).alias("db_id"), F.concat(F.lit("user"), F.col("c_nationkey")).alias("principal"),
         F.lower("c_mktsegment").alias("role"))
 
 
 def config(spark, root):
-    """One row of settings per captured database; key columns are named for some tables only."""
+    """One row of settings per database, which has a hundred tables at most; key columns are named
+    for some tables only."""
     p = F.col("p_partkey")
     entry = F.concat(F.lit("shop.dbo.t"), p, F.lit(":a,b"))
     spec = F.array_join(F.array_sort(F.collect_list(F.when(p % 2 == 0, entry))), ";")
@@ -196,24 +198,24 @@ QUERIES = {
 _ROWS = "(SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem WHERE l_linenumber % 3 < 2 GROUP BY 1)"
 _LIVE = "(SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1)"
 _T = (
-    "SELECT *, 'db' || p_partkey % 20 AS db_id, CASE WHEN p_partkey % 10 = 9 THEN 'archive' ELSE 'dbo' END AS schema, "
+    "SELECT *, 'db' || p_partkey // 100 AS db_id, CASE WHEN p_partkey % 10 = 9 THEN 'archive' ELSE 'dbo' END AS schema, "
     "'t' || p_partkey AS tbl, p_partkey % 7 <> 0 AS pk FROM part"
 )
 _TODO = "p_partkey % 3 <> 0 AND p_size <> 1 AND schema = 'dbo'"
 _RECENCY = f"""
     SELECT db_id, CASE WHEN last > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR THEN 1 WHEN n > 0 THEN 0 ELSE -1 END AS recency
     FROM (SELECT DISTINCT db_id FROM t) LEFT JOIN
-      (SELECT 'db' || user_id * user_id % 20 AS db_id, max(ts) AS last FROM events
-       WHERE event_type <> 'signup' AND ts <= TIMESTAMP '{NOW}' GROUP BY 1) USING (db_id) LEFT JOIN
-      (SELECT db_id, count(*) AS n FROM t WHERE p_partkey % 3 = 0 AND p_partkey % 20 <> 1 GROUP BY 1) USING (db_id)"""
+      (SELECT 'db' || user_id // 8 AS db_id, max(ts) AS last FROM events
+       WHERE event_type <> 'signup' AND user_id // 8 % 4 <> 1 AND ts <= TIMESTAMP '{NOW}' GROUP BY 1) USING (db_id) LEFT JOIN
+      (SELECT db_id, count(*) AS n FROM t WHERE p_partkey % 3 = 0 AND db_id <> 'db1' GROUP BY 1) USING (db_id)"""
 _CHECKS = """
     SELECT db_id, 'captured_tables' AS "check", CASE WHEN count(*) FILTER (WHERE p_partkey % 3 = 0 AND schema = 'dbo') > 0
            THEN 'PASS' ELSE 'FAIL' END AS status FROM t GROUP BY db_id
     UNION ALL SELECT db_id, 'publication_tables', CASE WHEN count(*) FILTER (WHERE p_partkey % 4 < 2 AND p_partkey % 8 < 4
            AND db_id <> 'db4') > 0 THEN 'PASS' ELSE 'FAIL' END FROM t GROUP BY db_id
-    UNION ALL SELECT db_id, 'slot_exists', CASE WHEN db_id IN (SELECT 'db' || s_suppkey % 20 FROM supplier) THEN 'PASS'
+    UNION ALL SELECT db_id, 'slot_exists', CASE WHEN db_id IN (SELECT 'db' || s_suppkey // 5 FROM supplier) THEN 'PASS'
            ELSE 'FAIL' END FROM t GROUP BY db_id
-    UNION ALL SELECT 'db' || s_suppkey % 20 AS db_id, 'slot_free', CASE WHEN bool_or(s_suppkey % 6 <> 0) THEN 'WARN'
+    UNION ALL SELECT 'db' || s_suppkey // 5 AS db_id, 'slot_free', CASE WHEN bool_or(s_suppkey % 6 <> 0) THEN 'WARN'
            ELSE 'PASS' END FROM supplier GROUP BY 1
     UNION ALL SELECT db_id, 'capture_activity', CASE recency WHEN 1 THEN 'PASS' ELSE 'WARN' END FROM rec WHERE recency >= 0"""
 
@@ -253,7 +255,7 @@ ORACLE = {
         FROM t WHERE NOT (p_partkey % 4 < 2 AND p_partkey % 8 < 4)""", t=_T),
     "role_list": """
         SELECT db_id, principal, string_agg(role, ', ' ORDER BY role) AS roles FROM (
-          SELECT DISTINCT 'db' || c_custkey % 20 AS db_id, 'user' || c_nationkey AS principal, lower(c_mktsegment) AS role
+          SELECT DISTINCT 'db' || c_custkey // 75 AS db_id, 'user' || c_nationkey AS principal, lower(c_mktsegment) AS role
           FROM customer) GROUP BY ALL""",
     "readiness_checks": sql(_CHECKS, t=_T, rec=_RECENCY),
     "readiness": sql("""
@@ -267,7 +269,7 @@ ORACLE = {
                CASE WHEN lag_bytes < 1024 THEN lag_bytes || ' bytes' WHEN lag_bytes < 1048576 THEN lag_bytes // 1024 || ' kB'
                     WHEN lag_bytes < 1073741824 THEN lag_bytes // 1048576 || ' MB' ELSE lag_bytes // 1073741824 || ' GB' END AS lag_text,
                CASE WHEN NOT active THEN 'inactive' WHEN lag_bytes > 1073741824 THEN 'over_limit' ELSE 'ok' END AS status
-        FROM (SELECT 'db' || s_suppkey % 20 AS db_id, 'slot_' || s_suppkey AS slot_name, s_suppkey % 6 <> 0 AS active,
+        FROM (SELECT 'db' || s_suppkey // 5 AS db_id, 'slot_' || s_suppkey AS slot_name, s_suppkey % 6 <> 0 AS active,
                      up + s_suppkey * (16381 - 8191) AS lag_bytes, up + s_suppkey * (16381 - 4097) AS held_bytes
               FROM (SELECT *, CASE WHEN s_suppkey % 9 = 0 THEN 4294967296 ELSE 0 END AS up FROM supplier))""",
     "capture_recency": sql(_RECENCY, t=_T),
