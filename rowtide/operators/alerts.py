@@ -16,7 +16,7 @@ from rowtide.functions.clock import from_micros, micros, seconds
 from rowtide.functions.labels import label
 from rowtide.functions.names import whole
 from rowtide.operators import telemetry as tm
-from rowtide.operators.windows import DAY, asof_join, merge_runs
+from rowtide.operators.windows import DAY, asof_join, grid_points, merge_runs
 from rowtide.sources.changes import union_all
 
 
@@ -247,9 +247,8 @@ def hold_for(flags: DataFrame, step_s: int, by: list[str] = FLAG, chunk_us: int
 def firing_instants(held: DataFrame, step_s: int) -> DataFrame:
     """One row per grid point at which an alert fires."""
     on = held.filter(F.col("firing_at").isNotNull())
-    points = F.sequence(micros(F.col("firing_at")), micros(F.col("last_at")), F.lit(seconds(step_s)))
-    keep = [c for c in held.columns if c not in ("pending_at", "firing_at", "last_at", "state")]
-    return on.select(*keep, F.explode(points).alias("_p")).withColumn("ts", from_micros(F.col("_p"))).drop("_p")
+    points = grid_points(on, micros(F.col("firing_at")), micros(F.col("last_at")), seconds(step_s), "_p")
+    return points.drop("pending_at", "firing_at", "last_at", "state").withColumn("ts", from_micros(F.col("_p"))).drop("_p")
 
 
 def inhibit(instants: DataFrame, equal: list[str] = ("alertname", "node"), source: str = "critical",

@@ -208,7 +208,7 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
     to ``staging/batch=<id>`` and then copied over the target with dynamic partition overwrite.
     If the job is lost in between, the next attempt finds the finished staging folder and only
     repeats the copy; if it is lost earlier, nothing was changed. Applying a batch twice gives
-    the same state, because the version decides.
+    the same state, because the version decides. Staging folders of older batches may be deleted.
     """
     staged = f"{staging}/batch={batch_id}"
     if not _finished(spark, staged):
@@ -220,10 +220,10 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
         if state is not None:
             rows = union_all(list(evolve(state.drop("bucket"), rows)))
         merged = latest(rows, key, added).withColumn("bucket", key_bucket(key, buckets))
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        # one row per key is left here, so buckets are even and one task can write one
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
     (
         spark.read.parquet(staged)
-        .repartition("bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")

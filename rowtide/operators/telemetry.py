@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.clock import SECOND, from_micros, micros, seconds
 from rowtide.functions.labels import label, matcher, series_key
-from rowtide.operators.windows import DAY, Frames, exact_quantiles
+from rowtide.operators.windows import DAY, Frames, exact_quantiles, grid_points
 
 SERIES = ["metric", "series"]
 
@@ -100,11 +100,7 @@ def grid(samples: DataFrame, step_s: int) -> DataFrame:
     t = micros(F.col("ts"))
     ends = samples.agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
     first, last = F.col("_a") - F.pmod("_a", F.lit(step)), F.col("_b") - F.pmod("_b", F.lit(step))
-    days = ends.select(last.alias("_last"), F.explode(F.sequence(first, last, F.lit(step * 4096))).alias("_d"))
-    upto = F.least(F.col("_d") + step * 4095, F.col("_last"))
-    return days.select(F.explode(F.sequence("_d", upto, F.lit(step))).alias("_g")).select(
-        from_micros(F.col("_g")).alias("ts")
-    )
+    return grid_points(ends, first, last, step, "_g").select(from_micros(F.col("_g")).alias("ts"))
 
 
 def or_zero(series: DataFrame, instants: DataFrame) -> DataFrame:
@@ -192,11 +188,9 @@ def idle_ms(events: DataFrame, step_s: int, by: list[str], until_us: int) -> Dat
     cells = events.groupBy(*by, up.alias("_g")).agg(F.max(t).alias("_seen"))
     w = Window.partitionBy(*by).orderBy("_g")
     upto = F.coalesce(F.lead("_g").over(w) - step, F.lit(until_us).cast("bigint"))
-    points = cells.withColumn("_upto", F.greatest(upto, F.col("_g"))).withColumn(
-        "_g", F.explode(F.sequence("_g", "_upto", F.lit(step)))
-    )
-    idle = (F.col("_g") - F.col("_seen")) / F.lit(1000.0)
-    return points.select(*by, from_micros(F.col("_g")).alias("ts"), idle.alias("idle_ms"))
+    points = grid_points(cells, F.col("_g"), F.greatest(upto, F.col("_g")), step, "_point")
+    idle = (F.col("_point") - F.col("_seen")) / F.lit(1000.0)
+    return points.select(*by, from_micros(F.col("_point")).alias("ts"), idle.alias("idle_ms"))
 
 
 def consumer_lag(end_offsets: DataFrame, committed: DataFrame) -> DataFrame:

@@ -18,6 +18,17 @@ def _start(t: Column, size: int) -> Column:
     return t - F.pmod(t, F.lit(size))
 
 
+def grid_points(df: DataFrame, first: Column, last: Column, step_us: int, name: str) -> DataFrame:
+    """One row per grid point from ``first`` to ``last``. Done in blocks, so that an interval of
+    years does not become one huge array."""
+    block = step_us * 4096
+    ends = df.withColumns({"_first": first, "_last": last})
+    blocks = ends.withColumn("_block", F.explode(F.sequence("_first", "_last", F.lit(block))))
+    upto = F.least(F.col("_block") + (block - step_us), F.col("_last"))
+    points = blocks.withColumn(name, F.explode(F.sequence("_block", upto, F.lit(step_us))))
+    return points.drop("_first", "_last", "_block")
+
+
 class Frames:
     """Rows laid out for frames over (t - frame, t], one window partition per (series, chunk).
 

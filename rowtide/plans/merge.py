@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from rowtide.operators import apply as ap
 from rowtide.operators.transforms import route, tag_origin
 from rowtide.operators.reconcile import loop_check as find_echoes
-from rowtide.plans.logs import NEW_KEY, ORDER_COLS, mixed_log, orders, orders_log, sql
+from rowtide.plans.logs import ORDER_COLS, mixed_log, orders, orders_log, sql
 from rowtide.sources.changes import select_tables
 from rowtide.sources.tables import read_table
 
