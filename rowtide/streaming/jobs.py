@@ -4,6 +4,7 @@ the zone-less timestamps of the tables. State is bounded by the watermark everyw
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,25 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Number of state partitions a query starts with (it keeps them for good).
+
+    A value somebody set is left alone. Where the default still stands, a session with fewer
+    tasks than that gets one partition per task, since each costs a commit in every batch.
+    """
+    name, default = "spark.sql.shuffle.partitions", "200"
+    before = spark.conf.get(name)
+    if before != default:
+        yield
+        return
+    spark.conf.set(name, str(min(int(default), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def window_agg(ev: DataFrame, window: str, by: list[str], aggs: dict[str, Column], watermark: str,
                slide: str | None = None, ts: str = "ts") -> DataFrame:
     """Tumbling (or, with ``slide``, sliding) window aggregate."""
@@ -60,10 +80,12 @@ def dedupe_stream(ev: DataFrame, ident: list[str], watermark: str, ts: str = "ts
 
 def run_now(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Process all that is there, append the results to files, stop."""
-    q = (
+    writer = (
         df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-        .option("path", path).trigger(availableNow=True).start()
+        .option("path", path).trigger(availableNow=True)
     )
+    with state_partitions(df.sparkSession):
+        q = writer.start()
     q.awaitTermination()
     return q
 
@@ -75,10 +97,12 @@ def update_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    q = (
+    writer = (
         df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
+        .trigger(availableNow=True).foreachBatch(write)
     )
+    with state_partitions(df.sparkSession):
+        q = writer.start()
     q.awaitTermination()
     return q
 
