@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from rowtide.llm import decontaminate, packing, simhash, substring, toxicity
+from rowtide.llm import chat, decontaminate, language, packing, simhash, substring, toxicity, urllists, vafile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op2_prefix_targets": chat.query,
+    "op3_exact_top_k": vafile.query,
     "op4_packing": packing.query,
     "op5_decontamination": decontaminate.query,
+    "op6_url_lists": urllists.query,
+    "op7_language": language.query,
+    "op8_warc": warc.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
-ORACLE: dict[str, str] = {
+ORACLE = {
+    "op2_prefix_targets": chat.SQL,
+    "op3_exact_top_k": vafile.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op6_url_lists": urllists.SQL,
+    "op8_warc": warc.SQL,
 }
