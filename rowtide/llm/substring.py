@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rowtide.llm.common import bytes_of, discard, keep, map_batches, order_id, same, table
 
 #: Words of an anchor; shorter ones are rarer in a text, longer ones are shared by fewer texts.
-ANCHOR = 20
+ANCHOR = 12
 #: Words of reference passages that one shard's automaton holds, on average.
 SHARD_WORDS = 150_000
 #: An anchor with more passages than this, not all alike, is split by window.
@@ -284,9 +284,9 @@ def covered(n: int, spans: list[int], size: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def kept_words(docs: DataFrame, size: int = 50, **options) -> DataFrame:
-    """For every row of ``docs(doc_id, text)``: ``doc_id, text, n_words, n_removed, kept_sha256`` and
-    ``kept``, the words that stay joined by blanks (null where nothing was removed).
+def kept_words(docs: DataFrame, size: int = 50, texts: bool = True, **options) -> DataFrame:
+    """For every row of ``docs(doc_id, text)``: ``doc_id, n_words, n_removed, kept_sha256`` and, if
+    ``texts``, ``text`` and ``kept``, the words that stay joined by blanks, for rows that lose some.
 
     A window is ``size`` consecutive words; words covered by a window whose words also start in a
     row with a smaller doc_id are removed, judged on the input. A null text has no words; a null
@@ -295,9 +295,10 @@ def kept_words(docs: DataFrame, size: int = 50, **options) -> DataFrame:
     columns are ignored and an empty table gives an empty result.
     """
     marked, spans = repeated_spans(docs, size, **options)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "kept"][: 6 if texts else 4]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_words, n_removed, digests, kept = [], [], [], []
+        n_words, n_removed, digests, kept, raw = [], [], [], [], []
         for text, found in zip(bytes_of(batch, "text"), batch.column(2).to_pylist()):
             words = (text or b"").split()
             left = words
@@ -308,13 +309,14 @@ def kept_words(docs: DataFrame, size: int = 50, **options) -> DataFrame:
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
             digests.append(hashlib.sha256(joined).hexdigest())
-            kept.append(joined.decode() if found else None)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
-            names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
-
-    schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, kept string"
+            if texts:
+                raw.append(text.decode() if found else None)
+                kept.append(joined.decode() if found else None)
+        cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+        cols += [pa.array(raw, pa.string()), pa.array(kept, pa.string())] if texts else []
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = ", ".join(f"{n} {'long' if n in ('doc_id', 'n_words', 'n_removed') else 'string'}" for n in names)
     compared = F.size("items") > 0
     dirty = marked.where(compared).join(spans, ["ord", "rid"], "left").select("doc_id", "text", "spans")
     clean = marked.where(F.coalesce(~compared, F.lit(True))).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans"))
@@ -332,4 +334,4 @@ def without_repeats(docs: DataFrame, size: int = 50, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return kept_words(table(spark, sf_dir, "documents"), texts=False)
