@@ -32,7 +32,7 @@ UNKNOWN = 1e-8
 #: Longer runs of letters are taken as words of so many.
 LONGEST = 48
 #: Words whose probabilities a worker remembers.
-MEMO = 500_000
+MEMO = 800_000
 NONE = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,27 +51,42 @@ def pieces(path: str) -> frozenset[str]:
 
 
 def words(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(_LETTERS.findall((text or "").lower())).items():
+    found = Counter(_LETTERS.findall((text or "").lower()))
+    for w in [w for w in found if len(w) > LONGEST]:
+        n = found.pop(w)
         for i in range(0, len(w), LONGEST):
-            out[w[i : i + LONGEST]] += n
-    return out
+            found[w[i : i + LONGEST]] += n
+    return found
+
 
+def lookup(probability: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
+    """Pieces with their probabilities, and with null every beginning of a piece that is none itself."""
+    out: dict[str, tuple[float, ...] | None] = {p[:n]: None for p in probability for n in range(1, len(p))}
+    return {**out, **probability}
 
-def forward(word: str, probability: dict[str, tuple[float, ...]], languages: int, longest: int) -> tuple[float, ...]:
-    """Log probability of a word in each language, over all its segmentations."""
+
+def forward(word: str, known: dict[str, tuple[float, ...] | None], languages: int) -> list[float]:
+    """Log probability of a word in each language, over all its segmentations; ``known`` is a ``lookup``."""
     s = "▁" + word
-    sums = [(1.0,) * languages]
-    for i in range(1, len(s) + 1):
-        total = [0.0] * languages
-        for j in range(max(0, i - longest), i):
-            p = probability.get(s[j:i])
-            if p is not None:
-                total = [t + a * q for t, a, q in zip(total, sums[j], p)]
-            elif j == i - 1:
-                total = [t + a * UNKNOWN for t, a in zip(total, sums[j])]
-        sums.append(tuple(total))
-    return tuple(log(max(x, 1e-300)) for x in sums[-1])
+    n = len(s)
+    unknown = (UNKNOWN,) * languages
+    edges = []
+    for j in range(n):
+        for i in range(j + 1, n + 1):
+            p = known.get(s[j:i], False)
+            if p:
+                edges.append((j, i, p))
+            elif i == j + 1:
+                edges.append((j, i, unknown))
+            if p is False:
+                break
+    out = []
+    for lang in range(languages):
+        sums = [1.0] + [0.0] * n
+        for j, i, p in edges:
+            sums[i] += sums[j] * p[lang]
+        out.append(log(max(sums[n], 1e-300)))
+    return out
 
 
 def expected(word: str, probability: dict[str, float], longest: int) -> list[tuple[str, float]]:
@@ -101,21 +116,30 @@ class Model:
 
     def __init__(self, languages: list[str], probability: dict[str, tuple[float, ...]]) -> None:
         self.languages, self.probability = languages, probability
-        self.longest = max(map(len, probability), default=1)
-        self.memo: dict[str, tuple[float, ...]] = {}
+        self.known: dict[str, tuple[float, ...] | None] = {}
+        self.memo: dict[str, int] = {}
+        self.logs = np.zeros((0, len(languages)))
+
+    def _rows(self, found: Counter) -> np.ndarray:
+        """Log probabilities of the words of a text, of which new ones are remembered."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        self.known = self.known or lookup(self.probability)
+        new = [w for w in found if w not in memo]
+        need = len(memo) + len(new)
+        if need > len(self.logs):
+            self.logs = np.concatenate([self.logs[: len(memo)], np.zeros((need + MEMO // 8 - len(memo), len(self.languages)))])
+        for w in new:
+            self.logs[len(memo)] = forward(w, self.known, len(self.languages))
+            memo[w] = len(memo)
+        return self.logs[[memo[w] for w in found]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = words(text)
         if not counts or not self.languages:
             return NONE, 0.0
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in counts:
-            if w not in memo:
-                memo[w] = forward(w, self.probability, len(self.languages), self.longest)
-        logs = np.array([memo[w] for w in counts])
-        total = np.fromiter(counts.values(), float, len(counts)) @ logs
+        total = np.fromiter(counts.values(), float, len(counts)) @ self._rows(counts)
         share = np.exp(total - total.max())
         best = int(share.argmax())
         return self.languages[best], float(share[best] / share.sum())
