@@ -137,24 +137,18 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size: in
             g[minus] -= change
         return g
 
-    # the curvature of the smooth part, by power iteration on 0.25 X'WX plus the swap penalty
-    v = np.ones(size + 1)
-    top = 1.0
-    for _ in range(20):
-        z = weight * (np.bincount(row, v[at], len(rows)) + v[-1])
-        u = 0.25 * np.append(np.bincount(at, z[row], size), z.sum()) + l2 * v
-        for plus, minus, n in swaps_:
-            change = 2 * fair * n * (v[plus].sum() - v[minus].sum())
-            u[plus] += change
-            u[minus] -= change
-        top = float(np.linalg.norm(u)) or 1.0
-        v = u / top
-    rate = 1 / (1.1 * top)
+    # a diagonal bound of the curvature, so that rare features take long steps and swapped ones short ones
+    spread = 0.25 * weight * (np.bincount(row, minlength=len(rows)) + 1)
+    bound = np.append(np.bincount(at, spread[row], size) + l2, spread.sum())
+    for plus, minus, n in swaps_:
+        bound[plus] += 2 * fair * n * (len(plus) + len(minus))
+        bound[minus] += 2 * fair * n * (len(plus) + len(minus))
+    rate = 1 / np.maximum(bound, 1e-12)
     w = ahead = np.zeros(size + 1)
     t = 1.0
     for _ in range(steps):
         moved = ahead - rate * gradient(ahead)
-        moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - rate * l1, 0)
+        moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - rate[:-1] * l1, 0)
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead = moved + (t - 1) / s * (moved - w)
         w, t = moved, s

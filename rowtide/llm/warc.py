@@ -91,7 +91,7 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
                 break
             yield read_record(b"".join(parts))
             chunk, inner, parts = inner.unused_data, reader.decompressobj(), []
-    if any(parts):
+    if parts:
         raise ValueError("the archive is cut off")
 
 
