@@ -20,8 +20,15 @@ BOOKKEEPING = ["_version", "_deleted", "_schema_version"]
 
 
 def dedupe_delivery(events: DataFrame) -> DataFrame:
-    """One row per log position. Needed where events are counted; the upsert does not need it."""
-    return events.dropDuplicates(["topic", "partition", "offset"])
+    """One row per log position. Needed where events are counted; the upsert does not need it.
+
+    Events of a snapshot or a table comparison have no position yet; they are told apart by topic,
+    key, source position and operation.
+    """
+    placed = F.col("partition").isNotNull() & F.col("offset").isNotNull()
+    own = F.struct("key", F.col("source.lsn").alias("lsn"), F.col("source.seq").alias("seq"), "op")
+    marked = events.withColumn("_own", F.when(~placed, own))
+    return marked.dropDuplicates(["topic", "partition", "offset", "_own"]).drop("_own")
 
 
 def change_rows(events: DataFrame, key: list[str], deletes: str = "drop") -> DataFrame:
@@ -208,7 +215,7 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
     to ``staging/batch=<id>`` and then copied over the target with dynamic partition overwrite.
     If the job is lost in between, the next attempt finds the finished staging folder and only
     repeats the copy; if it is lost earlier, nothing was changed. Applying a batch twice gives
-    the same state, because the version decides. Staging folders of older batches may be deleted.
+    the same state, because the version decides. A staging folder is deleted once it is copied.
     """
     staged = f"{staging}/batch={batch_id}"
     if not _finished(spark, staged):
@@ -229,6 +236,8 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
         .partitionBy("bucket")
         .parquet(path)
     )
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

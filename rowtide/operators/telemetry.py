@@ -194,12 +194,21 @@ def idle_ms(events: DataFrame, step_s: int, by: list[str], until_us: int) -> Dat
 
 
 def consumer_lag(end_offsets: DataFrame, committed: DataFrame) -> DataFrame:
-    """Records a consumer group has not read: end offset minus committed offset, summed."""
+    """Records a consumer group has not read: end offset minus committed offset, summed.
+
+    A group is taken to read every partition of the topics it has committed to: a partition without
+    a commit counts as a whole, and one whose end offset is not known makes the lag unknown.
+    """
     # No lag passes, below 1000 records warns, anything above fails.
     lag = F.greatest(F.col("end_offset") - F.coalesce("committed", F.lit(0)), F.lit(0))
-    out = committed.join(end_offsets.select("topic", "partition", "end_offset"), ["topic", "partition"])
-    total = out.groupBy("group").agg(F.sum(lag).alias("lag"))
-    status = F.when(F.col("lag") == 0, "PASS").when(F.col("lag") < 1000, "WARN").otherwise("FAIL")
+    ends = end_offsets.select("topic", "partition", "end_offset")
+    reads = committed.select("group", "topic").distinct().join(ends.select("topic", "partition"), "topic")
+    reads = reads.unionByName(committed.select("group", "topic", "partition")).distinct()
+    out = reads.join(committed.select("group", "topic", "partition", "committed"), ["group", "topic", "partition"], "left")
+    out = out.join(ends, ["topic", "partition"], "left")
+    unknown = F.max(F.col("end_offset").isNull())
+    total = out.groupBy("group").agg(F.when(~unknown, F.sum(lag)).alias("lag"))
+    status = F.when(F.col("lag") == 0, "PASS").when(F.col("lag") < 1000, "WARN").when(F.col("lag").isNull(), "UNKNOWN").otherwise("FAIL")
     return total.withColumn("status", status)
 
 

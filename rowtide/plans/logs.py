@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.sources.changes import source_struct
-from rowtide.sources.tables import read_table, spread
+from rowtide.sources.tables import read_table
 
 TOPIC = "sqlserver.shop.dbo.orders"
 NEW_KEY = 1_000_000_000_000
@@ -55,7 +55,7 @@ def orders_log(spark: SparkSession, root: str, df: DataFrame | None = None) -> D
         f"'after', {_image(after)}) END"
         for lsn, op, key, cond, before, after in _ORDER_EVENTS
     )
-    flat = spread(df).selectExpr("o_orderdate", f"inline(array_compact(array({entries})))")
+    flat = df.selectExpr("o_orderdate", f"inline(array_compact(array({entries})))")
     return flat.selectExpr(
         f"'{TOPIC}' AS topic", "CAST(k % 3 AS INT) AS partition", f"lsn * {STRIDE} + k AS offset",
         "o_orderdate + make_dt_interval(0, 0, 0, lsn) AS ts", "named_struct('o_orderkey', k) AS key",
@@ -308,7 +308,7 @@ def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None, df:
             f"'series', concat({series}), 'value', cast({value} as double)) end"
         )
     at = F.timestamp_micros(F.col("tick") * 15_000_000 + ORIGIN_US).cast("timestamp_ntz")
-    return spread(ev).select(at.alias("ts"), F.expr(f"inline(array_compact(array({', '.join(found)})))"))
+    return ev.select(at.alias("ts"), F.expr(f"inline(array_compact(array({', '.join(found)})))"))
 
 
 def scrape_sql(metrics: list[str]) -> str:

@@ -135,7 +135,7 @@ def stream_hold(spark, root):
 
 
 def event_lag_stream(spark, root):
-    """Mean arrival lag per hour of the change log, while the stream runs."""
+    """Summed arrival lag and number of events per hour of the change log, while the stream runs."""
     ev = events_log(spark, root, stream_table(spark, root, "events"))
     lag = event_time(ev.select("ts", "partition", ((micros(F.col("ts")) - micros(F.col("source.ts"))) / 1000).cast("bigint").alias("lag")))
     agg = st.window_agg(lag, "1 hour", ["partition"], {"events": F.count("*"), "lag_ms": F.sum("lag")}, "1 hour")

@@ -12,8 +12,6 @@ def local_session(cpus: int, name: str = "rowtide", memory: str = "16g") -> Spar
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # generated methods the JIT would not compile run slower than split-up expressions
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

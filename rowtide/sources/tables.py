@@ -14,18 +14,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame, at_most: int = 32) -> DataFrame:
-    """Spread a table that lies in a few big blocks over more tasks before rows are expanded.
-
-    A table with at least as many splits as the session runs tasks (or ``at_most``) is left as it
-    is, so nothing large is ever shuffled for this.
-    """
-    if df.isStreaming:
-        return df
-    want = min(df.sparkSession.sparkContext.defaultParallelism, at_most)
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
 def stream_table(spark: SparkSession, root: str, name: str, **options) -> DataFrame:
     """The same table as a stream; works for one file and for a directory of part files."""
     schema = read_table(spark, root, name).schema

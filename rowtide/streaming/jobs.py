@@ -4,7 +4,7 @@ the zone-less timestamps of the tables. State is bounded by the watermark everyw
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,25 +19,6 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-@contextmanager
-def state_partitions(spark: SparkSession):
-    """Number of state partitions a query starts with (it keeps them for good).
-
-    A value somebody set is left alone. Where the default still stands, a session with fewer
-    tasks than that gets one partition per task, since each costs a commit in every batch.
-    """
-    name, default = "spark.sql.shuffle.partitions", "200"
-    before = spark.conf.get(name)
-    if before != default:
-        yield
-        return
-    spark.conf.set(name, str(min(int(default), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def window_agg(ev: DataFrame, window: str, by: list[str], aggs: dict[str, Column], watermark: str,
                slide: str | None = None, ts: str = "ts") -> DataFrame:
     """Tumbling (or, with ``slide``, sliding) window aggregate."""
@@ -84,8 +65,7 @@ def run_now(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") ->
         df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
         .option("path", path).trigger(availableNow=True)
     )
-    with state_partitions(df.sparkSession):
-        q = writer.start()
+    q = writer.start()
     q.awaitTermination()
     return q
 
@@ -101,8 +81,7 @@ def update_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(write)
     )
-    with state_partitions(df.sparkSession):
-        q = writer.start()
+    q = writer.start()
     q.awaitTermination()
     return q
 
@@ -126,11 +105,13 @@ def stream_upsert(events: DataFrame, path: str, key: list[str], buckets: int, ch
     """Apply a stream of change events to a bucketed state table, batch by batch.
 
     The checkpoint names the batch and ``merge_batch`` is safe to repeat, so a lost executor or
-    driver costs no data and applies nothing twice.
+    driver costs no data and applies nothing twice. Batch numbers start again with a new
+    checkpoint, so each checkpoint stages its batches in a folder of its own.
     """
+    own = f"{staging}/{sha256(checkpoint.encode()).hexdigest()[:16]}"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch.sparkSession, path, batch, key, buckets, batch_id, staging, deletes, added)
+        merge_batch(batch.sparkSession, path, batch, key, buckets, batch_id, own, deletes, added)
 
     q = (
         events.writeStream.option("checkpointLocation", checkpoint)
