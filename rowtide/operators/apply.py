@@ -23,10 +23,11 @@ def dedupe_delivery(events: DataFrame) -> DataFrame:
     """One row per log position. Needed where events are counted; the upsert does not need it.
 
     Events of a snapshot or a table comparison have no position yet; they are told apart by topic,
-    key, source position and operation.
+    key, source position and operation; without a key column each of them is kept.
     """
     placed = F.col("partition").isNotNull() & F.col("offset").isNotNull()
-    own = F.struct("key", F.col("source.lsn").alias("lsn"), F.col("source.seq").alias("seq"), "op")
+    known = [c for c in ("key", "source.lsn", "source.seq", "op") if c.split(".")[0] in events.columns]
+    own = F.struct(*[F.col(c).alias(c.replace(".", "_")) for c in known]) if "key" in known else F.monotonically_increasing_id()
     marked = events.withColumn("_own", F.when(~placed, own))
     return marked.dropDuplicates(["topic", "partition", "offset", "_own"]).drop("_own")
 
@@ -215,7 +216,8 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
     to ``staging/batch=<id>`` and then copied over the target with dynamic partition overwrite.
     If the job is lost in between, the next attempt finds the finished staging folder and only
     repeats the copy; if it is lost earlier, nothing was changed. Applying a batch twice gives
-    the same state, because the version decides. A staging folder is deleted once it is copied.
+    the same state, because the version decides. Once a batch is copied, the folders of all others
+    are deleted, so a number that comes again later is not mistaken for the batch that had it.
     """
     staged = f"{staging}/batch={batch_id}"
     if not _finished(spark, staged):
@@ -236,8 +238,11 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
         .partitionBy("bucket")
         .parquet(path)
     )
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for other in files.listStatus(place):
+        if other.getPath().getName() != f"batch={batch_id}":
+            files.delete(other.getPath(), True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
