@@ -23,7 +23,8 @@ def test_snapshot_survives_deduplication(spark):
 def test_uncommitted_partitions_count_in_full(spark):
     ends = spark.createDataFrame([("t", 0, 100), ("t", 1, 5000), ("u", 0, 9)], "topic string, partition int, end_offset long")
     done = spark.createDataFrame([("g", "t", 0, 100), ("h", "u", 0, 9), ("k", "u", 7, 1)], "group string, topic string, partition int, committed long")
-    got = {r["group"]: (r.lag, r.status) for r in telemetry.consumer_lag(ends, done).collect()}
+    reads = spark.createDataFrame([("g", "t", 0), ("g", "t", 1), ("h", "u", 0)], "group string, topic string, partition int")
+    got = {r["group"]: (r.lag, r.status) for r in telemetry.consumer_lag(ends, done, reads).collect()}
     assert got == {"g": (5000, "FAIL"), "h": (0, "PASS"), "k": (None, "UNKNOWN")}
 
 
