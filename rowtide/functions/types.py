@@ -41,16 +41,18 @@ def map_type(declared: str) -> tuple[str, str]:
 def map_types(df: DataFrame, declared: dict[str, str]) -> DataFrame:
     """Cast the declared columns to the Spark type of their mapped dialect type.
 
-    Fixed-width text loses its trailing blanks, so that both sides compare equal.
+    Fixed-width text loses its trailing blanks, so that both sides compare equal. ``type_error``
+    names the first column whose value does not fit, else it is null.
     """
-    cols = []
+    cols, bad = [], []
     for c in df.columns:
         if c not in declared:
             cols.append(F.col(c))
             continue
         spark = map_type(declared[c])[1]
         col = F.col(c).try_cast(spark)
-        if declared[c].upper().startswith(("CHAR", "NCHAR")):
+        bad.append(F.when(F.col(c).isNotNull() & col.isNull(), F.lit(c)))
+        if declared[c].upper().startswith("CHAR"):
             col = F.rtrim(col)
         cols.append(col.alias(c))
-    return df.select(*cols)
+    return df.select(*cols, F.coalesce(*bad, F.lit(None).cast("string")).alias("type_error"))

@@ -10,8 +10,11 @@ so a key with very many changes sends one row per task.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rowtide.sources.changes import union_all, version
 from rowtide.sources.tables import key_bucket, run_dir
@@ -157,9 +160,31 @@ def latest_documents(log: DataFrame, deletes: str = "drop") -> DataFrame:
     return out.filter(F.col("_row.op") != "d").select("target", "key", F.col("_row.value").alias("value"))
 
 
-def table_view(documents: DataFrame, target: str, schema) -> DataFrame:
-    rows = documents.filter(F.col("target") == target)
-    return rows.select("key", F.from_json("value", schema).alias("_row")).select("key", "_row.*")
+def _read(schema: StructType) -> Column:
+    """The value parsed with a schema; ``_unread`` holds a text that does not fit it."""
+    whole = StructType([*schema.fields, StructField("_unread", StringType())])
+    return F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+
+
+def split_documents(log: DataFrame, schemas: dict[str, StructType]) -> tuple[DataFrame, DataFrame]:
+    """Events whose value can be read with the schema of their target, and the dead letters.
+
+    Done before the latest value is chosen, so that an unreadable update leaves the row as it was.
+    Deletes, tombstones and targets without a schema pass.
+    """
+    ok = F.lit(True)
+    for target, schema in schemas.items():
+        read = _read(schema)
+        ok = F.when(F.col("target") == target, read.isNotNull() & read["_unread"].isNull()).otherwise(ok)
+    marked = log.withColumn("_ok", F.col("op").isNull() | (F.col("op") == "d") | ok)
+    return marked.filter("_ok").drop("_ok"), marked.filter("NOT _ok").drop("_ok")
+
+
+def table_view(documents: DataFrame, target: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of one table, and the keys and values that its schema cannot read."""
+    rows = documents.filter(F.col("target") == target).withColumn("_row", _read(schema))
+    ok = F.col("_row").isNotNull() & F.col("_row._unread").isNull()
+    return rows.filter(ok).select("key", "_row.*").drop("_unread"), rows.filter(~ok).select("key", "value")
 
 
 def write_fanout(documents: DataFrame, path: str, buckets: int) -> None:
@@ -202,10 +227,12 @@ def unique_conflicts(rows: DataFrame, key: list[str], unique: list[str]) -> Data
     return filled.join(contested, unique).filter(ident != F.col("_owner")).drop("_owner")
 
 
-def touched_buckets(rows: DataFrame, key: list[str], buckets: int) -> list[int]:
-    """Bucket numbers a batch writes to; at most ``buckets`` integers come to the driver."""
-    found = rows.select(key_bucket(key, buckets).alias("b")).distinct().collect()
-    return sorted(r.b for r in found)
+def touched_buckets(rows: DataFrame, key: list[str], buckets: int) -> dict[int, tuple[int, int]]:
+    """Bucket numbers a batch writes to, each with the number of its rows and a digest of their
+    keys and versions; at most ``buckets`` rows come to the driver."""
+    digest = F.bit_xor(F.xxhash64(*key, "_version", "_deleted"))
+    found = rows.groupBy(key_bucket(key, buckets).alias("b")).agg(F.count("*").alias("n"), digest.alias("d")).collect()
+    return {r.b: (r.n, r.d) for r in sorted(found)}
 
 
 def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str], buckets: int, batch_id: int,
@@ -216,21 +243,24 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
     to ``staging/batch=<id>`` and then copied over the target with dynamic partition overwrite.
     If the job is lost in between, the next attempt finds the finished staging folder and only
     repeats the copy; if it is lost earlier, nothing was changed. Applying a batch twice gives
-    the same state, because the version decides. Once a batch is copied, the folders of all others
-    are deleted, so a number that comes again later is not mistaken for the batch that had it.
+    the same state, because the version decides. A staged folder is marked with a digest of the
+    events it holds, so a number that comes again with other events (a new checkpoint, a replay) is
+    merged anew. Once a batch is copied, the folders of all others are deleted.
     """
     staged = f"{staging}/batch={batch_id}"
-    if not _finished(spark, staged):
-        rows = change_rows(events, key, deletes)
-        buckets_hit = touched_buckets(rows, key, buckets)
-        if not buckets_hit:
-            return
-        state = _read_state(spark, path, buckets_hit)
+    rows = change_rows(events, key, deletes)
+    buckets_hit = touched_buckets(rows, key, buckets)
+    if not buckets_hit:
+        return
+    mark = f"{staged}/_events-{sha256(repr(buckets_hit).encode()).hexdigest()[:32]}"
+    if not _exists(spark, mark):
+        state = _read_state(spark, path, list(buckets_hit))
         if state is not None:
             rows = union_all(list(evolve(state.drop("bucket"), rows)))
         merged = latest(rows, key, added).withColumn("bucket", key_bucket(key, buckets))
         # one row per key is left here, so buckets are even and one task can write one
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        _touch(spark, mark)
     (
         spark.read.parquet(staged)
         .write.mode("overwrite")
@@ -250,8 +280,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, f"{path}/_SUCCESS")
+def _touch(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True).close()
 
 
 def _read_state(spark: SparkSession, path: str, buckets_hit: list[int]) -> DataFrame | None:

@@ -96,6 +96,11 @@ def loop_risk(captured: DataFrame, published: DataFrame) -> DataFrame:
     return a.join(b, ["db_id", "table_name"])
 
 
+def _doubled(name: Column, mark: str) -> Column:
+    """A name or text that stands between marks: the mark inside it is doubled."""
+    return F.replace(name, F.lit(mark), F.lit(mark * 2))
+
+
 def remediation(tables: DataFrame, change_tables: DataFrame, keys: DataFrame, schema: str, role: str) -> DataFrame:
     """One idempotent statement per user table without capture. Text only, nothing is executed."""
     todo = (
@@ -105,11 +110,12 @@ def remediation(tables: DataFrame, change_tables: DataFrame, keys: DataFrame, sc
     )
     net = F.when(F.col("_pk").isNotNull(), 1).otherwise(0)
     # Fixed value: form of the statement that switches capture on.
+    bracketed = [F.concat(F.lit("["), _doubled(F.col(c), "]"), F.lit("]")) for c in ("schema", "table")]
     text = F.format_string(
-        "IF NOT EXISTS (SELECT 1 FROM cdc.change_tables WHERE source_object_id = OBJECT_ID('%1$s.%2$s')) "
-        "EXEC sys.sp_cdc_enable_table @source_schema = N'%1$s', @source_name = N'%2$s', "
-        f"@role_name = N'{role}', @supports_net_changes = %3$d;",
-        F.col("schema"), F.col("table"), net,
+        "IF NOT EXISTS (SELECT 1 FROM cdc.change_tables WHERE source_object_id = OBJECT_ID(N'%1$s')) "
+        "EXEC sys.sp_cdc_enable_table @source_schema = N'%2$s', @source_name = N'%3$s', "
+        "@role_name = N'%4$s', @supports_net_changes = %5$d;",
+        *[_doubled(c, "'") for c in (F.concat_ws(".", *bracketed), F.col("schema"), F.col("table"), F.lit(role))], net,
     )
     note = F.when(F.col("_pk").isNull(), "no primary key: name its key columns").otherwise("has primary key")
     return todo.select(*NAMED, net.alias("net_changes"), note.alias("note"), text.alias("statement"))
@@ -119,9 +125,10 @@ def publication_remediation(base_tables: DataFrame, published: DataFrame, public
                             role: str) -> DataFrame:
     mine = published.filter(F.col("publication") == publication).select(*NAMED)
     rest = base_tables.filter(F.col("schema") == schema).select(*NAMED).join(mine, NAMED, "left_anti")
-    name = F.concat_ws(".", "schema", "table")
-    add = F.concat(F.lit(f"ALTER PUBLICATION {publication} ADD TABLE "), name, F.lit(";"))
-    grant = F.concat(F.lit("GRANT SELECT, INSERT, UPDATE, DELETE ON "), name, F.lit(f" TO {role};"))
+    quoted = lambda name: F.concat(F.lit('"'), _doubled(name, '"'), F.lit('"'))
+    name = F.concat_ws(".", quoted(F.col("schema")), quoted(F.col("table")))
+    add = F.concat(F.lit("ALTER PUBLICATION "), quoted(F.lit(publication)), F.lit(" ADD TABLE "), name, F.lit(";"))
+    grant = F.concat(F.lit("GRANT SELECT, INSERT, UPDATE, DELETE ON "), name, F.lit(" TO "), quoted(F.lit(role)), F.lit(";"))
     return rest.select(*NAMED, F.explode(F.array(add, grant)).alias("statement"))
 
 

@@ -147,12 +147,20 @@ def loop_risk(spark, root):
     return au.loop_risk(captured(spark, root), mine)
 
 
+def _odd_names(df):
+    """Every tenth table has a name that has to be quoted."""
+    odd = F.concat(F.lit("O'"), "table", F.lit('"]'))
+    return df.withColumn("table", F.when(F.col("table").endswith("5"), odd).otherwise(F.col("table")))
+
+
 def remediation(spark, root):
-    return au.remediation(tables(spark, root), change_tables(spark, root), keys(spark, root), "dbo", ROLE)
+    parts = [_odd_names(df(spark, root)) for df in (tables, change_tables, keys)]
+    return au.remediation(*parts, "dbo", ROLE)
 
 
 def publication_remediation(spark, root):
-    return au.publication_remediation(base_tables(spark, root), published(spark, root), PUBLICATION, "public", ROLE)
+    base, have = _odd_names(base_tables(spark, root)), _odd_names(published(spark, root))
+    return au.publication_remediation(base, have, PUBLICATION, "public", ROLE)
 
 
 def role_list(spark, root):
@@ -242,17 +250,22 @@ ORACLE = {
         SELECT db_id, tbl AS table_name FROM t
         WHERE p_partkey % 3 = 0 AND schema = 'dbo' AND p_partkey % 4 < 2 AND p_partkey % 8 < 4""", t=_T),
     "remediation": sql(f"""
-        SELECT db_id, schema, tbl AS "table", CAST(pk AS INTEGER) AS net_changes,
+        SELECT db_id, schema, CASE WHEN p_partkey % 10 = 5 THEN 'O''' || tbl || '"]' ELSE tbl END AS "table",
+               CAST(pk AS INTEGER) AS net_changes,
                CASE WHEN pk THEN 'has primary key' ELSE 'no primary key: name its key columns' END AS note,
-               'IF NOT EXISTS (SELECT 1 FROM cdc.change_tables WHERE source_object_id = OBJECT_ID(''dbo.' || tbl ||
-               ''')) EXEC sys.sp_cdc_enable_table @source_schema = N''dbo'', @source_name = N''' || tbl ||
+               'IF NOT EXISTS (SELECT 1 FROM cdc.change_tables WHERE source_object_id = OBJECT_ID(N''[dbo].[' ||
+               CASE WHEN p_partkey % 10 = 5 THEN 'O''''' || tbl || '"]]' ELSE tbl END ||
+               ']'')) EXEC sys.sp_cdc_enable_table @source_schema = N''dbo'', @source_name = N''' ||
+               CASE WHEN p_partkey % 10 = 5 THEN 'O''''' || tbl || '"]' ELSE tbl END ||
                ''', @role_name = N''cdc_reader'', @supports_net_changes = ' || CAST(pk AS INTEGER) || ';' AS statement
         FROM t WHERE {_TODO}""", t=_T),
     "publication_remediation": sql("""
-        SELECT db_id, 'public' AS schema, 'T' || p_partkey AS "table", unnest([
-               'ALTER PUBLICATION cdc_publication ADD TABLE public.T' || p_partkey || ';',
-               'GRANT SELECT, INSERT, UPDATE, DELETE ON public.T' || p_partkey || ' TO cdc_reader;']) AS statement
-        FROM t WHERE NOT (p_partkey % 4 < 2 AND p_partkey % 8 < 4)""", t=_T),
+        SELECT db_id, 'public' AS schema, CASE WHEN p_partkey % 10 = 5 THEN 'O''T' || p_partkey || '"]' ELSE 'T' || p_partkey END
+               AS "table", unnest([
+               'ALTER PUBLICATION "cdc_publication" ADD TABLE "public"."' || quoted || '";',
+               'GRANT SELECT, INSERT, UPDATE, DELETE ON "public"."' || quoted || '" TO "cdc_reader";']) AS statement
+        FROM (SELECT *, CASE WHEN p_partkey % 10 = 5 THEN 'O''T' || p_partkey || '""]' ELSE 'T' || p_partkey END AS quoted FROM t)
+        WHERE NOT (p_partkey % 4 < 2 AND p_partkey % 8 < 4)""", t=_T),
     "role_list": """
         SELECT db_id, principal, string_agg(role, ', ' ORDER BY role) AS roles FROM (
           SELECT DISTINCT 'db' || c_custkey // 75 AS db_id, 'user' || c_nationkey AS principal, lower(c_mktsegment) AS role

@@ -13,6 +13,8 @@ from rowtide.sources.changes import select_tables
 from rowtide.sources.tables import read_table
 
 KEY = ["o_orderkey"]
+PERSON = StructType.fromDDL("name string, bal double")
+SCHEMAS = {"customer": PERSON, "supplier": PERSON, "part": StructType.fromDDL("name string, size int")}
 
 
 def _upsert(deletes):
@@ -64,20 +66,42 @@ def evolve_columns(spark, root):
     return ap.live(ap.latest(state, KEY, {"o_orderpriority": 2}))
 
 
-def fanout_state(spark, root):
-    """One job applies a log of three tables; each table is then read with its own schema."""
-    log = route(mixed_log(spark, root), r"(?:sqlserver\.[^.]+|aurora)\.(?:dbo|public|sales)\.(.+)", "$1")
-    docs = ap.latest_documents(log.filter(F.col("topic").rlike(r"^(sqlserver|aurora)\.")), deletes="apply")
+def _routed(log):
+    return route(log, r"(?:sqlserver\.[^.]+|aurora)\.(?:dbo|public|sales)\.(.+)", "$1")
+
+
+def _tables(docs):
     people = [
-        ap.table_view(docs, t, StructType.fromDDL("name string, bal double")).select(
-            F.lit(t).alias("tbl"), "key", "name", F.col("bal").alias("num"))
+        ap.table_view(docs, t, SCHEMAS[t])[0].select(F.lit(t).alias("tbl"), "key", "name", F.col("bal").alias("num"))
         for t in ("customer", "supplier")
     ]
-    parts = ap.table_view(docs, "part", StructType.fromDDL("name string, size int")).select(
+    parts = ap.table_view(docs, "part", SCHEMAS["part"])[0].select(
         F.lit("part").alias("tbl"), "key", "name", F.col("size").cast("double").alias("num"))
     return people[0].unionByName(people[1]).unionByName(parts)
 
 
+def fanout_state(spark, root):
+    """One job applies a log of three tables; each table is then read with its own schema."""
+    log = _routed(mixed_log(spark, root))
+    return _tables(ap.latest_documents(log.filter(F.col("topic").rlike(r"^(sqlserver|aurora)\.")), deletes="apply"))
+
+
+def replicate(spark, root):
+    """The whole way of a log that is delivered twice and holds updates that were cut off: dedupe,
+    route, decode or dead letter, apply. Unreadable updates leave the row as it was."""
+    k = F.col("key").cast("bigint")
+    log = mixed_log(spark, root).filter(F.col("topic").rlike(r"^(sqlserver|aurora)\."))
+    cut = F.when((F.col("op") == "u") & (k % 7 == 0), F.left("value", F.length("value") - 3)).when(
+        (F.col("op") == "u") & (k % 11 == 0), F.regexp_replace("value", "-?[0-9.]+}$", '"N/A"}')).otherwise(F.col("value"))
+    log = log.withColumn("value", cut)
+    once = _routed(ap.dedupe_delivery(log.unionByName(log)))
+    good, dead = ap.split_documents(once, SCHEMAS)
+    state = _tables(ap.latest_documents(good, deletes="apply")).withColumn("fate", F.lit("applied"))
+    letters = dead.select(F.col("target").alias("tbl"), "key", F.lit(None).cast("string").alias("name"),
+                          F.lit(None).cast("double").alias("num"), F.lit("dead").alias("fate"))
+    return state.unionByName(letters)
+
+
 def _site_events(spark, root, side):
     """Site a changes even orders, site b odd ones, each on its own topic prefix."""
     log = orders_log(spark, root).filter(F.col("op").isNotNull())
@@ -114,6 +138,7 @@ QUERIES = {
     "dedupe_delivery": dedupe,
     "evolve_columns": evolve_columns,
     "fanout_state": fanout_state,
+    "replicate": replicate,
     "bidirectional_state": bidirectional_state,
     "loop_check": loop_check,
     "unique_conflicts": unique_conflicts,
@@ -145,6 +170,12 @@ ORACLE = {
         SELECT regexp_extract(topic, '[^.]+$') AS tbl, key, name, num FROM (
           SELECT *, row_number() OVER (PARTITION BY topic, key ORDER BY lsn DESC) AS n FROM mixed_log
           WHERE topic LIKE '%.%') WHERE n = 1 AND op <> 'd'""", "mixed_log"),
+    "replicate": sql("""
+        SELECT tbl, key, name, num, 'applied' AS fate FROM (
+          SELECT *, row_number() OVER (PARTITION BY tbl, key ORDER BY lsn DESC) AS n FROM m WHERE NOT bad)
+        WHERE n = 1 AND op <> 'd' UNION ALL SELECT tbl, key, NULL, NULL, 'dead' FROM m WHERE bad""", "mixed_log", m="""
+        SELECT *, regexp_extract(topic, '[^.]+$') AS tbl, op = 'u' AND (CAST(key AS BIGINT) % 7 = 0 OR CAST(key AS BIGINT) % 11 = 0)
+               AS bad FROM mixed_log WHERE topic LIKE '%.%'"""),
     "bidirectional_state": sql(
         "SELECT 'a' AS site, * FROM applied UNION ALL SELECT 'b', * FROM applied", "orders_log", applied=_APPLIED),
     "loop_check": sql(

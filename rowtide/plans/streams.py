@@ -60,34 +60,34 @@ HALF_HOUR = 1800
 
 
 def interval_join(spark, root):
-    """Purchases within half an hour after a click of the same type of user (user_id modulo 10)."""
-    ev = _events(spark, root, stream=False).withColumn("grp", F.col("user_id") % 10)
-    a = ev.filter(F.col("event_type") == "click").select("grp", F.col("event_id").alias("click"), F.col("ts").alias("ta"))
+    """Purchases within half an hour after a click of the same user."""
+    ev = _events(spark, root, stream=False)
+    a = ev.filter(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("ta"))
     b = ev.filter(F.col("event_type") == "purchase").select(
-        "grp", F.col("event_id").alias("purchase"), F.col("ts").alias("tb"))
-    out = win.interval_join(a, b, ["grp"], micros(F.col("ta")), micros(F.col("tb")), 0, seconds(HALF_HOUR))
-    return out.select("grp", "click", "purchase")
+        "user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("tb"))
+    out = win.interval_join(a, b, ["user_id"], micros(F.col("ta")), micros(F.col("tb")), 0, seconds(HALF_HOUR))
+    return out.select("user_id", "click", "purchase")
 
 
 def interval_join_stream(spark, root):
-    ev = _events(spark, root).withColumn("grp", F.col("user_id") % 10)
-    a = ev.filter(F.col("event_type") == "click").select("grp", F.col("event_id").alias("click"), F.col("ts").alias("ta"))
-    ev2 = _events(spark, root).withColumn("grp", F.col("user_id") % 10)
+    ev = _events(spark, root)
+    a = ev.filter(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("ta"))
+    ev2 = _events(spark, root)
     b = ev2.filter(F.col("event_type") == "purchase").select(
-        "grp", F.col("event_id").alias("purchase"), F.col("ts").alias("tb"))
-    pairs = st.interval_join_stream(a, b, ["grp"], "ta", "tb", "0 seconds", f"{HALF_HOUR} seconds", "1 hour")
+        "user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("tb"))
+    pairs = st.interval_join_stream(a, b, ["user_id"], "ta", "tb", "0 seconds", f"{HALF_HOUR} seconds", "1 hour")
     d = run_dir(spark, "interval-join")
-    st.run_now(pairs.select("a.grp", "click", "purchase"), f"{d}/out", f"{d}/checkpoint")
+    st.run_now(pairs.select("a.user_id", "click", "purchase"), f"{d}/out", f"{d}/checkpoint")
     return spark.read.parquet(f"{d}/out")
 
 
 def asof_join(spark, root):
-    """Each purchase with the last click before it in its group."""
-    ev = _events(spark, root, stream=False).withColumn("grp", F.col("user_id") % 10)
-    left = ev.filter(F.col("event_type") == "purchase").select("grp", F.col("event_id").alias("purchase"), "ts")
-    right = ev.filter(F.col("event_type") == "click").select("grp", F.col("event_id").alias("click"), "ts")
-    out = win.asof_join(left, right, ["grp"], micros(F.col("ts")), micros(F.col("ts")), ["click"])
-    return out.select("grp", "purchase", "click")
+    """Each purchase with the same user's last click before it."""
+    ev = _events(spark, root, stream=False)
+    left = ev.filter(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("purchase"), "ts")
+    right = ev.filter(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("click"), "ts")
+    out = win.asof_join(left, right, ["user_id"], micros(F.col("ts")), micros(F.col("ts")), ["click"])
+    return out.select("user_id", "purchase", "click")
 
 
 def stream_dedupe(spark, root):
@@ -130,7 +130,7 @@ def stream_hold(spark, root):
         F.col("labels")["instance"].alias("series"), F.lit(120).alias("for_s"), "ts",
         (F.col("value") == 0).alias("active"))
     d = run_dir(spark, "hold")
-    st.run_now(st.stream_hold(flags, 15), f"{d}/out", f"{d}/checkpoint")
+    st.run_now(st.stream_hold(flags, 15, "10 minutes"), f"{d}/out", f"{d}/checkpoint")
     return spark.read.parquet(f"{d}/out").select("alertname", "node", "series", sec("at").alias("sec"), "state")
 
 
@@ -162,13 +162,13 @@ QUERIES = {
     "event_lag_stream": event_lag_stream,
 }
 
-_E = f"SELECT *, epoch_us(ts) - {ORIGIN_US} AS us, CAST(round(value * 100, 0) AS BIGINT) AS cents, user_id % 10 AS grp FROM events"
+_E = f"SELECT *, epoch_us(ts) - {ORIGIN_US} AS us, CAST(round(value * 100, 0) AS BIGINT) AS cents FROM events"
 _SESSIONS = f"""
     SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS "rows", CAST(sum(cents) AS BIGINT) AS cents
     FROM (SELECT *, sum(CASE WHEN p IS NULL OR us - p > {GAP_S * 1000000} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS run
           FROM (SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us) AS p FROM e)) GROUP BY user_id, run"""
 _PAIRS = f"""
-    SELECT a.grp, a.event_id AS click, b.event_id AS purchase FROM e a JOIN e b ON a.grp = b.grp AND a.event_type = 'click'
+    SELECT a.user_id, a.event_id AS click, b.event_id AS purchase FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'click'
     AND b.event_type = 'purchase' AND b.us BETWEEN a.us AND a.us + {HALF_HOUR * 1000000}"""
 
 ORACLE = {
@@ -185,8 +185,8 @@ ORACLE = {
     "interval_join": sql(_PAIRS, e=_E),
     "interval_join_stream": sql(_PAIRS, e=_E),
     "asof_join": sql("""
-        SELECT a.grp, a.event_id AS purchase, b.event_id AS click FROM (SELECT * FROM e WHERE event_type = 'purchase') a
-        ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') b ON a.grp = b.grp AND a.us >= b.us""", e=_E),
+        SELECT a.user_id, a.event_id AS purchase, b.event_id AS click FROM (SELECT * FROM e WHERE event_type = 'purchase') a
+        ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.us >= b.us""", e=_E),
     "stream_dedupe": sql("SELECT event_id, user_id, event_type, cents FROM e", e=_E),
     "enrich_stream": (
         "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey"),

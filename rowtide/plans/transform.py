@@ -90,7 +90,18 @@ def map_types_query(spark, root):
         F.rpad("o_orderstatus", 3, " ").alias("status"), F.col("o_custkey").cast("string").alias("customer"),
     )
     return map_types(src, {"cents": "DECIMAL(18,0)", "status": "CHAR(3)", "customer": "BIGINT"}).withColumn(
-        "cents", F.col("cents").cast("bigint"))
+        "cents", F.col("cents").cast("bigint")).drop("type_error")
+
+
+def map_types_errors(spark, root):
+    """Values that do not fit their declared type are named, not lost in silence."""
+    k = F.col("o_orderkey")
+    src = orders(spark, root).select(
+        "o_orderkey", F.when(k % 97 == 0, "N/A").otherwise(k.cast("string")).alias("amount"),
+        F.when(k % 89 == 0, F.concat(F.col("o_custkey").cast("string"), F.lit("x"))).when(
+            k % 83 != 0, F.col("o_custkey").cast("string")).alias("customer"))
+    return map_types(src, {"amount": "DECIMAL(18,0)", "customer": "BIGINT"}).withColumn(
+        "amount", F.col("amount").cast("bigint"))
 
 
 def check_lengths(spark, root):
@@ -163,6 +174,7 @@ QUERIES = {
     "event_outcomes": event_outcomes,
     "defaults_absent": defaults_absent,
     "map_types": map_types_query,
+    "map_types_errors": map_types_errors,
     "check_lengths": check_lengths,
     "scan_log": scan_log,
     "dlq_split": dlq_split,
@@ -222,6 +234,11 @@ ORACLE = {
     "map_types": """
         SELECT o_orderkey, CAST(round(o_totalprice * 100, 0) AS BIGINT) AS cents, o_orderstatus AS status,
                o_custkey AS customer FROM orders""",
+    "map_types_errors": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderkey END AS amount,
+               CASE WHEN o_orderkey % 89 <> 0 AND o_orderkey % 83 <> 0 THEN o_custkey END AS customer,
+               CASE WHEN o_orderkey % 97 = 0 THEN 'amount' WHEN o_orderkey % 89 = 0 THEN 'customer' END AS type_error
+        FROM orders""",
     "check_lengths": """
         SELECT source AS topic, doc_id AS offset, CASE WHEN strlen(text) > 4000 THEN 'message'
                WHEN length(source) > 4 THEN 'title' ELSE 'ok' END AS verdict FROM documents""",

@@ -9,7 +9,7 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowtide.operators.apply import merge_batch
@@ -59,31 +59,29 @@ def dedupe_stream(ev: DataFrame, ident: list[str], watermark: str, ts: str = "ts
     return ev.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(ident)
 
 
-def run_now(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Process all that is there, append the results to files, stop."""
-    writer = (
-        df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-        .option("path", path).trigger(availableNow=True)
-    )
-    q = writer.start()
-    q.awaitTermination()
+def _start(writer: DataStreamWriter, trigger: dict | None) -> StreamingQuery:
+    """Without a trigger, process all that is there and stop; with one (``Profile.trigger``), leave
+    the query running and hand it over."""
+    q = writer.trigger(**(trigger or {"availableNow": True})).start()
+    if not trigger or "availableNow" in trigger:
+        q.awaitTermination()
     return q
 
 
-def update_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_now(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", trigger: dict | None = None) -> StreamingQuery:
+    """Append the results to files; by default of all that is there, then stop."""
+    writer = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
+    return _start(writer.option("path", path), trigger)
+
+
+def update_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write each batch's changed result rows below ``epoch=<batch>``; a repeated batch
     overwrites its own folder. ``latest_epoch`` reads the current result."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    writer = (
-        df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write)
-    )
-    q = writer.start()
-    q.awaitTermination()
-    return q
+    return _start(df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write), trigger)
 
 
 def latest_epoch(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
@@ -101,7 +99,7 @@ def late_rows(q: StreamingQuery) -> int:
 
 
 def stream_upsert(events: DataFrame, path: str, key: list[str], buckets: int, checkpoint: str, staging: str,
-                  deletes: str = "drop", added: dict[str, int] | None = None) -> StreamingQuery:
+                  deletes: str = "drop", added: dict[str, int] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Apply a stream of change events to a bucketed state table, batch by batch.
 
     The checkpoint names the batch and ``merge_batch`` is safe to repeat, so a lost executor or
@@ -113,34 +111,38 @@ def stream_upsert(events: DataFrame, path: str, key: list[str], buckets: int, ch
     def merge(batch: DataFrame, batch_id: int) -> None:
         merge_batch(batch.sparkSession, path, batch, key, buckets, batch_id, own, deletes, added)
 
-    q = (
-        events.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(merge).start()
-    )
-    q.awaitTermination()
-    return q
+    return _start(events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge), trigger)
 
 
 HOLD_OUT = "alertname string, node string, series string, at timestamp, state string"
 HOLD_STATE = "start_us bigint, last_us bigint, fired boolean"
 
 
-def stream_hold(flags: DataFrame, step_s: int) -> DataFrame:
+def stream_hold(flags: DataFrame, step_s: int, watermark: str | None = None) -> DataFrame:
     """Alert holding while the stream runs: ``firing`` when the condition has held for ``for_s``,
     ``resolved`` when a fired condition ends.
 
     Rule evaluations come in time order per series, one per grid point, so what one call sees of
     a series in one batch is bounded by the grid points of that batch. The state is three numbers
-    per series.
+    per series; a sample not newer than the last one is ignored. With a ``watermark``, a series
+    that stops reporting ends when the watermark has passed its next grid point: its alert is
+    resolved and its state goes.
     """
     step = step_s * 1_000_000
 
     def hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         alertname, node, series, for_s = key
         start, last, fired = state.get if state.exists else (None, None, False)
-        rows = pd.concat(list(chunks)).sort_values("t_us")
         out = []
+        if state.hasTimedOut:
+            rows = pd.DataFrame({"t_us": [], "active": []})
+            out += [(last, "resolved")] if fired else []
+            start = None
+        else:
+            rows = pd.concat(list(chunks)).sort_values("t_us")
         for t, active in zip(rows["t_us"], rows["active"]):
+            if last is not None and t <= last:
+                continue
             broken = last is not None and (not active or t - last > step)
             if broken:
                 if fired:
@@ -155,6 +157,8 @@ def stream_hold(flags: DataFrame, step_s: int) -> DataFrame:
             state.remove()
         else:
             state.update((int(start), int(last), bool(fired)))
+            if watermark:
+                state.setTimeoutTimestamp(max((int(last) + step) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {
                 "alertname": [alertname] * len(out), "node": [node] * len(out), "series": [series] * len(out),
@@ -162,9 +166,11 @@ def stream_hold(flags: DataFrame, step_s: int) -> DataFrame:
             }
         )
 
-    timed = flags.select(
-        "alertname", "node", "series", "for_s", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "active"
-    )
+    timed = event_time(flags)
+    if watermark:
+        timed = timed.withWatermark("ts", watermark)
+    timed = timed.select("alertname", "node", "series", "for_s", "ts", F.unix_micros("ts").alias("t_us"), "active")
+    ends = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     return timed.groupBy("alertname", "node", "series", "for_s").applyInPandasWithState(
-        hold, HOLD_OUT, HOLD_STATE, "append", GroupStateTimeout.NoTimeout
+        hold, HOLD_OUT, HOLD_STATE, "append", ends
     )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 from helpers import event, events
+from rowtide import streaming as st
+from rowtide.functions.types import map_types
 from rowtide.operators import telemetry
-from rowtide.operators.apply import dedupe_delivery, live, merge_batch
+from rowtide.operators.apply import dedupe_delivery, live, merge_batch, split_documents, table_view
 from rowtide.plans.logs import orders
 from rowtide.sources.changes import snapshot_events
 
@@ -35,3 +40,50 @@ def test_replayed_batch_number_is_applied(spark, tmp_path):
     merge_batch(spark, path, events(spark, [event("u", 1, 30, "new", 1), event("c", 3, 31, "x", 1)]), ["id"], 2, 0, staging)
     rows = {r.id: r.name for r in live(spark.read.parquet(path).drop("bucket")).collect()}
     assert rows == {1: "new", 3: "x"}
+
+
+def test_same_batch_number_again_with_other_events(spark, tmp_path):
+    path, staging = str(tmp_path / "t"), str(tmp_path / "s")
+    for lsn, name in ((10, "old"), (20, "new")):
+        merge_batch(spark, path, events(spark, [event("c", 1, lsn, name, 1)]), ["id"], 2, 0, staging)
+    assert [r.name for r in live(spark.read.parquet(path).drop("bucket")).collect()] == ["new"]
+
+
+def test_unreadable_documents_are_dead_letters(spark):
+    schema = StructType.fromDDL("a int, b string")
+    values = ['{"a":1,"b":"x"}', '{"a":1,"b"', '{"a":"N/A","b":"x"}', "", None, '{"a":null}']
+    rows = [("t", str(i), "u", v) for i, v in enumerate(values)] + [("t", "6", "d", None), ("t", "7", None, None), ("other", "8", "u", "?")]
+    log = spark.createDataFrame(rows, "target string, key string, op string, value string")
+    good, dead = split_documents(log, {"t": schema})
+    assert sorted(r.key for r in good.collect()) == ["0", "5", "6", "7", "8"]
+    assert sorted(r.key for r in dead.collect()) == ["1", "2", "3", "4"]
+    read, unread = table_view(log.filter("key < '6'"), "t", schema)
+    assert sorted((r.key, r.a) for r in read.collect()) == [("0", 1), ("5", None)]
+    assert sorted(r.key for r in unread.collect()) == ["1", "2", "3", "4"]
+
+
+def test_values_that_do_not_fit_are_named(spark):
+    rows = spark.createDataFrame([("1", "2"), ("N/A", "3"), (None, "x")], "a string, b string")
+    got = map_types(rows, {"a": "BIGINT", "b": "INT"}).collect()
+    assert [(r.a, r.b, r.type_error) for r in got] == [(1, 2, None), (None, 3, "a"), (None, None, "b")]
+
+
+def test_held_alert_of_a_vanished_series_is_resolved(spark, tmp_path):
+    def tick(series, t, active=True):
+        return series, 100_000 + t, active
+
+    batches = [
+        [tick("gone", t) for t in range(0, 90, 15)] + [tick("stays", t) for t in range(0, 90, 15)],
+        [tick("stays", 45, False)] + [tick("stays", t) for t in range(90, 600, 15)],  # the first one comes late
+        [tick("stays", 600)],
+    ]
+    schema = "series string, t bigint, active boolean"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flags = ticks.select(F.lit("A").alias("alertname"), F.lit("n").alias("node"), "series", F.lit(60).alias("for_s"),
+                         F.timestamp_seconds("t").alias("ts"), "active")
+    st.run_now(st.stream_hold(flags, 15, "100 seconds"), str(tmp_path / "out"), str(tmp_path / "c"))
+    out = spark.read.parquet(str(tmp_path / "out")).select("series", F.unix_seconds("at").alias("t"), "state")
+    assert sorted(tuple(r) for r in out.collect()) == [
+        ("gone", 100_060, "firing"), ("gone", 100_075, "resolved"), ("stays", 100_060, "firing")]
