@@ -154,8 +154,7 @@ def _odd_names(df):
 
 
 def remediation(spark, root):
-    parts = [_odd_names(df(spark, root)) for df in (tables, change_tables, keys)]
-    return au.remediation(*parts, "dbo", ROLE)
+    return au.remediation(_odd_names(tables(spark, root)), change_tables(spark, root), keys(spark, root), "dbo", ROLE)
 
 
 def publication_remediation(spark, root):

@@ -13,8 +13,8 @@ from rowtide.sources.changes import select_tables
 from rowtide.sources.tables import read_table
 
 KEY = ["o_orderkey"]
-PERSON = StructType.fromDDL("name string, bal double")
-SCHEMAS = {"customer": PERSON, "supplier": PERSON, "part": StructType.fromDDL("name string, size int")}
+PERSON = StructType().add("name", "string").add("bal", "double")
+SCHEMAS = {"customer": PERSON, "supplier": PERSON, "part": StructType().add("name", "string").add("size", "integer")}
 
 
 def _upsert(deletes):
