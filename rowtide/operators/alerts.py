@@ -1,14 +1,15 @@
 """Alert rules over samples, holding, inhibition, notification.
 
 ``evaluate`` turns samples into condition flags, one row per rule, series and instant;
-``hold_for`` turns flags into pending and firing intervals; ``firing_instants`` spreads the
-firing part over the evaluation grid again, where inhibition and grouping are plain equi-joins.
+``hold_for`` turns flags into pending and firing intervals; inhibition and grouping work on those
+intervals, so a long alert costs no more than the chunks of time it lasts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from rowtide.functions.clock import from_micros, micros, seconds
 from rowtide.functions.labels import label
 from rowtide.functions.names import whole
 from rowtide.operators import telemetry as tm
-from rowtide.operators.windows import DAY, asof_join, grid_points, merge_runs
+from rowtide.operators.windows import DAY, asof_join, cut_out, merge_intervals, merge_runs
 from rowtide.sources.changes import union_all
 
 
@@ -35,27 +36,12 @@ class AlertRule:
     window_s: int = 0
     other: str = ""
 
-    def met(self) -> str:
-        return f"value {'=' if self.op == '==' else self.op} {float(self.threshold)}D"
-
-    def selects(self, metric: str | None = None) -> str:
-        """Condition on ``metric`` and ``labels``, as SQL text."""
-        conds = [f"metric = {text(metric or self.metric)}"]
-        conds += [f"{_label(k)} = {text(v)}" for k, v in self.eq.items()]
-        conds += [f"{_label(k)} rlike {text(whole(p))}" for k, p in self.regex.items()]
-        conds += [f"NOT {_label(k)} rlike {text(whole(p))}" for k, p in self.not_regex.items()]
-        return " AND ".join(conds)
-
 
 def text(value: str) -> str:
     """A string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _label(name: str) -> str:
-    return f"coalesce(try_element_at(labels, {text(name)}), '')"
-
-
 _STREAMING, _SNAPSHOT = {"context": "streaming"}, {"context": "snapshot"}
 _MESSAGES = "kafka_server_brokertopicmetrics_messagesinpersec"
 _DLQ = {"topic": "dlq-.*"}
@@ -130,40 +116,50 @@ def classify(value: Column, bounds: list[tuple[float | None, str]]) -> Column:
 
 _RANGE_FN = {"rate": "rate", "sum_rate": "rate", "busy": "rate", "deriv": "deriv", "stalled": "changes"}
 _KEYS = ["alertname", "severity", "for_s", "ts", "node", "series"]
-
-
-def _part(r: AlertRule, cond: str, node: str, series: str, a: str, b: str = "NULL") -> str:
-    """What one sample adds to one rule, or null. SQL text: there are many of these, and one text
-    is far quicker to hand over than as many column objects."""
+_MATCH = [("name", pa.string()), ("wanted", pa.string())]
+_USES = pa.schema([
+    ("_rule", pa.int32()), ("metric", pa.string()), ("_of", pa.string()), ("_per", pa.string()), ("_main", pa.bool_()),
+    ("_positive", pa.bool_()), *[(n, pa.list_(pa.struct(_MATCH))) for n in ("_eq", "_regex", "_not_regex")],
+])
+_FACTS = pa.schema([
+    ("_rule", pa.int32()), ("alertname", pa.string()), ("severity", pa.string()), ("for_s", pa.int32()), ("_kind", pa.string()),
+    ("_op", pa.string()), ("_threshold", pa.float64()),
+])
+
+
+def _uses(rules: list[AlertRule]) -> list[dict]:
+    """The metrics that each rule reads: which column, by what it is grouped, on which side of the
+    rule's formula, and the conditions on labels."""
+    out = []
+    for i, r in enumerate(rules):
+        per = {"sum": "", "sum_rate": "", "used": "instance", "busy": "instance"}.get(r.kind, "series")
+        of = f"_{_RANGE_FN[r.kind]}_{r.window_s}" if r.kind in _RANGE_FN else "value"
+        match = {"_eq": r.eq, "_regex": {k: whole(p) for k, p in r.regex.items()},
+                 "_not_regex": {k: whole(p) for k, p in r.not_regex.items()}}
+        use = {"_rule": i, "_per": per, **{n: [{"name": k, "wanted": v} for k, v in m.items()] for n, m in match.items()}}
+        out.append({**use, "metric": r.metric, "_of": of, "_main": True, "_positive": False})
+        if r.other:
+            out.append({**use, "metric": r.other, "_of": "value", "_main": False, "_positive": r.kind == "stalled"})
+    return out
+
+
+def _used_by(rows: DataFrame, uses: list[dict], columns: list[str]) -> DataFrame:
+    """Samples joined with the rules that read their metric, where the rule's label conditions hold:
+    ``_rule, ts, node, series, _v, _main``. The rules are a small table; Spark chooses the join."""
+    table = rows.sparkSession.createDataFrame(pa.Table.from_pylist(uses, _USES))
+    has = "coalesce(try_element_at(labels, m.name), '')"
+    v = F.expr(f"CASE _of {' '.join(f'WHEN {text(c)} THEN {c}' for c in columns)} END")
+    per = "CASE _per WHEN 'series' THEN series WHEN 'instance' THEN instance ELSE '' END"
     return (
-        f"CASE WHEN {cond} THEN named_struct('alertname', {text(r.name)}, 'severity', {text(r.severity)}, "
-        f"'for_s', {r.for_s}, 'node', {node}, 'series', {series}, "
-        f"'_a', CAST({a} AS DOUBLE), '_b', CAST({b} AS DOUBLE)) END"
+        rows.join(table, "metric")
+        .filter(f"forall(_eq, m -> {has} = m.wanted)")
+        .filter(f"forall(_regex, m -> {has} rlike m.wanted) AND forall(_not_regex, m -> NOT {has} rlike m.wanted)")
+        .withColumn("_v", v)
+        .filter("NOT _positive OR _v > 0")
+        .selectExpr("_rule", "ts", "IF(_per = '', '', node) AS node", f"{per} AS series", "_v", "_main")
     )
 
 
-def _parts(df: DataFrame, parts: list[str]) -> DataFrame:
-    return df.selectExpr("ts", f"inline(array_compact(array({', '.join(parts)})))")
-
-
-def _plain_parts(r: AlertRule) -> list[str]:
-    """Contributions of samples as they are: sums, used shares, the second half of ``stalled``."""
-    if r.kind == "sum":
-        return [_part(r, r.selects(), "''", "''", "value")]
-    if r.kind == "used":
-        return [_part(r, r.selects(), "node", "instance", "value"),
-                _part(r, r.selects(r.other), "node", "instance", "NULL", "value")]
-    return [_part(r, r.selects(r.other) + " AND value > 0", "node", "series", "NULL", "value")]
-
-
-def _ranged_part(r: AlertRule) -> str:
-    a = f"_{_RANGE_FN[r.kind]}_{r.window_s}"
-    cond = f"{r.selects()} AND {a} IS NOT NULL"
-    if r.kind == "sum_rate":
-        return _part(r, cond, "''", "''", a)
-    return _part(r, cond, "node", "instance" if r.kind == "busy" else "series", a)
-
-
 # the rule's value from the sums of a group, by kind
 _GROUPED = {
     "sum": "_sum", "sum_rate": "_sum", "rate": "_sum", "deriv": "_sum",
@@ -171,57 +167,62 @@ _GROUPED = {
     "used": "(1 - _max / _other) * 100",
     "stalled": "IF(_other IS NOT NULL, _max, NULL)",
 }
+_OPS = {">": ">", ">=": ">=", "<": "<", "<=": "<=", "==": "=", "!=": "<>"}
 
 
-def _by_rule(rules: list[AlertRule], make) -> Column:
-    arms = " ".join(f"WHEN {text(r.name)} THEN {make(r)}" for r in rules)
-    return F.expr(f"CASE alertname {arms} END")
+def _case(column: str, arms: dict[str, str]) -> Column:
+    return F.expr(f"CASE {column} {' '.join(f'WHEN {text(k)} THEN {v}' for k, v in arms.items())} END")
 
 
 def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us: int = DAY) -> DataFrame:
-    """Flags ``ts, alertname, severity, node, series, for_s, value, active`` of all rules.
-
-    The number of passes over the samples does not depend on the number of rules. Threshold rules
-    are one pass without a shuffle. Range functions are laid out by series and chunk of time, once
-    per function, and what the samples add to a rule is summed per rule, instant and series, which
-    also replaces the joins between two metrics. Rules that aggregate over series have the empty
-    series and node.
+    """Flags ``alertname, severity, for_s, ts, node, series, value, active`` of all rules.
+
+    The rules are a table that the samples are joined with by metric, so a sample meets only the
+    rules that read it, and neither the passes over the samples nor the size of an expression
+    depends on the number of rules. Threshold rules are one pass without a shuffle. Range functions
+    are laid out by series and chunk of time, once per function, and what the samples add to a rule
+    is summed per rule, instant and series, which also replaces the joins between two metrics. Rules
+    that aggregate over series have the empty series and node.
     """
     rules = ALERT_RULES if rules is None else rules
     base = tm.with_series(samples).withColumns(
         {"node": label(F.col("labels"), "node"), "instance": label(F.col("labels"), "instance")}
     )
+    uses = _uses(rules)
 
-    def of(metrics: list[str]) -> DataFrame:
-        return base.filter(F.col("metric").isin(sorted(set(metrics))))
+    def of(chosen: list[dict]) -> DataFrame:
+        return base.filter(F.col("metric").isin(sorted({u["metric"] for u in chosen})))
 
-    direct = [r for r in rules if r.kind == "value"]
-    grouped = [r for r in rules if r.kind != "value"]
-    plain = [r for r in grouped if r.kind in ("sum", "used", "stalled")]
-    ranged = [r for r in grouped if r.kind in _RANGE_FN]
+    direct = [u for u in uses if rules[u["_rule"]].kind == "value"]
+    plain = [u for u in uses if u["_of"] == "value" and u not in direct]
     out, adds = [], []
     if direct:
-        seen = _parts(of([r.metric for r in direct]), [
-            _part(r, r.selects(), "node", "series", "value") for r in direct])
-        out.append(seen.select(*_KEYS, F.col("_a").alias("value")))
+        out.append(_used_by(of(direct), direct, ["value"]).withColumnRenamed("_v", "value").drop("_main"))
     if plain:
-        names = [r.metric for r in plain if r.kind != "stalled"] + [r.other for r in plain if r.other]
-        adds.append(_parts(of(names), [p for r in plain for p in _plain_parts(r)]))
-    for fn in sorted({_RANGE_FN[r.kind] for r in ranged}):
+        adds.append(_used_by(of(plain), plain, ["value"]))
+    ranged = [u for u in uses if u["_of"] != "value"]
+    for fn in sorted({_RANGE_FN[rules[u["_rule"]].kind] for u in ranged}):
         # one layout per function: a frame costs its length for every row, so rows of metrics that
         # do not need it stay out
-        mine = [r for r in ranged if _RANGE_FN[r.kind] == fn]
-        specs = {f"_{fn}_{r.window_s}": (fn, r.window_s) for r in mine}
-        rows = tm.range_columns(of([r.metric for r in mine]), specs, chunk_us=chunk_us)
-        adds.append(_parts(rows, [_ranged_part(r) for r in mine]))
+        mine = [u for u in ranged if _RANGE_FN[rules[u["_rule"]].kind] == fn]
+        specs = {u["_of"]: (fn, rules[u["_rule"]].window_s) for u in mine}
+        adds.append(_used_by(tm.range_columns(of(mine), specs, chunk_us=chunk_us), mine, list(specs)))
+    facts = [
+        {"_rule": i, "alertname": r.name, "severity": r.severity, "for_s": r.for_s, "_kind": r.kind, "_op": r.op,
+         "_threshold": float(r.threshold)}
+        for i, r in enumerate(rules)
+    ]
+    facts = samples.sparkSession.createDataFrame(pa.Table.from_pylist(facts, _FACTS))
     if adds:
-        sums = union_all(adds).groupBy(*_KEYS).agg(
-            F.sum("_a").alias("_sum"), F.avg("_a").alias("_avg"), F.max("_a").alias("_max"), F.max("_b").alias("_other"))
-        paired = ~F.col("alertname").isin([r.name for r in grouped if r.kind == "used"]) | F.col("_other").isNotNull()
-        whole = sums.filter(F.col("_max").isNotNull() & paired)
-        out.append(whole.select(*_KEYS, _by_rule(grouped, lambda r: _GROUPED[r.kind]).alias("value")))
-    met = _by_rule(rules, lambda r: r.met())
-    return union_all(out).withColumn("active", F.coalesce(met, F.lit(False)))
+        main, other = F.when(F.col("_main"), F.col("_v")), F.when(~F.col("_main"), F.col("_v"))
+        sums = union_all(adds).filter("_v IS NOT NULL").groupBy("_rule", "ts", "node", "series").agg(
+            F.sum(main).alias("_sum"), F.avg(main).alias("_avg"), F.max(main).alias("_max"), F.max(other).alias("_other"))
+        whole_ = sums.filter("_max IS NOT NULL").join(facts.select("_rule", "_kind"), "_rule")
+        whole_ = whole_.filter("_kind <> 'used' OR _other IS NOT NULL")
+        out.append(whole_.select("_rule", "ts", "node", "series", _case("_kind", _GROUPED).alias("value")))
+    met = _case("_op", {k: f"value {v} _threshold" for k, v in _OPS.items()})
+    flags = union_all(out).join(facts, "_rule")
+    return flags.select(*_KEYS, "value", F.coalesce(met, F.lit(False)).alias("active"))
 
 
 def hold_for(flags: DataFrame, step_s: int, by: list[str] = FLAG, chunk_us: int = DAY) -> DataFrame:
@@ -244,21 +245,21 @@ def hold_for(flags: DataFrame, step_s: int, by: list[str] = FLAG, chunk_us: int
     )
 
 
-def firing_instants(held: DataFrame, step_s: int) -> DataFrame:
-    """One row per grid point at which an alert fires."""
+def firing(held: DataFrame) -> DataFrame:
+    """The intervals in which alerts fire, ``start_us`` to ``end_us``, both included."""
     on = held.filter(F.col("firing_at").isNotNull())
-    points = grid_points(on, micros(F.col("firing_at")), micros(F.col("last_at")), seconds(step_s), "_p")
-    return points.drop("pending_at", "firing_at", "last_at", "state").withColumn("ts", from_micros(F.col("_p"))).drop("_p")
+    ends = {"start_us": micros(F.col("firing_at")), "end_us": micros(F.col("last_at"))}
+    return on.withColumns(ends).drop("pending_at", "firing_at", "last_at", "state")
 
 
-def inhibit(instants: DataFrame, equal: list[str] = ("alertname", "node"), source: str = "critical",
-            target: str = "warning") -> DataFrame:
-    """Hide a warning at every instant at which a critical alert with equal labels fires."""
-    on = ["ts", *equal]
-    loud = instants.filter(F.col("severity") == source).select(*on).distinct()
-    loud = loud.withColumn("_loud", F.lit(True))
-    joined = instants.join(loud, on, "left")
-    return joined.filter(~((F.col("severity") == target) & F.col("_loud").isNotNull())).drop("_loud")
+def inhibit(fires: DataFrame, step_s: int, equal: list[str] = ("alertname", "node"), source: str = "critical",
+            target: str = "warning", chunk_us: int = DAY) -> DataFrame:
+    """Cut from each warning's firing intervals what lies in those of a critical alert with equal
+    labels; intervals of other severities stay as they are."""
+    quiet = F.col("severity") == target
+    loud = fires.filter(F.col("severity") == source).select(*equal, "start_us", "end_us")
+    left = cut_out(fires.filter(quiet), loud, list(equal), seconds(step_s), chunk_us)
+    return fires.filter(~F.coalesce(quiet, F.lit(False))).unionByName(left)
 
 
 def _by_severity(table: dict[str, int], default: int) -> Column:
@@ -268,28 +269,28 @@ def _by_severity(table: dict[str, int], default: int) -> Column:
     return out.cast("bigint") * 1_000_000
 
 
-def notifications(instants: DataFrame, step_s: int, group: list[str] = ("alertname", "severity", "node"),
+def notifications(fires: DataFrame, step_s: int, group: list[str] = ("alertname", "severity", "node"),
                   member: str = "series", chunk_us: int = DAY) -> DataFrame:
-    """When a group of alerts is notified: ``first``, ``repeat`` or ``update``.
+    """When a group of alerts is notified: ``first``, ``repeat``, ``update`` or ``resolved``.
 
-    A group is active while any member fires. It is announced once its wait is over, again after
-    each repeat interval counted from there, and at the next group interval after a new member
-    started to fire.
+    ``fires`` are firing intervals, after inhibition. A group is active while any member fires. It
+    is announced once its wait is over, again after each repeat interval counted from there, and at
+    the next group interval after a new member started to fire. A group that was announced is
+    resolved at the first group interval after its last instant.
     """
     group = list(group)
-    t = micros(F.col("ts"))
     step = seconds(step_s)
-    episodes = merge_runs(instants.select(*group, "ts").distinct(), group, t, step, chunk_us=chunk_us)
+    episodes = merge_intervals(fires, group, step, chunk_us)
     first = F.col("start_us") + _by_severity(GROUP_WAIT_S, DEFAULT_WAIT_S)
     told = episodes.withColumn("_first", first).filter(F.col("_first") <= F.col("end_us"))
     repeat = _by_severity(REPEAT_S, DEFAULT_REPEAT_S)
     calls = told.select(*group, "_first", F.explode(F.sequence("_first", "end_us", repeat)).alias("_at")).select(
         *group, "_at", F.when(F.col("_at") == F.col("_first"), "first").otherwise("repeat").alias("kind")
     )
-    joins = merge_runs(instants, group + [member], t, step, chunk_us=chunk_us).select(
-        *group, F.col("start_us").alias("_joined")
-    )
+    joins = merge_intervals(fires, group + [member], step, chunk_us).select(*group, F.col("start_us").alias("_joined"))
     every = seconds(GROUP_INTERVAL_S)
+    over = F.col("_first") + (F.floor((F.col("end_us") - F.col("_first")) / F.lit(float(every))).cast("bigint") + 1) * every
+    ends = told.select(*group, over.alias("_at"), F.lit("resolved").alias("kind"))
     behind = F.col("_joined") - F.col("_first")
     tick = F.col("_first") + F.ceil(behind / F.lit(float(every))).cast("bigint") * every
     within = asof_join(joins, told, group, F.col("_joined"), F.col("start_us"), ["_first", "end_us"], chunk_us)
@@ -297,4 +298,4 @@ def notifications(instants: DataFrame, step_s: int, group: list[str] = ("alertna
     updates = within.filter(late).withColumn("_at", tick).filter(F.col("_at") <= F.col("end_us")).select(
         *group, "_at", F.lit("update").alias("kind")
     ).distinct()
-    return calls.unionByName(updates).select(*group, from_micros(F.col("_at")).alias("at"), "kind")
+    return calls.unionByName(updates).unionByName(ends).select(*group, from_micros(F.col("_at")).alias("at"), "kind")

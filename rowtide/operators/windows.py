@@ -107,8 +107,14 @@ def merge_runs(df: DataFrame, by: list[str], t: Column, gap_us: int, aggs: dict[
             F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count("*").alias("_n"),
             *[_FIRST[fn](F.col(c)).alias(name) for name, (fn, c) in aggs.items()],
         )
-        .withColumn("_runs", F.max("_run").over(Window.partitionBy(*by, "_chunk")))
     )
+    merged = [F.sum("_n").alias("rows"), *[_MERGE[fn](F.col(name)).alias(name) for name, (fn, _) in aggs.items()]]
+    return _across_chunks(runs, by, gap_us, merged)
+
+
+def _across_chunks(runs: DataFrame, by: list[str], gap_us: int, merged: list[Column]) -> DataFrame:
+    """Join the runs of neighbouring chunks; those in the middle of a chunk are complete."""
+    runs = runs.withColumn("_runs", F.max("_run").over(Window.partitionBy(*by, "_chunk")))
     edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
     laned = runs.withColumn("_lane", F.when(~edge, F.col("_chunk")))
     w2 = Window.partitionBy(*by, "_lane").orderBy("_s")
@@ -118,14 +124,59 @@ def merge_runs(df: DataFrame, by: list[str], t: Column, gap_us: int, aggs: dict[
         laned.withColumn("_new", starts2)
         .withColumn("_whole", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*by, "_lane", "_whole")
-        .agg(
-            F.min("_s").alias("start_us"), F.max("_e").alias("end_us"), F.sum("_n").alias("rows"),
-            *[_MERGE[fn](F.col(name)).alias(name) for name, (fn, _) in aggs.items()],
-        )
+        .agg(F.min("_s").alias("start_us"), F.max("_e").alias("end_us"), *merged)
         .drop("_lane", "_whole")
     )
 
 
+def split_intervals(df: DataFrame, chunk_us: int = DAY) -> DataFrame:
+    """Cut each interval ``start_us`` to ``end_us``, both included, at the borders of the chunks:
+    one row ``_chunk, _s, _e`` for each chunk it touches, however many instants lie in it."""
+    chunks = F.sequence(_start(F.col("start_us"), chunk_us), F.col("end_us"), F.lit(chunk_us))
+    return df.withColumn("_chunk", F.explode(chunks)).withColumns({
+        "_s": F.greatest("start_us", "_chunk"), "_e": F.least(F.col("end_us"), F.col("_chunk") + (chunk_us - 1)),
+    })
+
+
+def merge_intervals(df: DataFrame, by: list[str], gap_us: int, chunk_us: int = DAY) -> DataFrame:
+    """Union of intervals ``start_us`` to ``end_us``; those at most ``gap_us`` apart become one.
+    Result: ``by``, ``start_us``, ``end_us``."""
+    pieces = split_intervals(df.select(*by, "start_us", "end_us"), max(chunk_us, gap_us))
+    w = Window.partitionBy(*by, "_chunk").orderBy("_s", "_e")
+    reached = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(reached.isNull() | (F.col("_s") - reached > gap_us), 1).otherwise(0)
+    runs = pieces.withColumn("_new", starts).withColumn(
+        "_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ).groupBy(*by, "_chunk", "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    return _across_chunks(runs, by, gap_us, [])
+
+
+def cut_out(df: DataFrame, holes: DataFrame, on: list[str], step_us: int, chunk_us: int = DAY) -> DataFrame:
+    """What is left of the intervals of ``df`` where no interval of ``holes`` with equal ``on`` lies.
+
+    Ends are included and lie on a grid of ``step_us``. Both sides are cut into chunks and meet by
+    (on, chunk); holes are merged first, so a piece meets at most one for every two grid points of
+    its chunk. Other columns of ``df`` are kept and tell its intervals apart.
+    """
+    size = max(chunk_us, step_us)
+    keys = [c for c in df.columns if c not in ("start_us", "end_us")]
+    phase = F.pmod(F.col("start_us"), F.lit(step_us))
+    pieces = split_intervals(df.withColumn("_phase", phase), size)
+    pieces = pieces.withColumns({
+        "_s": F.col("_s") + F.pmod(F.col("_phase") - F.col("_s"), F.lit(step_us)),
+        "_e": F.col("_e") - F.pmod(F.col("_e") - F.col("_phase"), F.lit(step_us)),
+    }).filter("_s <= _e")
+    gone = split_intervals(merge_intervals(holes, on, step_us, chunk_us), size)
+    gone = gone.groupBy(*on, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_s", "_e"))).alias("_holes"))
+    met = pieces.join(gone, [*on, "_chunk"], "left").withColumn(
+        "_holes", F.coalesce("_holes", F.expr("cast(array() as array<struct<_s: bigint, _e: bigint>>)")))
+    froms = F.concat(F.array("_s"), F.transform("_holes", lambda h: F.greatest(F.col("_s"), h["_e"] + step_us)))
+    tos = F.concat(F.transform("_holes", lambda h: F.least(F.col("_e"), h["_s"] - step_us)), F.array("_e"))
+    left = F.filter(F.arrays_zip(froms.alias("start_us"), tos.alias("end_us")), lambda x: x["start_us"] <= x["end_us"])
+    rest = met.select(*keys, F.inline(left))
+    return merge_intervals(rest, keys, step_us, chunk_us)
+
+
 def interval_join(a: DataFrame, b: DataFrame, key: list[str], ta: Column, tb: Column, low_us: int, high_us: int,
                   how: str = "inner") -> DataFrame:
     """Pairs with equal key and ``ta + low <= tb <= ta + high``.

@@ -4,27 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowtide.functions.clock import from_micros, seconds
 from rowtide.operators import alerts as al
 from rowtide.plans.logs import SCRAPE, scrape, scrape_sql, sec, sql
 from rowtide.plans.metrics import HOUR
-from rowtide.sources.tables import cut_lineage, stored
+from rowtide.sources.tables import cut_lineage
 
 STEP = 15
 
 
 def flags(spark, root):
-    """The rules read the samples several times, so they are derived and stored once."""
-    samples = stored(scrape(spark, root), "samples", within="metric")
-    return al.evaluate(samples, chunk_us=HOUR)
+    return al.evaluate(scrape(spark, root), chunk_us=HOUR)
 
 
 def held(spark, root):
     return al.hold_for(flags(spark, root), STEP, chunk_us=HOUR)
 
 
-def instants(spark, root):
-    """Grid points at which alerts fire; the few intervals they come from are stored first."""
-    return al.firing_instants(cut_lineage(held(spark, root)), STEP)
+def heard(spark, root):
+    """Firing intervals after inhibition, with both lag alerts under one name: the warning is hidden
+    on nodes where the critical fires. The few intervals that fire are stored first."""
+    one = F.when(F.col("alertname").startswith("CDCLag"), "CDCLag").otherwise(F.col("alertname"))
+    fires = al.firing(cut_lineage(held(spark, root))).withColumn("alertname", one)
+    return al.inhibit(fires, STEP, chunk_us=HOUR)
 
 
 def alert_flags(spark, root):
@@ -39,14 +41,17 @@ def hold_for(spark, root):
 
 
 def inhibit(spark, root):
-    """Both lag alerts under one name: the warning is hidden on nodes where the critical fires."""
-    one = F.when(F.col("alertname").startswith("CDCLag"), "CDCLag").otherwise(F.col("alertname"))
-    return al.inhibit(instants(spark, root).withColumn("alertname", one)).groupBy("alertname", "severity", "node").agg(
-        F.count("*").alias("instants"), F.min(sec()).alias("first_sec"), F.max(sec()).alias("last_sec"))
+    step = seconds(STEP)
+    n = F.sum(((F.col("end_us") - F.col("start_us")) / step).cast("bigint") + 1)
+    out = heard(spark, root).groupBy("alertname", "severity", "node").agg(
+        n.alias("instants"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    a, b = from_micros(F.col("start_us")).alias("a"), from_micros(F.col("end_us")).alias("b")
+    return out.select("alertname", "severity", "node", "instants", a, b).select(
+        "alertname", "severity", "node", "instants", sec("a").alias("first_sec"), sec("b").alias("last_sec"))
 
 
 def notifications(spark, root):
-    out = al.notifications(instants(spark, root), STEP, chunk_us=HOUR)
+    out = al.notifications(cut_lineage(heard(spark, root)), STEP, chunk_us=HOUR)
     return out.select("alertname", "severity", "node", sec("at").alias("sec"), "kind")
 
 
@@ -135,18 +140,27 @@ _HELD = """
 _INSTANTS = """
     SELECT alertname, severity, node, series, unnest(generate_series(fire_sec, end_sec, 15)) AS sec
     FROM held WHERE fire_sec IS NOT NULL"""
+_HEARD = """
+    SELECT * FROM (SELECT * REPLACE (CASE WHEN alertname LIKE 'CDCLag%' THEN 'CDCLag' ELSE alertname END AS alertname) FROM instants) i
+    WHERE NOT (severity = 'warning' AND (alertname, node, sec) IN
+      (SELECT (CASE WHEN alertname LIKE 'CDCLag%' THEN 'CDCLag' ELSE alertname END, node, sec) FROM instants
+       WHERE severity = 'critical'))"""
+_JOINS = """
+    SELECT alertname, severity, node, series, sec AS joined
+    FROM (SELECT *, lag(sec) OVER (PARTITION BY alertname, severity, node, series ORDER BY sec) AS p FROM heard)
+    WHERE p IS NULL OR sec - p > 15"""
 _EPISODES = """
     SELECT alertname, severity, node, min(sec) AS a, max(sec) AS b,
            min(sec) + CASE severity WHEN 'critical' THEN 10 ELSE 60 END AS f
     FROM (SELECT *, sum(CASE WHEN p IS NULL OR sec - p > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY alertname, severity, node ORDER BY sec) AS run
           FROM (SELECT *, lag(sec) OVER (PARTITION BY alertname, severity, node ORDER BY sec) AS p
-                FROM (SELECT DISTINCT alertname, severity, node, sec FROM instants)))
+                FROM (SELECT DISTINCT alertname, severity, node, sec FROM heard)))
     GROUP BY alertname, severity, node, run"""
 
 
 def _chain(body, *parts):
     known = {"s": f"SELECT *, concat_ws('|', {_LABEL_TEXT}) AS series FROM ({scrape_sql([m for m, *_ in SCRAPE])})",
-             "r": _RANGES, "flags": _FLAGS, "held": _HELD, "instants": _INSTANTS, "episodes": _EPISODES}
+             "r": _RANGES, "flags": _FLAGS, "held": _HELD, "instants": _INSTANTS, "heard": _HEARD, "joins": _JOINS, "episodes": _EPISODES}
     return sql(body, **{k: v for k, v in known.items() if k in ("s", "r", "flags") or k in parts})
 
 
@@ -158,16 +172,15 @@ ORACLE = {
                CASE WHEN fire_sec IS NULL THEN 'pending' ELSE 'firing' END AS state FROM held""", "held"),
     "inhibit": _chain("""
         SELECT alertname, severity, node, count(*) AS instants, min(sec) AS first_sec, max(sec) AS last_sec
-        FROM (SELECT * REPLACE (CASE WHEN alertname LIKE 'CDCLag%' THEN 'CDCLag' ELSE alertname END AS alertname) FROM instants) i
-        WHERE NOT (severity = 'warning' AND (alertname, node, sec) IN
-          (SELECT (CASE WHEN alertname LIKE 'CDCLag%' THEN 'CDCLag' ELSE alertname END, node, sec) FROM instants
-           WHERE severity = 'critical')) GROUP BY ALL""", "held", "instants"),
+        FROM heard GROUP BY ALL""", "held", "instants", "heard"),
     "notifications": _chain("""
         SELECT alertname, severity, node, moment AS sec, CASE WHEN moment = f THEN 'first' ELSE 'repeat' END AS kind
         FROM (SELECT *, unnest(generate_series(f, b, CASE severity WHEN 'critical' THEN 3600 ELSE 14400 END)) AS moment
               FROM episodes WHERE f <= b)
         UNION ALL SELECT DISTINCT alertname, severity, node, moment, 'update' FROM (
-          SELECT e.*, CAST(f + ceil((h.fire_sec - f) / 300.0) * 300 AS BIGINT) AS moment FROM episodes e JOIN held h
-          USING (alertname, severity, node) WHERE e.f <= e.b AND h.fire_sec > e.f AND h.fire_sec <= e.b) WHERE moment <= b
-        """, "held", "instants", "episodes"),
+          SELECT e.*, CAST(f + ceil((joined - f) / 300.0) * 300 AS BIGINT) AS moment FROM episodes e JOIN joins j
+          USING (alertname, severity, node) WHERE e.f <= e.b AND joined > e.f AND joined <= e.b) WHERE moment <= b
+        UNION ALL SELECT alertname, severity, node, CAST(f + (floor((b - f) / 300.0) + 1) * 300 AS BIGINT), 'resolved'
+        FROM episodes WHERE f <= b
+        """, "held", "instants", "heard", "joins", "episodes"),
 }

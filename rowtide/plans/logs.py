@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.sources.changes import source_struct
+from rowtide.sources.changes import source_struct, union_all
 from rowtide.sources.tables import read_table
 
 TOPIC = "sqlserver.shop.dbo.orders"
@@ -291,24 +291,23 @@ LABELS = sorted({name for _, labels, _, _ in SCRAPE for name in labels})
 
 
 def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None, df: DataFrame | None = None) -> DataFrame:
-    """Samples ``ts, metric, labels, series, value``; one scan of ``events`` (or its stream ``df``),
-    whatever is asked for."""
+    """Samples ``ts, metric, labels, series, value``: a narrow scan of ``events`` (or its stream
+    ``df``) for each metric, so a filter on ``metric`` leaves out the scans of all others."""
     ev = (read_table(spark, root, "events") if df is None else df).select(
         ((F.col("event_id") - F.col("event_id") % 8) / 8).cast("bigint").alias("tick"),
         (F.col("event_id") % 8).alias("g"), F.floor("value").cast("bigint").alias("v"),
     )
+    at = F.timestamp_micros(F.col("tick") * 15_000_000 + ORIGIN_US).cast("timestamp_ntz").alias("ts")
     found = []
     for metric, labels, value, cond in SCRAPE:
         if metrics is not None and metric not in metrics:
             continue
         pairs = ", ".join(f"'{k}', {v}" for k, v in labels.items())
         series = ", ',', ".join(f"'{k}=', {labels[k]}" for k in sorted(labels))
-        found.append(
-            f"case when {cond} then named_struct('metric', '{metric}', 'labels', map({pairs}), "
-            f"'series', concat({series}), 'value', cast({value} as double)) end"
-        )
-    at = F.timestamp_micros(F.col("tick") * 15_000_000 + ORIGIN_US).cast("timestamp_ntz")
-    return ev.select(at.alias("ts"), F.expr(f"inline(array_compact(array({', '.join(found)})))"))
+        found.append(ev.filter(cond).select(
+            at, F.lit(metric).alias("metric"), F.expr(f"map({pairs})").alias("labels"), F.expr(f"concat({series})").alias("series"),
+            F.expr(f"cast({value} as double)").alias("value")))
+    return union_all(found)
 
 
 def scrape_sql(metrics: list[str]) -> str:

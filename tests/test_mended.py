@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from helpers import event, events
 from rowtide import streaming as st
 from rowtide.functions.types import map_types
+from rowtide.operators import alerts as al
 from rowtide.operators import telemetry
 from rowtide.operators.apply import dedupe_delivery, live, merge_batch, split_documents, table_view
 from rowtide.plans.logs import orders
@@ -87,3 +88,38 @@ def test_held_alert_of_a_vanished_series_is_resolved(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).select("series", F.unix_seconds("at").alias("t"), "state")
     assert sorted(tuple(r) for r in out.collect()) == [
         ("gone", 100_060, "firing"), ("gone", 100_075, "resolved"), ("stays", 100_060, "firing")]
+
+
+def test_notifications_of_what_inhibition_left(spark):
+    s = 1_000_000
+    rows = [
+        ("lag", "warning", "n1", "a", 0, 600), ("lag", "critical", "n1", "a", 120, 300), ("lag", "critical", "n1", "b", 300, 405),
+        ("lag", "warning", "n2", "a", 0, 45), ("disk", None, "n1", "a", 15, 30), ("lag", "warning", "n3", "a", 0, 900), ("lag", "warning", "n3", "b", 615, 900),
+    ]
+    fires = spark.createDataFrame([(*r[:4], r[4] * s, r[5] * s) for r in rows], "alertname string, severity string, node string, series string, start_us bigint, end_us bigint")
+    heard = al.inhibit(fires, 15, chunk_us=200 * s)
+    left = sorted((r.node, r.series, r.start_us // s, r.end_us // s) for r in heard.where("severity = 'warning'").collect())
+    assert left == [("n1", "a", 0, 105), ("n1", "a", 420, 600), ("n2", "a", 0, 45), ("n3", "a", 0, 900), ("n3", "b", 615, 900)]
+    assert heard.where("severity is null or severity = 'critical'").count() == 3
+    told = al.notifications(heard, 15, chunk_us=200 * s)
+    got = sorted((r.severity, r.node, r.at.minute * 60 + r.at.second, r.kind) for r in told.where("severity is not null").collect())
+    assert got == [
+        ("critical", "n1", 130, "first"), ("critical", "n1", 430, "resolved"),  # "b" would be told at 430, when all is over
+        ("warning", "n1", 60, "first"), ("warning", "n1", 360, "resolved"), ("warning", "n1", 480, "first"), ("warning", "n1", 780, "resolved"),
+        ("warning", "n3", 60, "first"), ("warning", "n3", 660, "update"), ("warning", "n3", 960, "resolved"),
+    ]
+
+
+def test_rules_meet_only_samples_that_fit(spark):
+    rules = [
+        al.AlertRule("it's", "value", "m", ">=", 2, 0, "warning", regex={"topic": "dlq-.*"}, not_regex={"node": "x|y"}),
+        al.AlertRule("twice", "value", "m", "!=", 2, 0, "critical"), al.AlertRule("twice", "value", "m", "<", 2, 0, "warning", eq={"node": ""}),
+    ]
+    rows = [("m", {"topic": "dlq-a"}, 2.0), ("m", {"topic": "a-dlq-"}, 3.0), ("m", {"topic": "dlq-a", "node": "y"}, 3.0), ("o", {}, 1.0), ("m", {}, None)]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string, string>, value double").withColumn("ts", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    got = sorted((r.alertname, r.severity, r.node, r.value or 0.0, r.active) for r in al.evaluate(samples, rules).collect())
+    assert got == [
+        ("it's", "warning", "", 2.0, True),
+        ("twice", "critical", "", 0.0, False), ("twice", "critical", "", 2.0, False), ("twice", "critical", "", 3.0, True), ("twice", "critical", "y", 3.0, True),
+        ("twice", "warning", "", 0.0, False), ("twice", "warning", "", 2.0, False), ("twice", "warning", "", 3.0, False),
+    ]

@@ -137,3 +137,42 @@ def test_exact_quantiles(spark, cells):
     qs = [0.0, 0.5, 0.75, 0.95, 0.99, 1.0]
     got = {(r.g, r.q): r.value for r in win.exact_quantiles(df, ["g"], "v", qs, cells=cells).collect()}
     assert got == {(g, q): pytest.approx(float(np.quantile(vs, q)), rel=1e-12) for g, vs in values.items() for q in qs}
+
+
+def grid_runs(points, step):
+    out = []
+    for p in sorted(points):
+        if out and p - out[-1][1] <= step:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [tuple(r) for r in out]
+
+
+@pytest.mark.parametrize("chunk", [20, 1000])
+@pytest.mark.parametrize("phase", [0, 3])
+def test_intervals_cut_out_like_points(spark, chunk, phase):
+    rng, step = random.Random(chunk + phase), 5
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            a = rng.randrange(0, 60) * step + phase
+            out.append((rng.choice("xy"), a, a + rng.randrange(0, 14) * step))
+        return out
+
+    rows, holes = some(12), some(8) + [("z", 5, 10)]
+    spread = lambda part: {(k, p) for k, a, b in part for p in range(a, b + 1, step)}
+    keyed = [(k, i, a, b) for i, (k, a, b) in enumerate(rows)]
+    schema = "start_us bigint, end_us bigint"
+    df = spark.createDataFrame(keyed, f"k string, i int, {schema}")
+    gone = spark.createDataFrame(holes, f"k string, {schema}")
+    got = win.cut_out(df, gone, ["k"], step, chunk)
+    want = [(k, i, *r) for k, i, a, b in keyed
+            for r in grid_runs({p for p in range(a, b + 1, step) if (k, p) not in spread(holes)}, step)]
+    assert sorted((r.k, r.i, r.start_us, r.end_us) for r in got.collect()) == sorted(want)
+    merged = win.merge_intervals(df.drop("i"), ["k"], step, chunk)
+    want = [(k, *r) for k in "xy" for r in grid_runs({p for x, p in spread(rows) if x == k}, step)]
+    assert sorted(tuple(r) for r in merged.collect()) == sorted(want)
+    assert win.cut_out(df, gone.where("false"), ["k"], step, chunk).count() == len(rows)
+    assert win.cut_out(df.where("false"), gone, ["k"], step, chunk).count() == 0
