@@ -6,10 +6,12 @@ is the same definition for the SQL side.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.sources.changes import source_struct, union_all
+from rowtide.sources.changes import source_struct
 from rowtide.sources.tables import read_table
 
 TOPIC = "sqlserver.shop.dbo.orders"
@@ -307,7 +309,7 @@ def scrape(spark: SparkSession, root: str, metrics: list[str] | None = None, df:
         found.append(ev.filter(cond).select(
             at, F.lit(metric).alias("metric"), F.expr(f"map({pairs})").alias("labels"), F.expr(f"concat({series})").alias("series"),
             F.expr(f"cast({value} as double)").alias("value")))
-    return union_all(found)
+    return reduce(DataFrame.union, found)
 
 
 def scrape_sql(metrics: list[str]) -> str:
