@@ -55,14 +55,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with a 64-bit fingerprint for each row."""
+    """``(doc_id, fp, rid)`` with a 64-bit fingerprint and a hash of doc_id and text for each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.fromiter((fingerprint(t or b"", words) for t in bytes_of(batch, "text")), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "rid"])
 
     rows = same(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    return map_batches(rows.withColumn("rid", F.xxhash64("doc_id", "text")), run, "doc_id long, fp long, rid long")
 
 
 # -- choice of groups and thresholds ---------------------------------------------------------
@@ -246,6 +246,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_row
     doc_id never becomes a component's id unless all its rows have none. Other columns are ignored,
     an empty table gives an empty result. Whole texts are read, however long.
     """
+    return _grouped(docs, words, radius, bucket_rows).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int = 3, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``near_duplicates`` with ``rid``, a hash of doc_id and text."""
     fps = keep(fingerprints(docs, words), "fingerprints")
     roots = components(link(fps, radius, bucket_rows)).select(F.col("node").alias("fp"), "root")
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp", "left")
@@ -253,15 +258,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_row
     least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     named = keep(groups.join(least, "root").select("fp", "component_id"), "named")
     discard(groups)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "rid")
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that come first in their near-duplicate group, with all their columns.
-    Of rows that share the smallest doc_id each is kept, as are rows without an id."""
-    found = near_duplicates(docs, **options)
-    others = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    Of rows that share the smallest doc_id each is kept, as are rows without an id. An id with two
+    texts loses only those that are copies."""
+    found = _grouped(docs, **options)
+    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
+    told = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    left = told.join(later, F.expr("_own = _rid and doc_id = _id"), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

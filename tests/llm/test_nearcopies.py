@@ -74,3 +74,10 @@ def test_stage_drops_copies_that_fingerprints_miss(spark):
     assert [r.doc_id for r in left.collect()] == [0]
     short = [(1, "one two three four five six"), (2, "one two three four five seven")]
     assert corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, short), "").count() == 2
+
+
+@pytest.mark.parametrize("first_of_each", [simhash.first_of_each, nearcopies.first_of_each])
+def test_an_id_with_two_texts_loses_only_the_copy(spark, first_of_each):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = first_of_each(docs_of(spark, [(1, a), (2, a), (2, b), (3, b), (3, None), (None, a)]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (3, None), (None, a)], key=str)
