@@ -7,7 +7,9 @@ grams inside them. So anchors that occur in one document only settle their windo
 windows around the others are sent to the reference shard of their anchor. A shard builds a suffix
 automaton of its passages, whose states know the earliest document they occur in, streams the same
 passages through it for matching statistics, and reports the spans that reach the length threshold.
-Anchors and hashes only decide what meets where; equality is decided by the automaton on the words.
+Anchors and rolling hashes only decide what meets where. Passages that are equal as a whole are told
+by a 128-bit BLAKE2 digest of their words and stand for one another; everything else is decided by
+the automaton on the words.
 """
 
 from __future__ import annotations
@@ -211,19 +213,24 @@ _ITEM = "anchor long, c1 long, c2 long, lo int, windows int"
 
 def _mark(docs: DataFrame, listed: DataFrame, size: int) -> DataFrame:
     """Every document, and for those with passages to be compared: the passages, with those of hot
-    anchors cut into single windows."""
+    anchors cut into single windows. From here on ``c1, c2`` are a digest of a passage's words."""
     schema = f"doc_id long, ord long, rid long, text string, items array<struct<{_ITEM.replace(' ', ':').replace(',:', ',')}>>"
     kinds = pa.list_(pa.struct([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int32()), ("windows", pa.int32())]))
 
+    def digest(words: list[bytes]) -> dict:
+        found = hashlib.blake2b(b"\n".join(words), digest_size=16).digest()
+        return {"c1": int.from_bytes(found[:8], "little", signed=True), "c2": int.from_bytes(found[8:], "little", signed=True)}
+
     def cut(text: bytes, items: list[dict]) -> list[dict]:
+        words = text.split()
         hot = [x for x in items if x["hot"]]
-        out = [{k: x[k] for k in ("anchor", "c1", "c2", "lo", "windows")} for x in items if not x["hot"]]
+        out = [{k: x[k] for k in ("anchor", "lo", "windows")} for x in items if not x["hot"]]
         if hot:
-            roll = _Rolling(_word_hashes(text.split()))
+            roll = _Rolling(_word_hashes(words))
             start = np.concatenate([np.arange(x["lo"], x["lo"] + x["windows"]) for x in hot])
-            c1, c2 = (roll.span(start, start + size, i).view(np.int64).tolist() for i in (0, 1))
-            out += [dict(anchor=a, c1=a, c2=b, lo=s, windows=1) for a, b, s in zip(c1, c2, start.tolist())]
-        return out
+            at = roll.span(start, start + size, 0).view(np.int64).tolist()
+            out += [dict(anchor=a, lo=s, windows=1) for a, s in zip(at, start.tolist())]
+        return [x | digest(words[x["lo"] : x["lo"] + x["windows"] + size - 1]) for x in out]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         items = [None if x is None else cut(t or b"", x) for t, x in zip(bytes_of(batch, "text"), batch.column(4).to_pylist())]
