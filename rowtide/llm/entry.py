@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowtide.llm import chat, decontaminate, language, packing, simhash, substring, toxicity, urllists, vafile, warc
+from rowtide.llm import bpe, chat, decontaminate, language, merkle, packing, simhash, substring, toxicity, urllists, vafile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op11_bpe": bpe.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 ORACLE = {
@@ -23,4 +25,5 @@ ORACLE = {
     "op5_decontamination": decontaminate.SQL,
     "op6_url_lists": urllists.SQL,
     "op8_warc": warc.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
