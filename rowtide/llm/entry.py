@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowtide.llm import bpe, chat, decontaminate, language, merkle, packing, simhash, substring, toxicity, urllists, vafile, warc
+from rowtide.llm import align, bpe, chat, decontaminate, language, merkle, packing, simhash, substring, toxicity, urllists, vafile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_simhash_near_dedup": simhash.query,
     "op11_bpe": bpe.query,
+    "op12_token_alignment": align.query,
     "op13_merkle_manifest": merkle.query,
 }
 
