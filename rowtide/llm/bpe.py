@@ -25,17 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowtide.llm.common import map_batches, same, table
+from rowtide.llm.common import BEYOND_LATIN, LATIN_LETTERS, LATIN_NUMBERS, map_batches, same, table
 
 #: Words a worker remembers, and the longest one it does; they affect speed and memory, never results.
 REMEMBERED, MEMO_CHARS = 300_000, 48
 
-#: Letters up to U+017F are these ranges; U+0130, whose lower case has two characters, is left to the library.
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
-_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _BLANKS = "\t-\r \x85\xa0"
-_PLAIN = re.compile("[^\x00-įı-ſ]")
-_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+_WORDS = re.compile(f"[{LATIN_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_NUMBERS}]|[^{_BLANKS}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 
 
 def byte_letters() -> list[str]:
@@ -132,7 +128,7 @@ class Bpe:
         """Ids of a text as 32-bit numbers; a special token's string in it is that token."""
         if "<|" in text and len(parts := self.cuts.split(text)) > 1:
             return b"".join([array("i", [self.special[p]]).tobytes() if i % 2 else self.packed(p) for i, p in enumerate(parts)])
-        if _PLAIN.search(text):
+        if BEYOND_LATIN.search(text):
             found = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
             return b"".join([self.mapped[w] for w, _ in found])
         return b"".join(map(self.words.__getitem__, _WORDS.findall(text.lower())))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import keep, same, table
+from rowtide.llm.common import keep, same, table, whole
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -87,9 +87,11 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that contain no test item, with their columns."""
-    found = contained(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.expr("doc_id <=> _found"), "left_anti")
+    """The rows of ``docs`` that contain no test item, with all their columns, whatever their names.
+    Rows that share a doc_id, or have none, are one document and go together; null and empty texts
+    stay; no items or no rows leave ``docs`` as it is."""
+    found = contained(docs, benchmark, **options).select("doc_id").distinct()
+    return whole(docs).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

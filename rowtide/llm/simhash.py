@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import bytes_of, discard, keep, map_batches, same, table
+from rowtide.llm.common import bytes_of, discard, keep, map_batches, same, table, without
 from rowtide.llm.components import components
 
 BITS = 64
@@ -266,10 +266,7 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     Of rows that share the smallest doc_id each is kept, as are rows without an id. An id with two
     texts loses only those that are copies."""
     found = _grouped(docs, **options)
-    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
-    told = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    left = told.join(later, F.expr("_own = _rid and doc_id = _id"), "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, found.where("doc_id > component_id").select("doc_id", "rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import bytes_of, discard, keep, map_batches, order_id, same, table
+from rowtide.llm.common import bytes_of, discard, keep, map_batches, order_id, same, table, whole
 
 #: Words of an anchor; shorter ones are rarer in a text, longer ones are shared by fewer texts.
 ANCHOR = 12
@@ -332,12 +332,13 @@ def kept_words(docs: DataFrame, size: int = 50, texts: bool = True, **options) -
 
 def without_repeats(docs: DataFrame, size: int = 50, **options) -> DataFrame:
     """``docs`` with the covered words cut from ``text``; rows that lose nothing keep their text as it
-    is, rows that lose everything keep an empty one. All columns stay."""
-    kept = kept_words(docs, size, **options).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_rid"), "kept")
-    kept = kept.dropDuplicates(["_id", "_rid"])
-    told = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = told.join(kept, F.expr("_own = _rid and doc_id <=> _id"), "left").withColumn("text", F.coalesce("kept", "text"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    is, rows that lose everything keep an empty one. A null text stays null. All columns stay, whatever
+    their names; an empty table stays empty."""
+    kept = kept_words(docs, size, **options).where("n_removed > 0").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "kept")
+    kept = kept.dropDuplicates(["doc_id", "rid"])
+    told = whole(docs).select("row", "doc_id", F.xxhash64("doc_id", "text").alias("rid")).alias("d")
+    joined = told.join(kept.alias("k"), F.expr("d.rid = k.rid and d.doc_id <=> k.doc_id"), "left")
+    return joined.select(F.col("row").withField("text", F.coalesce("kept", F.col("row.text").cast("string"))).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

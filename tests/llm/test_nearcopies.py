@@ -55,10 +55,25 @@ def planted(seed):
     return rows
 
 
-@pytest.mark.parametrize("hub_rounds, shard_rows", [(0, 50), (3, 50_000)])
-def test_kept_like_brute_force(spark, hub_rounds, shard_rows):
-    rows = planted(hub_rounds)
-    got = nearcopies.first_of_each(docs_of(spark, rows), hub_rounds=hub_rounds, shard_rows=shard_rows)
+def dense(seed):
+    """One large group: copies of a text that differ at words of a few variants, most of them just
+    above or below the threshold from each other, some in several sizes."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(220):
+        text = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 7)):
+            text[at] = f"v{at}.{rng.randint(0, 2)}"
+        cut = rng.choice([0, 0, 0, 5, 12])
+        rows.append((1000 - i, " ".join(text[cut:] + ["tail"] * rng.choice([0, 0, 3]))))
+    return rows
+
+
+@pytest.mark.parametrize("make, seed", [(planted, 0), (planted, 3), (dense, 1), (dense, 2), (dense, 4)])
+def test_kept_like_brute_force(spark, make, seed):
+    rows = make(seed)
+    got = nearcopies.first_of_each(docs_of(spark, rows))
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_kept(rows)
     assert got.columns == ["doc_id", "text", "ord", "rid", "sid", "size"]
     assert nearcopies.first_of_each(docs_of(spark, rows).where("false")).collect() == []
