@@ -1,6 +1,6 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
-A word is a run of letters in lower case with the vocabulary's word mark in front. Its probability in a
+A word is a run of letters and their marks in lower case, however long, with the vocabulary's word mark in front. Its probability in a
 language is the sum, over every way to cut it into pieces of a fixed public vocabulary, of the product
 of the pieces' probabilities there, which a forward algorithm adds up. The pieces' probabilities are
 learned by expectation-maximisation from word counts of a bounded sample; words are independent given
@@ -12,16 +12,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import cache
-from math import log
+from math import exp, inf, log
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import keep, map_batches, same, table
+from rowtide.llm.common import BEYOND_LATIN, LATIN_LETTERS, keep, map_batches, same, table
 
 #: At most about so many texts of each language are learned from, by a hash of their id.
 SAMPLE = 1_500
@@ -29,13 +30,15 @@ SAMPLE = 1_500
 ROUNDS, PRIOR = 2, 0.05
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-8
-#: Longer runs of letters are taken as words of so many.
-LONGEST = 48
 #: Words whose probabilities a worker remembers.
 MEMO = 800_000
 NONE = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(f"[{LATIN_LETTERS}]+")
+#: Letters of any script with the marks that belong to them.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Sums below this are computed once more with rescaling.
+_SMALL = 1e-250
 
 
 def vocabulary() -> str:
@@ -51,12 +54,9 @@ def pieces(path: str) -> frozenset[str]:
 
 
 def words(text: str | None) -> Counter:
-    found = Counter(_LETTERS.findall((text or "").lower()))
-    for w in [w for w in found if len(w) > LONGEST]:
-        n = found.pop(w)
-        for i in range(0, len(w), LONGEST):
-            found[w[i : i + LONGEST]] += n
-    return found
+    """The runs of letters of a text in lower case, however long, with their numbers."""
+    low = (text or "").lower()
+    return Counter((_LETTERS if BEYOND_LATIN.search(low) else _LATIN).findall(low))
 
 
 def lookup(probability: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
@@ -85,10 +85,25 @@ def forward(word: str, known: dict[str, tuple[float, ...] | None], languages: in
         sums = [1.0] + [0.0] * n
         for j, i, p in edges:
             sums[i] += sums[j] * p[lang]
-        out.append(log(max(sums[n], 1e-300)))
+        out.append(log(sums[n]) if sums[n] > _SMALL else scaled(n, edges, lang))
     return out
 
 
+def scaled(n: int, edges: list[tuple[int, int, tuple[float, ...]]], lang: int) -> float:
+    """Log of the sum over all segmentations where it is too small for a number: what the places still
+    ahead have gathered is divided by the sum at hand whenever that gets small."""
+    ahead, offset, at, now = {0: 1.0}, 0.0, 0, 1.0
+    for j, i, p in edges:
+        if j != at:
+            ahead.pop(at)
+            at, now = j, ahead[j]
+            if now < 1e-100:
+                ahead = {k: x / now for k, x in ahead.items()}
+                offset, now = offset + log(now), 1.0
+        ahead[i] = ahead.get(i, 0.0) + now * p[lang]
+    return offset + log(ahead[n])
+
+
 def expected(word: str, probability: dict[str, float], longest: int) -> list[tuple[str, float]]:
     """Expected number of times each piece is used in a word, over its segmentations."""
     s = "▁" + word
@@ -100,13 +115,26 @@ def expected(word: str, probability: dict[str, float], longest: int) -> list[tup
             if p:
                 ahead[i] += ahead[j] * p
                 edges.append((j, i, p))
+    if ahead[n] < _SMALL:
+        return _expected_logs(s, edges, probability)
     back = [0.0] * n + [1.0]
     for j, i, p in reversed(edges):
         back[j] += p * back[i]
-    whole = max(ahead[n], 1e-300)
+    whole = ahead[n]
     return [(s[j:i], ahead[j] * p * back[i] / whole) for j, i, p in edges if s[j:i] in probability]
 
 
+def _expected_logs(s: str, edges: list[tuple[int, int, float]], probability: dict[str, float]) -> list[tuple[str, float]]:
+    """The same with logarithms, for words whose probability is too small for a number."""
+    n = len(s)
+    ahead, back = [0.0] + [-inf] * n, [-inf] * n + [0.0]
+    for j, i, p in edges:
+        ahead[i] = float(np.logaddexp(ahead[i], ahead[j] + log(p)))
+    for j, i, p in sorted(edges, reverse=True):
+        back[j] = float(np.logaddexp(back[j], back[i] + log(p)))
+    return [(s[j:i], exp(ahead[j] + log(p) + back[i] - ahead[n])) for j, i, p in edges if s[j:i] in probability]
+
+
 def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
