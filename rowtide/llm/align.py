@@ -1,8 +1,8 @@
 """Alignment of the tokens that two tokenizers cut from the same text.
 
 Both sides are arrays of byte offsets at which tokens end. While tokens end together one by one, the
-arrays are equal along a diagonal, the current index shift: slices of 1, 2, 4, ... ends are compared
-at once until two differ, and halving finds the place, so a stretch of n tokens takes log n
+arrays are equal along a diagonal, the current index shift: slices of 4, 8, 16, ... ends are
+compared at once until two differ, and halving finds the place, so a stretch of n tokens takes log n
 comparisons. Where they differ, the two sides are stepped through until they meet again; that is an
 irregular group, after which the shift has changed.
 
@@ -40,11 +40,13 @@ from rowtide.llm.common import keep, map_batches, same, table
 CHUNK_LINKS = 1_000_000
 #: Stretches between blanks that a worker remembers, and the longest; they never affect results.
 REMEMBERED, MEMO_CHARS = 200_000, 48
-#: Above this many characters the first tokenizer's library, which takes any, encodes a stretch.
+#: Stretches above this length are encoded alone.
 LONG = 1000
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BROKEN = re.compile(r"\s ")
+#: The pattern engine of the faster library overflows on very long runs of blanks.
+_RUN = re.compile(r"\s{1000}")
 
 
 class Coders:
@@ -73,31 +75,49 @@ class Coders:
 
     def encode(self, text: str) -> tuple[list[int], list[int], bool]:
         """Ids of both sides of a text that begins with a blank, and whether both give back its bytes."""
-        a = self.fast.encode_ordinary(text) if len(text) <= LONG else self.any.encode(text, add_special_tokens=False).ids
+        a = self.any.encode(text, add_special_tokens=False).ids if _RUN.search(text) else self.fast.encode_ordinary(text)
         b = self.pieces.encode(text[1:], num_threads=1)
         data = text.encode()
         return a, b, b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def _stretch(self, text: str) -> tuple[bytes, bytes]:
-        out = self.older.get(text)
-        if out is None:
-            a, b, good = self.encode(text)
+    def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of both sides of stretches. New ones that end in no blank are encoded as one text, since
+        each side has a token end wherever one begins."""
+        fresh = {p: self.older.get(p) for p in parts}
+        new = [p for p, known in fresh.items() if known is None]
+        plain = [p for p in new if len(p) <= LONG and not p[-1].isspace()]
+        if plain:
+            a, b, good = self.encode("".join(plain))
             if not good:
-                raise LookupError(text)
-            out = array("i", a).tobytes(), array("i", b).tobytes()
-            if len(text) > MEMO_CHARS:
-                return out
+                plain = []  # one of them cannot be given back, so each is tried alone
+            else:
+                ends = np.cumsum([len(p.encode()) for p in plain])
+                cuts = []
+                for ids, sizes in ((np.array(a, np.int32), self.a_sizes), (np.array(b, np.int32), self.b_sizes)):
+                    at = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+                    data, at = ids.tobytes(), (4 * at).tolist()
+                    cuts.append([data[i:j] for i, j in zip([0, *at], at)])
+                fresh.update(zip(plain, zip(*cuts)))
+        for p in new:
+            if fresh[p] is None:
+                a, b, good = self.encode(p)
+                if not good:
+                    raise LookupError(p)
+                fresh[p] = array("i", a).tobytes(), array("i", b).tobytes()
         if len(self.known) >= REMEMBERED:
             self.known, self.older = {}, self.known
-        self.known[text] = out
-        return out
+        self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_CHARS)
+        return fresh
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides of a blank and the text; none if one side does not give back its bytes."""
         spaced = " " + text
         parts = _CUT.split(spaced) if _BROKEN.search(spaced) else [" " + p for p in text.split(" ")]
+        found = list(map(self.known.get, parts))
         try:
-            found = [self.known.get(p) or self._stretch(p) for p in parts]
+            if None in found:
+                fresh = self._learn([p for p, ids in zip(parts, found) if ids is None])
+                found = [ids or fresh[p] for p, ids in zip(parts, found)]
             return tuple(np.frombuffer(b"".join(x), np.int32) for x in zip(*found))
         except LookupError:  # then the text is judged as a whole
             a, b, good = self.encode(spaced)
@@ -131,21 +151,26 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
     a_inner, b_inner, a_links, b_links = [], [], [], []  # tokens that do not end their group; links of irregular groups
     while i < n:
         left = min(n - i, m - j)
-        run, step = 0, 1
+        run, step = 0, 4
         while run < left:  # double the step while the slices are equal
             step = min(step, left - run)
-            x, y, size = (i + run) * width, (j + run) * width, step * width
-            if a_raw[x : x + size] != b_raw[y : y + size]:
+            x, y = i + run, j + run
+            if a_raw[x * width : (x + step) * width] != b_raw[y * width : (y + step) * width]:
                 break
             run += step
             step *= 2
         else:
             step = 1
-        while step > 1:  # halve it: the first difference is among the next ``step``
-            step = (step + 1) // 2
-            x, y, size = (i + run) * width, (j + run) * width, step * width
-            if a_raw[x : x + size] == b_raw[y : y + size]:
-                run += step
+        if step > 4:  # halve it: the first difference is among the next ``step``
+            while step > 4:
+                step = (step + 1) // 2
+                x, y = i + run, j + run
+                if a_raw[x * width : (x + step) * width] == b_raw[y * width : (y + step) * width]:
+                    run += step
+        x, y = i + run, j + run
+        while x < n and y < m and a[x] == b[y]:  # and the last few one by one
+            x, y = x + 1, y + 1
+        run = x - i
         i, j = i + run, j + run
         if i == n:
             break
