@@ -10,14 +10,15 @@ so a key with very many changes sends one row per task.
 
 from __future__ import annotations
 
-from hashlib import sha256
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from rowtide.sources import versions
 from rowtide.sources.changes import union_all, version
-from rowtide.sources.tables import key_bucket, run_dir
+from rowtide.sources.tables import key_bucket
 
 BOOKKEEPING = ["_version", "_deleted", "_schema_version"]
 
@@ -227,68 +228,40 @@ def unique_conflicts(rows: DataFrame, key: list[str], unique: list[str]) -> Data
     return filled.join(contested, unique).filter(ident != F.col("_owner")).drop("_owner")
 
 
-def touched_buckets(rows: DataFrame, key: list[str], buckets: int) -> dict[int, tuple[int, int]]:
-    """Bucket numbers a batch writes to, each with the number of its rows and a digest of their
-    keys and versions; at most ``buckets`` rows come to the driver."""
-    digest = F.bit_xor(F.xxhash64(*key, "_version", "_deleted"))
-    found = rows.groupBy(key_bucket(key, buckets).alias("b")).agg(F.count("*").alias("n"), digest.alias("d")).collect()
-    return {r.b: (r.n, r.d) for r in sorted(found)}
-
-
 def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str], buckets: int, batch_id: int,
-                staging: str, deletes: str = "drop", added: dict[str, int] | None = None) -> None:
-    """Merge one batch into a bucket-partitioned state table on plain files.
-
-    Only buckets the batch touches are read and rewritten. The merged buckets are first written
-    to ``staging/batch=<id>`` and then copied over the target with dynamic partition overwrite.
-    If the job is lost in between, the next attempt finds the finished staging folder and only
-    repeats the copy; if it is lost earlier, nothing was changed. Applying a batch twice gives
-    the same state, because the version decides. A staged folder is marked with a digest of the
-    events it holds, so a number that comes again with other events (a new checkpoint, a replay) is
-    merged anew. Once a batch is copied, the folders of all others are deleted.
+                staging: str, deletes: str = "drop", added: dict[str, int] | None = None,
+                bucket_bytes: int = 128 << 20) -> None:
+    """Merge one batch into a bucketed state table on plain files (see ``rowtide.sources.versions``).
+
+    The batch is evaluated once, into ``staging``; then only buckets it touches are read, merged and
+    written to a new folder, and a new version of the table names that folder for them. Nothing is
+    overwritten: a reader sees the table before or after the batch, and a job that is lost in between
+    leaves the table as it was. A batch may come again at any time, also after others, since it is
+    always merged with the newest version and the row versions decide; of two writers at once the
+    second merges again with what the first has left. A bucket is written by one task for every
+    ``bucket_bytes`` of its size.
     """
-    staged = f"{staging}/batch={batch_id}"
     rows = change_rows(events, key, deletes)
-    buckets_hit = touched_buckets(rows, key, buckets)
-    if not buckets_hit:
-        return
-    mark = f"{staged}/_events-{sha256(repr(buckets_hit).encode()).hexdigest()[:32]}"
-    if not _exists(spark, mark):
-        state = _read_state(spark, path, list(buckets_hit))
-        if state is not None:
-            rows = union_all(list(evolve(state.drop("bucket"), rows)))
-        merged = latest(rows, key, added).withColumn("bucket", key_bucket(key, buckets))
-        # one row per key is left here, so buckets are even and one task can write one
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        _touch(spark, mark)
-    (
-        spark.read.parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for other in files.listStatus(place):
-        if other.getPath().getName() != f"batch={batch_id}":
-            files.delete(other.getPath(), True)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def _touch(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True).close()
-
-
-def _read_state(spark: SparkSession, path: str, buckets_hit: list[int]) -> DataFrame | None:
-    if not _exists(spark, path):
-        return None
-    return spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("bucket").isin(buckets_hit))
+    if not added:
+        rows = latest(rows, key)
+    arrived = f"{staging}/batch={batch_id}-{uuid.uuid4().hex}"
+    rows.withColumn("bucket", key_bucket(key, buckets)).write.partitionBy("bucket").parquet(arrived)
+    hit = versions.partition_bytes(spark, arrived, "bucket")
+    try:
+        while hit:
+            base = versions.current(spark, path)
+            batch, state = spark.read.parquet(arrived).drop("bucket"), versions.read(spark, base, hit)
+            merged = latest(batch if state is None else union_all(list(evolve(state, batch))), key, added)
+            parts = {b: 1 + (n + versions.folder_bytes(spark, base, b)) // bucket_bytes for b, n in hit.items()}
+            bucket = key_bucket(key, buckets)
+            split = F.element_at(F.create_map(*[F.lit(x) for bn in parts.items() for x in bn]), bucket)
+            spread = merged.withColumn("bucket", bucket).repartition(sum(parts.values()), F.col("bucket"), F.pmod(F.hash(*key), split))
+            folder = f"{path}/data-{uuid.uuid4().hex}"
+            spread.write.partitionBy("bucket").parquet(folder)
+            if versions.publish(spark, path, base, merged.schema, {b: f"{folder}/bucket={b}" for b in hit}):
+                break
+    finally:
+        versions.remove(spark, arrived)
 
 
 def merge_into(table: str, events: DataFrame, key: list[str], deletes: str = "drop") -> None:
@@ -304,7 +277,3 @@ def merge_into(table: str, events: DataFrame, key: list[str], deletes: str = "dr
 def write_jdbc(table: DataFrame, url: str, name: str, options: dict[str, str]) -> None:
     """Write a table to a database in batches (needs the JDBC driver)."""
     table.write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
-
-
-def staging_dir(spark: SparkSession, name: str) -> str:
-    return run_dir(spark, f"staging-{name}")

@@ -14,6 +14,7 @@ from rowtide.plans.alerting import _chain
 from rowtide.plans.logs import ORDER_COLS, ORIGIN_US, events_log, orders_log, scrape, sec, sql
 from rowtide.plans.merge import ORACLE as MERGE_ORACLE
 from rowtide.sources.tables import read_table, run_dir, stream_table
+from rowtide.sources.versions import read_state
 from rowtide.streaming.jobs import event_time
 
 def _aggs():
@@ -118,10 +119,21 @@ def _stream_upsert(deletes):
         d = run_dir(spark, "state")
         log = orders_log(spark, root, stream_table(spark, root, "orders"))
         st.stream_upsert(log, f"{d}/orders", ["o_orderkey"], 16, f"{d}/checkpoint", f"{d}/staging", deletes)
-        return ap.live(spark.read.parquet(f"{d}/orders")).select(*ORDER_COLS)
+        return ap.live(read_state(spark, f"{d}/orders")).select(*ORDER_COLS)
     return run
 
 
+def stream_replay(spark, root):
+    """Two streams write to one table, each with a checkpoint of its own: the newer half of the log
+    first, the older half after it, and then the older half once more, with its checkpoint lost."""
+    d = run_dir(spark, "state")
+    for n, older in enumerate((False, True, True)):
+        log = orders_log(spark, root, stream_table(spark, root, "orders"))
+        part = log.filter((F.col("source.lsn") < 20) if older else (F.col("source.lsn") >= 20))
+        st.stream_upsert(part, f"{d}/orders", ["o_orderkey"], 8, f"{d}/checkpoint-{n}", f"{d}/staging-{older}", "apply")
+    return ap.live(read_state(spark, f"{d}/orders")).select(*ORDER_COLS)
+
+
 def stream_hold(spark, root):
     """Targets down for two minutes, found while the stream runs."""
     up = scrape(spark, root, ["up"], stream_table(spark, root, "events"))
@@ -158,6 +170,7 @@ QUERIES = {
     "pass_through": pass_through,
     "stream_upsert": _stream_upsert("drop"),
     "stream_upsert_apply": _stream_upsert("apply"),
+    "stream_replay": stream_replay,
     "stream_hold": stream_hold,
     "event_lag_stream": event_lag_stream,
 }
@@ -193,6 +206,7 @@ ORACLE = {
     "pass_through": sql("SELECT event_id, event_type, cents FROM e WHERE event_type <> 'view'", e=_E),
     "stream_upsert": MERGE_ORACLE["upsert_drop_deletes"],
     "stream_upsert_apply": MERGE_ORACLE["upsert_apply_deletes"],
+    "stream_replay": MERGE_ORACLE["upsert_apply_deletes"],
     "stream_hold": _chain("""
         SELECT 'TargetDown' AS alertname, node, instance AS series, sec, state FROM (
           SELECT node, instance, unnest([{'sec': a + 120, 'state': 'firing'}, {'sec': b, 'state': 'resolved'}], recursive := true)

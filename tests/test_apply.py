@@ -9,6 +9,8 @@ from helpers import event, events, rows_of
 from rowtide.operators import apply as ap
 from rowtide.operators import transforms as tr
 from rowtide.sources import changes as ch
+from rowtide.sources import versions
+from rowtide.sources.versions import read_state
 
 KEY = ["id"]
 
@@ -160,10 +162,50 @@ def test_merge_batch_is_repeatable_and_recovers(spark, tmp_path):
     for batch, part in enumerate((rows[:120], rows[120:])):
         for _ in range(2):
             ap.merge_batch(spark, path, events(spark, part), KEY, 4, batch, staging, "apply")
-    want = state_of(spark, rows)
-    assert rows_of(ap.live(spark.read.parquet(path)).drop("bucket")) == want
-    # the copy was cut off after one bucket: the staged batch repairs it
-    broken = spark.read.parquet(f"{staging}/batch=1").filter("bucket = 0").withColumn("name", F.lit("torn"))
-    broken.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    ap.merge_batch(spark, path, events(spark, rows[120:]), KEY, 4, 1, staging, "apply")
-    assert rows_of(ap.live(spark.read.parquet(path)).drop("bucket")) == want
+    assert rows_of(ap.live(read_state(spark, path))) == state_of(spark, rows)
+
+
+def test_a_batch_that_comes_again_after_another_writer(spark, tmp_path):
+    """Writer A, writer B, then A's batch once more: the newer row stays."""
+    path = str(tmp_path / "t")
+    old, new = [event("c", 1, 10, "old", 1)], [event("u", 1, 20, "new", 1), event("c", 2, 21, "b", 1)]
+    for rows, staging in ((old, "a"), (new, "b"), (old, "a")):
+        ap.merge_batch(spark, path, events(spark, rows), KEY, 2, 0, str(tmp_path / staging))
+    assert {r.id: r.name for r in ap.live(read_state(spark, path)).collect()} == {1: "new", 2: "b"}
+
+
+def test_a_reader_sees_one_version(spark, tmp_path):
+    path, staging = str(tmp_path / "t"), str(tmp_path / "s")
+    ap.merge_batch(spark, path, events(spark, [event("c", i, 10, "one", 1) for i in range(20)]), KEY, 4, 0, staging)
+    before = read_state(spark, path)
+    ap.merge_batch(spark, path, events(spark, [event("u", i, 20, "two", 1) for i in range(20)]), KEY, 4, 1, staging)
+    assert {r.name for r in before.collect()} == {"one"} and {r.name for r in read_state(spark, path).collect()} == {"two"}
+
+
+def test_the_slower_of_two_writers_merges_again(spark, tmp_path, monkeypatch):
+    """Another writer publishes between this one's read and its publication."""
+    path, staging, publish = str(tmp_path / "t"), str(tmp_path / "s"), versions.publish
+    ap.merge_batch(spark, path, events(spark, [event("c", 1, 1, "a", 1)]), KEY, 1, 0, staging)
+
+    def late(*args):
+        monkeypatch.setattr(versions, "publish", publish)
+        ap.merge_batch(spark, path, events(spark, [event("c", 2, 2, "b", 1)]), KEY, 1, 7, staging)
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "publish", late)
+    ap.merge_batch(spark, path, events(spark, [event("c", 3, 3, "c", 1)]), KEY, 1, 1, staging)
+    assert sorted(r.id for r in read_state(spark, path).collect()) == [1, 2, 3]
+
+
+def test_large_buckets_are_written_in_parts_and_old_folders_go(spark, tmp_path):
+    path, staging = str(tmp_path / "t"), str(tmp_path / "s")
+    for batch in range(6):
+        rows = [event("c", i, batch + 1, f"{i}-{batch}" * 20, i) for i in range(300)]
+        ap.merge_batch(spark, path, events(spark, rows), KEY, 1, batch, staging, bucket_bytes=2_000)
+    now = versions.current(spark, path)
+    assert now.number == 6 and len(read_state(spark, path).inputFiles()) > 1
+    assert len(list((tmp_path / "t").glob("data-*"))) == versions.KEPT + 1 and not list((tmp_path / "s").iterdir())
+    ap.merge_batch(spark, path, events(spark, []), KEY, 1, 9, staging)
+    assert versions.current(spark, path).number == 6
+    with pytest.raises(FileNotFoundError):
+        read_state(spark, str(tmp_path / "none"))
