@@ -4,10 +4,10 @@ the zone-less timestamps of the tables. State is bounded by the watermark everyw
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,25 +91,51 @@ def latest_epoch(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     return best.select(*key, "_row.*")
 
 
-def late_rows(q: StreamingQuery) -> int:
-    """Rows the watermark dropped as late, over all batches the query remembers."""
-    return sum(
-        int(op["numRowsDroppedByWatermark"]) for p in q.recentProgress for op in p["stateOperators"]
-    )
+def split_late(events: DataFrame, path: str, checkpoint: str, delay_s: int, ts: str = "ts", trigger: dict | None = None) -> StreamingQuery:
+    """Write a stream to ``path`` with the rows that come behind the watermark set aside, not dropped.
+
+    The watermark of a batch is the newest time of all batches before it less ``delay_s``; a row older
+    than it is late. A row without a time is on time. Each batch is written once, to ``batch=<n>``, beside
+    the newest time so far, so a repeated batch writes the same again and nothing is forgotten however
+    many batches there are. ``late_rows`` and ``on_time_rows`` read the two sides.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/newest/batch={n - 1}").first()["newest"] if n else None
+        line = F.lit(None).cast("timestamp") if before is None else F.lit(before) - F.make_dt_interval(secs=F.lit(delay_s))
+        seen = Observation()
+        told = batch.withColumn("late", F.coalesce(F.col(ts) < line, F.lit(False))).observe(seen, F.max(ts).alias("newest"))
+        told.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={n}")
+        newest = max((t for t in (before, seen.get["newest"]) if t is not None), default=None)
+        spark.createDataFrame([(newest,)], "newest timestamp").coalesce(1).write.mode("overwrite").parquet(f"{path}/newest/batch={n}")
+
+    return _start(event_time(events, ts).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write), trigger)
+
+
+def _side(spark: SparkSession, path: str, late: bool) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").where(F.col("late") == late).drop("late")
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``split_late`` found behind the watermark, with the number of their batch."""
+    return _side(spark, path, True)
+
+
+def on_time_rows(spark: SparkSession, path: str) -> DataFrame:
+    return _side(spark, path, False)
 
 
 def stream_upsert(events: DataFrame, path: str, key: list[str], buckets: int, checkpoint: str, staging: str,
                   deletes: str = "drop", added: dict[str, int] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Apply a stream of change events to a bucketed state table, batch by batch.
 
-    The checkpoint names the batch and ``merge_batch`` is safe to repeat, so a lost executor or
-    driver costs no data and applies nothing twice. Batch numbers start again with a new
-    checkpoint, so each checkpoint stages its batches in a folder of its own.
+    ``merge_batch`` is safe to repeat at any time, so a lost executor or driver costs no data and
+    applies nothing twice, and several streams may write to one table. ``read_state`` reads it.
     """
-    own = f"{staging}/{sha256(checkpoint.encode()).hexdigest()[:16]}"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch.sparkSession, path, batch, key, buckets, batch_id, own, deletes, added)
+        merge_batch(batch.sparkSession, path, batch, key, buckets, batch_id, staging, deletes, added)
 
     return _start(events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge), trigger)
 
@@ -122,37 +148,49 @@ def stream_hold(flags: DataFrame, step_s: int, watermark: str | None = None) ->
     """Alert holding while the stream runs: ``firing`` when the condition has held for ``for_s``,
     ``resolved`` when a fired condition ends.
 
-    Rule evaluations come in time order per series, one per grid point, so what one call sees of
-    a series in one batch is bounded by the grid points of that batch. The state is three numbers
+    Rule evaluations come once per grid point of a series, so what one call sees of a series in one
+    batch is bounded by the grid points of that batch. The state is three numbers
     per series; a sample not newer than the last one is ignored. With a ``watermark``, a series
     that stops reporting ends when the watermark has passed its next grid point: its alert is
     resolved and its state goes.
     """
     step = step_s * 1_000_000
 
+    def runs(t: np.ndarray, active: np.ndarray, least: int, start, last, fired):
+        """Changes of state over the samples of one batch, and what is left of the last run. Work
+        follows the runs, not the samples."""
+        out = []
+        joined = np.append(last is not None and len(t) > 0 and t[0] - last <= step, active[:-1] & (np.diff(t) <= step))[: len(t)]
+        firsts = np.flatnonzero(active & ~joined)
+        carries = len(t) > 0 and bool(active[0] and joined[0])
+        if len(t) and start is not None and not carries:
+            out += [(last, "resolved")] if fired else []
+            start, last, fired = None, None, False
+        ends = np.flatnonzero(active & ~np.append(active[1:] & joined[1:], False)[: len(t)])
+        for first, end in zip([0] * carries + firsts.tolist(), ends.tolist()):
+            start, fired = (start, fired) if carries and first == 0 else (int(t[first]), False)
+            at = first + int(np.searchsorted(t[first : end + 1], start + least))
+            if not fired and at <= end:
+                fired = True
+                out.append((int(t[at]), "firing"))
+            last = int(t[end])
+            if end < len(t) - 1:
+                out += [(last, "resolved")] if fired else []
+                start, last, fired = None, None, False
+        return out, (start, last, fired)
+
     def hold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         alertname, node, series, for_s = key
         start, last, fired = state.get if state.exists else (None, None, False)
         out = []
         if state.hasTimedOut:
-            rows = pd.DataFrame({"t_us": [], "active": []})
             out += [(last, "resolved")] if fired else []
             start = None
         else:
-            rows = pd.concat(list(chunks)).sort_values("t_us")
-        for t, active in zip(rows["t_us"], rows["active"]):
-            if last is not None and t <= last:
-                continue
-            broken = last is not None and (not active or t - last > step)
-            if broken:
-                if fired:
-                    out.append((last, "resolved"))
-                start, last, fired = None, None, False
-            if active:
-                start, last = (t if start is None else start), t
-                if not fired and t - start >= for_s * 1_000_000:
-                    fired = True
-                    out.append((t, "firing"))
+            rows = pd.concat(list(chunks)).sort_values("t_us", kind="stable").drop_duplicates("t_us")
+            rows = rows if last is None else rows[rows["t_us"] > last]
+            t, active = rows["t_us"].to_numpy(), rows["active"].to_numpy(bool)
+            out, (start, last, fired) = runs(t, active, int(for_s) * 1_000_000, start, last, fired)
         if start is None:
             state.remove()
         else:
