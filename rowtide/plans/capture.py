@@ -44,6 +44,14 @@ def diff_capture(spark, root):
     )
 
 
+def tree_capture(spark, root):
+    """The same by a tree of digests; the new version has a column more and differs in few leaves."""
+    old, k = orders(spark, root), F.col("o_orderkey")
+    new = old.where(k % 6000 != 11).withColumn("note", F.when(k % 4000 == 9, "n"))
+    ev = ch.diff_capture(old, new, TOPIC, ["o_orderkey"], 5, leaf_bits=6)
+    return ev.select("key.o_orderkey", "op", "before.o_orderstatus", F.col("after.note").alias("note"), F.col("before.note").alias("before_note"))
+
+
 def net(spark, root):
     out = net_changes(orders_log(spark, root), ["o_orderkey"], 10, 50)
     return out.select("o_orderkey", "op", "lsn", "after.o_orderstatus", "after.o_totalprice")
@@ -129,6 +137,7 @@ QUERIES = {
     "bootstrap_no_data": _bootstrap("no_data"),
     "bootstrap_resume": _bootstrap("initial", has_offsets=True),
     "diff_capture": diff_capture,
+    "tree_capture": tree_capture,
     "net_changes": net,
     "net_changes_with_snapshot": net_all,
     "include_exclude": include_exclude,
@@ -166,6 +175,9 @@ ORACLE = {
         "SELECT k, op, lsn, o_orderstatus FROM orders_log WHERE lsn > 15", "orders_log"),
     "bootstrap_no_data": sql("SELECT k AS o_orderkey, op, lsn, o_orderstatus FROM orders_log", "orders_log"),
     "bootstrap_resume": sql("SELECT k AS o_orderkey, op, lsn, o_orderstatus FROM orders_log", "orders_log"),
+    "tree_capture": """
+        SELECT o_orderkey, 'd' AS op, o_orderstatus, NULL AS note, NULL AS before_note FROM orders WHERE o_orderkey % 6000 = 11
+        UNION ALL SELECT o_orderkey, 'u', o_orderstatus, 'n', NULL FROM orders WHERE o_orderkey % 4000 = 9 AND o_orderkey % 6000 <> 11""",
     "diff_capture": f"""
         SELECT o_orderkey, 'd' AS op, o_orderstatus AS before_status, NULL AS after_status, NULL AS after_price
         FROM orders WHERE o_orderkey % 17 = 0

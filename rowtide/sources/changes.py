@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rowtide.functions.names import matches_whole, topic_class
+from rowtide.operators import digests
 from rowtide.sources.profiles import Profile
 
 
@@ -85,16 +86,22 @@ def snapshot_events(
 
 def diff_capture(
     old: DataFrame, new: DataFrame, topic: str, key: list[str], lsn: int, ts: Column | None = None,
-    schema_version: int = 1,
+    schema_version: int = 1, leaf_bits: int | None = None,
 ) -> DataFrame:
     """Changes that turn one version of a table into the next.
 
     One full outer join on the key, which is unique on both sides, and a null-safe
-    comparison of the two row images; unchanged rows give no event.
+    comparison of the two row images; unchanged rows give no event. The images have the columns
+    of both versions; one that a version does not have is null there. With ``leaf_bits`` the
+    versions are first compared by a tree of digests and only rows of leaves that differ are joined.
     """
     ts = F.lit(None).cast("timestamp_ntz") if ts is None else ts
-    a = old.select(*key, F.struct(*[F.col(c) for c in old.columns]).alias("before"))
-    b = new.select(*key, F.struct(*[F.col(c) for c in old.columns]).alias("after"))
+    old, new = digests.aligned(old, new)
+    cols = old.columns
+    if leaf_bits is not None:
+        old, new = digests.unequal_rows(old, new, key, leaf_bits)
+    a = old.select(*key, F.struct(*cols).alias("before"))
+    b = new.select(*key, F.struct(*cols).alias("after"))
     both = a.join(b, on=key, how="full")
     op = F.when(F.col("before").isNull(), "c").when(F.col("after").isNull(), "d").otherwise("u")
     changed = both.filter(~F.col("before").eqNullSafe(F.col("after")))
