@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rowtide.sources.tables import cut_lineage
+
 DAY = 86_400_000_000
 
 
@@ -129,6 +131,21 @@ def _across_chunks(runs: DataFrame, by: list[str], gap_us: int, merged: list[Col
     )
 
 
+def next_start(df: DataFrame, by: list[str], t: str, order: list[str], name: str, chunk_us: int = DAY) -> DataFrame:
+    """``df`` with ``name``, the time ``t`` of the row that follows within ``by`` by (t, ``order``); null
+    for the last one. Rows are ordered within chunks of time, and one row for each chunk carries the
+    first time of the next one over."""
+    base = df.withColumn("_chunk", _start(F.col(t), chunk_us))
+    inside = base.withColumn("_in", F.lead(t).over(Window.partitionBy(*by, "_chunk").orderBy(t, *order)))
+    firsts = base.groupBy(*by, "_chunk").agg(F.min(t).alias("_first"))
+    after = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*by).orderBy("_chunk"))).drop("_first")
+    same = F.lit(True)
+    for c in [*by, "_chunk"]:
+        same = same & F.col(f"i.{c}").eqNullSafe(F.col(f"a.{c}"))
+    joined = inside.alias("i").join(after.alias("a"), same)
+    return joined.select(*[F.col(f"i.{c}") for c in df.columns], F.coalesce("_in", "_after").alias(name))
+
+
 def split_intervals(df: DataFrame, chunk_us: int = DAY) -> DataFrame:
     """Cut each interval ``start_us`` to ``end_us``, both included, at the borders of the chunks:
     one row ``_chunk, _s, _e`` for each chunk it touches, however many instants lie in it."""
@@ -229,46 +246,50 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], tl: Column, tr:
     return out.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in cols])
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], cells: int = 128,
-                    salts: int = 16) -> DataFrame:
+#: Distinct values that one task ranks, and parts that a larger cell is cut into.
+RANKED, PARTS = 1 << 20, 128
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], ranked: int = RANKED, parts: int = PARTS) -> DataFrame:
     """Exact quantiles with linear interpolation, for groups of any size.
 
-    Equal values are counted before the shuffle. Approximate quantiles cut each group into
-    cells of about equal size; with the row count of each cell the exact rank of every wanted
-    quantile is known to lie in one cell, and only those cells are ranked value by value.
+    Equal values are counted before the shuffle, so a value that half of all rows have is one row.
+    Each group is a cell first; while a cell that holds a wanted rank has more than ``ranked`` distinct
+    values, it is cut into ``parts`` of about equal size by approximate quantiles of its values, the
+    exact row counts of the parts tell which of them hold the ranks, and all others go. So a task ranks
+    no more than ``ranked`` values, and the rounds are the logarithm of a group's size.
     Result: ``by``, ``q``, ``value``. Null values do not count.
     """
-    data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    marks = [i / cells for i in range(1, cells)]
-    edges = data.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx("_v", marks, 10 * cells)).alias("_edges"), F.count("*").alias("_total")
-    )
-    salted = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    counts = data.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(salts)))
-    on = by + ["_salt"]
-    cell = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    celled = counts.join(salted, on).select(*by, "_v", "_n", "_total", cell.alias("_cell"))
-    sizes = celled.groupBy(*by, "_cell").agg(F.sum("_n").alias("_rows"), F.max("_total").alias("_total"))
-    w = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = sizes.withColumn("_to", F.sum("_rows").over(w)).withColumn("_from", F.col("_to") - F.col("_rows"))
-    wanted = bounds.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    pos = F.col("q") * (F.col("_total") - 1)
-    wanted = wanted.withColumns({"_lo": F.floor(pos), "_hi": F.ceil(pos), "_frac": pos - F.floor(pos)})
-    ranks = F.array_distinct(F.array("_lo", "_hi"))
-    wanted = wanted.withColumn("_rank", F.explode(ranks)).filter(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    )
-    cells_hit = wanted.select(*by, "_cell", "_from").distinct()
-    in_cell = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = celled.drop("_total").join(cells_hit, by + ["_cell"]).withColumn(
-        "_end", F.col("_from") + F.sum("_n").over(in_cell)
-    ).withColumn("_begin", F.col("_end") - F.col("_n")).drop("_from")
-    hit = wanted.select(*by, "_cell", "q", "_rank", "_lo", "_hi", "_frac").join(ranked, by + ["_cell"]).filter(
-        (F.col("_rank") >= F.col("_begin")) & (F.col("_rank") < F.col("_end"))
-    )
-    low = F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v")))
-    high = F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v")))
-    return hit.groupBy(*by, "q").agg(low.alias("_l"), high.alias("_h"), F.max("_frac").alias("_f")).select(
-        *by, "q", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_f")).alias("value")
-    )
+    data = df.select(F.struct(*by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = data.groupBy("g", "v").agg(F.count("*").alias("n")).withColumn("cell", F.lit(0).cast("bigint"))
+    asked = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
+    cells = rows.groupBy("g", "cell").agg(F.count("*").alias("values"), F.sum("n").alias("total")).withColumn("before", F.lit(0).cast("bigint"))
+    size = cells.agg(F.max("values")).first()[0] or 0
+    if size > ranked:
+        rows, cells = cut_lineage(rows), cut_lineage(cells)
+    pos = F.col("q") * (F.col("total") - 1)
+    wanted = cells.select("g", "total", asked.alias("q")).select("g", "q", F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))).alias("rank"), pos.alias("pos"))
+    while size > ranked:
+        marks = [i / parts for i in range(1, parts)]
+        edges = rows.join(cells.where(F.col("values") > ranked).select("g", "cell"), ["g", "cell"], "left_semi").groupBy("g", "cell").agg(
+            F.array_distinct(F.percentile_approx("v", marks, 100 * parts)).alias("edges"))
+        at = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("v"))), F.lit(0))
+        cut = rows.join(edges, ["g", "cell"], "left").select("g", "v", "n", (F.col("cell") * parts + at).alias("cell"), "cell").toDF("g", "v", "n", "cell", "up")
+        sums = cut.groupBy("g", "up", "cell").agg(F.count("*").alias("values"), F.sum("n").alias("rows"))
+        upto = Window.partitionBy("g", "up").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("inner", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+        placed = sums.join(cells.select("g", F.col("cell").alias("up"), "before"), ["g", "up"]).withColumn("before", F.col("before") + F.col("inner"))
+        hit = (F.col("w.rank") >= F.col("p.before")) & (F.col("w.rank") < F.col("p.before") + F.col("p.rows"))
+        held = placed.alias("p").join(wanted.alias("w"), (F.col("p.g") == F.col("w.g")) & hit, "left_semi")
+        cells = cut_lineage(held.select("g", "cell", "values", "before"))
+        rows = cut_lineage(cut.join(cells.select("g", "cell"), ["g", "cell"], "left_semi").select("g", "v", "n", "cell"))
+        last, size = size, cells.agg(F.max("values")).first()[0]
+        parts = parts if size < last else 2 * parts  # a cell that did not shrink is cut finer
+    in_cell = Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.join(cells.select("g", "cell", "before"), ["g", "cell"]).withColumn("end", F.col("before") + F.sum("n").over(in_cell))
+    hit = (F.col("w.rank") >= F.col("r.end") - F.col("r.n")) & (F.col("w.rank") < F.col("r.end"))
+    found = ends.alias("r").join(wanted.alias("w"), F.col("r.g").eqNullSafe(F.col("w.g")) & hit).select("w.g", "q", "pos", "rank", "v")
+    low = F.max(F.when(F.col("rank") == F.floor("pos"), F.col("v")))
+    high = F.max(F.when(F.col("rank") == F.ceil("pos"), F.col("v")))
+    told = found.groupBy("g", "q").agg(low.alias("l"), high.alias("h"), F.max(F.col("pos") - F.floor("pos")).alias("f"))
+    return told.select("g.*", "q", (F.col("l") + (F.col("h") - F.col("l")) * F.col("f")).alias("value"))

@@ -126,16 +126,17 @@ def test_asof_join(spark, chunk):
     assert rows_of(got, ["series", "t", "seen"]) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("cells", [4, 64])
-def test_exact_quantiles(spark, cells):
+@pytest.mark.parametrize("ranked, parts", [(1, 4), (10, 3), (1 << 20, 128)])
+def test_exact_quantiles(spark, ranked, parts):
     rng = random.Random(8)
     values = {
         "one": [3.5], "two": [1.0, 2.0], "same": [7.0] * 50, "ties": [float(rng.randrange(4)) for _ in range(400)],
         "wide": [rng.lognormvariate(0, 3) for _ in range(1000)],
+        "half": [5.0] * 500 + [rng.random() * 10 for _ in range(500)], None: [1.0, 4.0],
     }
     df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("two", None)], "g string, v double")
     qs = [0.0, 0.5, 0.75, 0.95, 0.99, 1.0]
-    got = {(r.g, r.q): r.value for r in win.exact_quantiles(df, ["g"], "v", qs, cells=cells).collect()}
+    got = {(r.g, r.q): r.value for r in win.exact_quantiles(df, ["g"], "v", qs, ranked, parts).collect()}
     assert got == {(g, q): pytest.approx(float(np.quantile(vs, q)), rel=1e-12) for g, vs in values.items() for q in qs}
 
 
