@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.functions.clock import micros
+from rowtide.operators.windows import DAY, cut_out, merge_intervals, next_start
 from rowtide.sources.changes import union_all
 
 
@@ -109,6 +110,35 @@ def fk_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFra
     return child.join(orphans, fk, "left_semi")
 
 
+def _held(log: DataFrame, by: list[str], keep: list[str], until: int, chunk: int) -> DataFrame:
+    """Intervals, ends included, in which the rows of a change log hold: from the change that wrote
+    them to the instant before the next change of the same key, or to ``until``."""
+    nexts = next_start(log, by, "at", ["seq"], "_next", chunk)
+    ends = F.coalesce(F.col("_next") - 1, F.lit(until).cast("bigint"))
+    return nexts.where(~F.col("gone")).select(*keep, F.col("at").alias("start_us"), F.least(ends, F.lit(until)).alias("end_us")).where("start_us <= end_us")
+
+
+def fk_violation_intervals(child: DataFrame, parent: DataFrame, ident: list[str], until: int, chunk: int = DAY) -> DataFrame:
+    """When the target held child rows without their parent, from the change logs applied to it.
+
+    ``child`` has ``ident``, ``ref``, ``at``, ``seq`` and ``gone``; ``parent`` has ``ref``, ``at``, ``seq`` and
+    ``gone``: when a change was applied, which of two at once came last, and whether it was a delete.
+    The result, for instants up to ``until``, is ``ident``, ``ref``, ``since``, ``till`` (the first instant
+    without the violation, null if it lasts) and ``state``: ``healed`` when the parent arrived, ``withdrawn``
+    when the child changed its reference or went first, ``open`` otherwise. A null reference never
+    violates; a change of the child that keeps its reference does not end an interval.
+
+    A point-in-time anti join: what a child's reference interval has beyond all intervals of its parent.
+    Both are cut into chunks of time, so a parent that a third of all rows name is many tasks.
+    """
+    refs = _held(child, ident, [*ident, "ref"], until, chunk).where("ref is not null")
+    refs = merge_intervals(refs, [*ident, "ref"], 1, chunk).withColumn("_last", F.col("end_us"))
+    there = _held(parent, ["ref"], ["ref"], until, chunk)
+    bare = cut_out(refs, there, ["ref"], 1, chunk)
+    state = F.when(F.col("end_us") >= until, "open").when(F.col("end_us") == F.col("_last"), "withdrawn").otherwise("healed")
+    return bare.select(*ident, "ref", F.col("start_us").alias("since"), F.when(state != "open", F.col("end_us") + 1).alias("till"), state.alias("state"))
+
+
 def null_violations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls per column that must not hold any; one pass for all columns."""
     sums = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in cols])
@@ -133,7 +163,8 @@ def schema_parity(cat_a: DataFrame, cat_b: DataFrame, on: list[str]) -> DataFram
 
 
 def schema_compat(registry: DataFrame) -> DataFrame:
-    """Backward compatibility of each schema version with the one before it.
+    """Backward compatibility of each schema version with the one registered before it, however far
+    apart their numbers are.
 
     ``registry`` has (subject, version, name, type, nullable, has_default). A reader on the new
     schema must be able to read old data: an added column must be nullable or have a default, a
@@ -144,12 +175,12 @@ def schema_compat(registry: DataFrame) -> DataFrame:
                 ("bigint", "float"), ("float", "double")]
     new = registry.select("subject", "version", "name", F.col("type").alias("new_type"),
                           (F.col("nullable") | F.col("has_default")).alias("optional"))
-    old = registry.select("subject", (F.col("version") + 1).alias("version"), "name", F.col("type").alias("old_type"))
-    versions = registry.select("subject", "version").distinct()
-    # a pair exists only if both versions are registered
-    old = old.join(versions, ["subject", "version"], "left_semi")
-    preceded = versions.select("subject", (F.col("version") + 1).alias("version"))
-    new = new.join(preceded, ["subject", "version"], "left_semi")
+    order = Window.partitionBy("subject").orderBy("version")
+    versions = registry.select("subject", "version").distinct().withColumn("before", F.lag("version").over(order))
+    known = versions.where("before is not null")
+    old = registry.select("subject", F.col("version").alias("before"), "name", F.col("type").alias("old_type"))
+    old = old.join(known, ["subject", "before"]).select("subject", "version", "name", "old_type")
+    new = new.join(known.select("subject", "version"), ["subject", "version"], "left_semi")
     pairs = F.concat_ws(">", "old_type", "new_type")
     verdict = (
         F.when(F.col("new_type").isNull(), "removed")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from rowtide.functions.labels import label, series_key
 from rowtide.operators import alerts as al
 from rowtide.operators import metric_names as mn
+from rowtide.operators import sketches as sk
 from rowtide.operators import telemetry as tm
 from rowtide.plans.logs import ORIGIN_US, document_log, events_log, mixed_log, orders, scrape, scrape_sql, sec, sql
-from rowtide.sources.tables import read_table
+from rowtide.sources.tables import cut_lineage, read_table
 
 HOUR = 3_600_000_000
 MESSAGES = "kafka_server_brokertopicmetrics_messagesinpersec"
@@ -185,6 +186,25 @@ def latency_percentiles(spark, root):
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "max", "p50", "p75", "p95", "p99")])
 
 
+def latency_rollup(spark, root):
+    """Days merged from stored hours, with the exact share of rows at or below each quantile beside it."""
+    ev = read_table(spark, root, "events")
+    hours = cut_lineage(sk.hourly(ev, ["event_type"], "ts", "value", "user_id"))
+    days = sk.latency_rollup(hours, ["event_type"])
+    days = days.select("event_type", "day", "rows", "n", "least", "most", *[sk.quantile(q).alias(f"q{i}") for i, q in enumerate(_ROLLED)])
+    near = ev.withColumn("day", F.date_trunc("day", "ts")).join(days, ["event_type", "day"]).groupBy("event_type", "day", "rows", "n", "least", "most").agg(
+        *[F.count_if(F.col("value") < F.col(f"q{i}")).alias(f"a{i}") for i in range(len(_ROLLED))],
+        *[F.count_if(F.col("value") <= F.col(f"q{i}")).alias(f"b{i}") for i in range(len(_ROLLED))])
+    slack = 2 * sk.RANK_ERROR * F.col("n") + 1
+    inside = F.lit(True)
+    for i, q in enumerate(_ROLLED):
+        inside = inside & (F.col(f"a{i}") - slack <= q * F.col("n")) & (q * F.col("n") <= F.col(f"b{i}") + slack)
+    return near.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "rows", "n", "least", "most", inside.alias("within"))
+
+
+_ROLLED = [0.5, 0.95, 0.99]
+
+
 def normalise_metrics(spark, root):
     i, u = F.col("event_id") % 12, (F.col("user_id") % 3).cast("string")
     full = F.concat(F.lit("debezium.sql_server<type=connector-metrics, server=srv"), u,
@@ -337,6 +357,7 @@ QUERIES = {
     "event_mix": event_mix,
     "throughput": throughput,
     "latency_percentiles": latency_percentiles,
+    "latency_rollup": latency_rollup,
     "normalise_metrics": normalise_metrics,
     "normalise_broker_metrics": normalise_broker,
     "normalise_registry_metrics": normalise_registry,
@@ -462,6 +483,9 @@ ORACLE = {
                count(*) / 3600.0 AS records_per_s, sum(strlen(event_type)) / CAST(3600.0 AS DOUBLE) AS bytes_per_s,
                sum(strlen(event_type)) / CAST(3600.0 AS DOUBLE) / CAST(1048576.0 AS DOUBLE) AS mb_per_s
         FROM events_log GROUP BY 1, 2""", "events_log"),
+    "latency_rollup": """
+        SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS "rows", count(value) AS n, min(value) AS least,
+               max(value) AS most, true AS within FROM events GROUP BY 1, 2""",
     "latency_percentiles": """
         SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max,
                round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75,

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowtide.operators import digests as dg
+from rowtide.operators import ranges as rg
 from rowtide.operators import reconcile as rc
+from rowtide.operators import sketches as sk
 from rowtide.plans.logs import NEW_KEY, orders, sql
 from rowtide.sources.tables import read_table
 
 
+#: Last second of the applied logs that is looked at.
+UNTIL = 20_000
+
+
 def target_orders(spark, root):
     """The other site: some orders are missing, some differ, some are extra."""
     src = orders(spark, root)
@@ -126,6 +133,73 @@ def compat_summary(spark, root):
     return rc.compat_summary(schema_registry(spark, root))
 
 
+def tree_diff(spark, root):
+    """A target in which a few orders are missing, changed, extra, or have a value in a new column."""
+    src, k = orders(spark, root), F.col("o_orderkey")
+    tgt = src.where(k % 5000 != 7).withColumn("o_orderstatus", F.when(k % 7000 == 3, "X").otherwise(F.col("o_orderstatus")))
+    tgt = tgt.withColumn("note", F.when(k % 9000 == 4, "n"))
+    extra = src.where(k % 8000 == 5).withColumns({"o_orderkey": k + NEW_KEY, "note": F.lit(None).cast("string")})
+    out = dg.tree_diff(src, tgt.unionByName(extra), ["o_orderkey"], 6)
+    return out.select("o_orderkey", "status", F.array_join("columns", ",").alias("columns"))
+
+
+def _applied(spark, root):
+    """Change logs of lines and orders as a target applied them: lines from second (key % 89) on, orders
+    from minute (key % 97) on; some orders never came, went, or came back; some lines went."""
+    o, line = read_table(spark, root, "orders"), read_table(spark, root, "lineitem")
+    k = F.col("o_orderkey")
+    first = (k % 97) * 60
+
+    def change(at, gone, seq):
+        return F.struct(at.cast("bigint").alias("at"), F.lit(gone).alias("gone"), F.lit(seq).alias("seq"))
+
+    parent = o.where(k % 13 != 0).select(k.alias("ref"), F.inline(F.array_compact(F.array(
+        change(first, False, 0), F.when(k % 10 == 0, change(first + 3600, True, 1)), F.when(k % 20 == 0, change(first + 5400, False, 2))))))
+    lk, n = F.col("l_orderkey"), F.col("l_linenumber")
+    born = (lk % 89) * 60 + n
+    child = line.select("l_orderkey", "l_linenumber", lk.alias("ref"), F.inline(F.array_compact(F.array(
+        change(born, False, 0), F.when(n % 2 == 0, change(born + 60, False, 1)), F.when((lk + n) % 7 == 0, change(born + 1800, True, 2))))))
+    return child, parent
+
+
+def fk_violation_intervals(spark, root):
+    child, parent = _applied(spark, root)
+    return rc.fk_violation_intervals(child, parent, ["l_orderkey", "l_linenumber"], UNTIL, 1000)
+
+
+def _delivered(spark, root):
+    """Offsets of a log of events: every 50th was lost, every third of the first half came twice."""
+    e = F.col("event_id")
+    ev = read_table(spark, root, "events").where(e % 50 != 9)
+    return ev.select(F.lit("p.db.dbo.events").alias("topic"), (e % 4).cast("int").alias("partition"), F.floor(e / 4).cast("bigint").alias("offset"), "event_id")
+
+
+def offset_gaps(spark, root):
+    """Offsets that never came, from those that did; deliveries that came twice change nothing."""
+    ev = _delivered(spark, root)
+    return rg.offset_gaps(rg.offset_ranges(ev.unionByName(ev.where(F.col("event_id") % 3 == 0)), 512), chunk=512)
+
+
+def dedupe_by_ranges(spark, root):
+    """A second delivery of everything, in which only what the first one lacked is new."""
+    ev = _delivered(spark, root)
+    first = rg.offset_ranges(ev.where(F.col("offset") % 11 != 0), 512)
+    again = ev.unionByName(ev.where(F.col("event_id") % 3 == 0))
+    return rg.dedupe_by_ranges(again, rg.merge_ranges(first, first), 512).select("partition", "offset", "event_id")
+
+
+def key_overlap(spark, root):
+    """Keys in common estimated from one sketch a side, and whether each figure is within the stated error."""
+    src, tgt = orders(spark, root), target_orders(spark, root)
+    told = sk.key_overlap(sk.key_sketch(src, ["o_orderkey"]), sk.key_sketch(tgt, ["o_orderkey"]))
+    k = F.col("o_orderkey")
+    exact = src.agg(F.count("*").alias("s"), F.count_if(k % 17 == 0).alias("gone"), F.count_if(k % 23 == 0).alias("more"))
+    bound = sk.THETA_ERROR * (F.col("s") + F.col("more"))
+    true = {"source_keys": F.col("s"), "target_keys": F.col("s") - F.col("gone") + F.col("more"), "common": F.col("s") - F.col("gone"), "missing": F.col("gone"), "extra": F.col("more")}
+    one = told.join(exact, how="cross")  # one row each
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("figure"), x.cast("bigint").alias("exact"), (F.abs(F.col(n) - x) <= bound).alias("within")) for n, x in true.items()])))
+
+
 def propagation(spark, root):
     """Orders with status 'F' are the markers; arrival takes 0 to 39 s, one in seven is lost."""
     k = F.col("o_orderkey")
@@ -158,6 +232,11 @@ QUERIES = {
     "schema_parity": schema_parity,
     "schema_compat": schema_compat,
     "compat_summary": compat_summary,
+    "tree_diff": tree_diff,
+    "fk_violation_intervals": fk_violation_intervals,
+    "offset_gaps": offset_gaps,
+    "dedupe_by_ranges": dedupe_by_ranges,
+    "key_overlap": key_overlap,
     "propagation": propagation,
     "snapshot_progress": snapshot_progress,
 }
@@ -245,6 +324,38 @@ ORACLE = {
                CASE s_suppkey % 6 WHEN 0 THEN 'none, the sink adds the column' WHEN 1 THEN 'give the column a default'
                     WHEN 2 THEN 'relax the subject''s level until the change is through'
                     WHEN 4 THEN 'flush the topic and recreate the connector' ELSE 'none' END AS remedy FROM supplier""",
+    "tree_diff": f"""
+        SELECT o_orderkey, 'missing' AS status, NULL AS columns FROM orders WHERE o_orderkey % 5000 = 7
+        UNION ALL SELECT o_orderkey, 'changed', concat_ws(',', CASE WHEN o_orderkey % 7000 = 3 AND o_orderstatus IS DISTINCT FROM 'X'
+          THEN 'o_orderstatus' END, CASE WHEN o_orderkey % 9000 = 4 THEN 'note' END) FROM orders
+          WHERE o_orderkey % 5000 <> 7 AND ((o_orderkey % 7000 = 3 AND o_orderstatus IS DISTINCT FROM 'X') OR o_orderkey % 9000 = 4)
+        UNION ALL SELECT o_orderkey + {NEW_KEY}, 'extra', NULL FROM orders WHERE o_orderkey % 8000 = 5""",
+    "fk_violation_intervals": f"""
+        WITH p AS (SELECT o_orderkey AS k, o_orderkey % 97 * 60 AS a FROM orders),
+        bare AS (
+          SELECT k, 0 AS s, {UNTIL} + 1 AS e FROM p WHERE k % 13 = 0
+          UNION ALL SELECT k, 0, a FROM p WHERE k % 13 <> 0
+          UNION ALL SELECT k, a + 3600, CASE WHEN k % 20 = 0 THEN a + 5400 ELSE {UNTIL} + 1 END FROM p WHERE k % 13 <> 0 AND k % 10 = 0
+        ), c AS (
+          SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey % 89 * 60 + l_linenumber AS s,
+            CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN l_orderkey % 89 * 60 + l_linenumber + 1800 ELSE {UNTIL} + 1 END AS e FROM lineitem
+        )
+        SELECT l_orderkey, l_linenumber, l_orderkey AS ref, CAST(greatest(c.s, b.s) AS BIGINT) AS since,
+          CAST(CASE WHEN least(c.e, b.e) <= {UNTIL} THEN least(c.e, b.e) END AS BIGINT) AS till,
+          CASE WHEN least(c.e, b.e) > {UNTIL} THEN 'open' WHEN least(c.e, b.e) = c.e THEN 'withdrawn' ELSE 'healed' END AS state
+        FROM c JOIN bare b ON b.k = c.l_orderkey AND c.s < b.e AND b.s < c.e""",
+    "offset_gaps": """
+        WITH o AS (SELECT CAST(event_id % 4 AS INTEGER) AS p, CAST(event_id // 4 AS BIGINT) AS o FROM events WHERE event_id % 50 <> 9),
+        n AS (SELECT p, o, lead(o) OVER (PARTITION BY p ORDER BY o) AS x FROM (SELECT DISTINCT p, o FROM o))
+        SELECT 'p.db.dbo.events' AS topic, p AS "partition", o + 1 AS start, x - 1 AS "end", x - o - 1 AS lost FROM n WHERE x > o + 1""",
+    "dedupe_by_ranges": """
+        SELECT CAST(event_id % 4 AS INTEGER) AS "partition", CAST(event_id // 4 AS BIGINT) AS "offset", event_id FROM events
+        WHERE event_id % 50 <> 9 AND event_id // 4 % 11 = 0""",
+    "key_overlap": """
+        SELECT unnest(['source_keys', 'target_keys', 'common', 'missing', 'extra']) AS figure,
+               unnest([s, s - gone + more, s - gone, gone, more]) AS exact, true AS within
+        FROM (SELECT count(*) AS s, count(*) FILTER (WHERE o_orderkey % 17 = 0) AS gone,
+                     count(*) FILTER (WHERE o_orderkey % 23 = 0) AS more FROM orders)""",
     "propagation": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 40 AS DOUBLE) END AS delay_s,
                CASE WHEN o_orderkey % 7 = 0 THEN 'lost' WHEN o_orderkey % 40 <= 15 THEN 'arrived' ELSE 'late' END AS status
