@@ -93,120 +93,107 @@ def _own_names() -> Column:
     return F.create_map(*pairs)
 
 
-# Rules for the worker's own beans, as (bean pattern, name, labels).
-WORKER_BEANS = [
-    (r"kafka\.connect<type=connect-worker-metrics, connector=([^>]+)><>([^:]+)",
-     "kafka_connect_connector_metrics_$2", {"connector": "$1"}),
-    (r"kafka\.connect<type=connect-worker-metrics><>([^:]+)", "kafka_connect_connect_worker_metrics_$1", {}),
-    (r"kafka\.connect<type=connect-worker-rebalance-metrics><>([^:]+)", "kafka_connect_worker_rebalance_$1", {}),
+# Rules of the workers and their JVM, in order, as (pattern, name, type, labels).
+WORKER_RULES = [
+    (r"kafka\.connect<type=connect-worker-metrics, connector=([^>]+)><>([^:]+)", "kafka_connect_connector_metrics_$2", "GAUGE", {"connector": "$1"}),
+    (r"kafka\.connect<type=connect-worker-metrics><>([^:]+)", "kafka_connect_connect_worker_metrics_$1", "GAUGE", {}),
+    (r"kafka\.connect<type=connect-worker-rebalance-metrics><>([^:]+)", "kafka_connect_worker_rebalance_$1", "GAUGE", {}),
+    (r"kafka\.connect<type=sink-task-metrics, connector=([^,]+), task=([^>]+)><>([^:]+)",
+     "kafka_connect_sink_task_metrics_$3", "GAUGE", {"connector": "$1", "task": "$2"}),
+    (r"kafka\.connect<type=source-task-metrics, connector=([^,]+), task=([^>]+)><>([^:]+)",
+     "kafka_connect_source_task_metrics_$3", "GAUGE", {"connector": "$1", "task": "$2"}),
+    (r"kafka\.connect<type=task-error-metrics, connector=([^,]+), task=([^>]+)><>([^:]+)",
+     "kafka_connect_task_error_metrics_$3", "GAUGE", {"connector": "$1", "task": "$2"}),
+    (r"kafka\.connect<type=task-metrics, connector=([^,]+), task=([^>]+)><>([^:]+)",
+     "kafka_connect_task_metrics_$3", "GAUGE", {"connector": "$1", "task": "$2"}),
+    (r"kafka\.consumer<type=consumer-fetch-manager-metrics, client-id=([^,]+), topic=([^,]+), partition=([^>]+)><>([^:]+)",
+     "kafka_consumer_consumer_fetch_manager_metrics_$4", "GAUGE", {"client_id": "$1", "topic": "$2", "partition": "$3"}),
+    (r"kafka\.consumer<type=consumer-fetch-manager-metrics, client-id=([^>]+)><>([^:]+)",
+     "kafka_consumer_consumer_fetch_manager_metrics_$2", "GAUGE", {"client_id": "$1"}),
+    (r"java\.lang<type=Memory><HeapMemoryUsage>(.+)", "jvm_memory_heap_$1", "GAUGE", {}),
+    (r"java\.lang<type=Memory><NonHeapMemoryUsage>(.+)", "jvm_memory_nonheap_$1", "GAUGE", {}),
+    (r"java\.lang<type=MemoryPool, name=([^>]+)><Usage>(.+)", "jvm_memory_pool_$2", "GAUGE", {"pool": "$1"}),
+    (r"java\.lang<type=GarbageCollector, name=([^>]+)><>CollectionCount", "jvm_gc_collection_count", "COUNTER", {"gc": "$1"}),
+    (r"java\.lang<type=GarbageCollector, name=([^>]+)><>CollectionTime", "jvm_gc_collection_time_ms", "COUNTER", {"gc": "$1"}),
+    (r"java\.lang<type=Threading><>([^:]+)", "jvm_threading_$1", "GAUGE", {}),
+    (r"java\.lang<type=OperatingSystem><>([^:]+)", "jvm_os_$1", "GAUGE", {}),
 ]
-TASK_BEANS = ["sink-task", "source-task", "task-error", "task"]
-FETCH_HEAD = r"kafka\.consumer<type=consumer-fetch-manager-metrics, client-id="
-FETCH_NAME = "kafka_consumer_consumer_fetch_manager_metrics_"
-
-
-def _worker_rules() -> list[MetricRule]:
-    rules = [MetricRule(p, n, "GAUGE", lab) for p, n, lab in WORKER_BEANS]
-    for kind in TASK_BEANS:
-        rules.append(MetricRule(
-            rf"kafka\.connect<type={kind}-metrics, connector=([^,]+), task=([^>]+)><>([^:]+)",
-            f"kafka_connect_{kind.replace('-', '_')}_metrics_$3", "GAUGE", {"connector": "$1", "task": "$2"}))
-    rules.append(MetricRule(
-        FETCH_HEAD + r"([^,]+), topic=([^,]+), partition=([^>]+)><>([^:]+)", FETCH_NAME + "$4", "GAUGE",
-        {"client_id": "$1", "topic": "$2", "partition": "$3"}))
-    rules.append(MetricRule(FETCH_HEAD + r"([^>]+)><>([^:]+)", FETCH_NAME + "$2", "GAUGE", {"client_id": "$1"}))
-    return rules
-
-
-def _jvm_rules(attr: str, pool: str, gc: str, plain: str) -> list[MetricRule]:
-    """JVM beans; the exporters spell the attribute part differently, hence the arguments."""
-    return [
-        MetricRule(rf"java\.lang<type=Memory><HeapMemoryUsage>{attr}", "jvm_memory_heap_$1"),
-        MetricRule(rf"java\.lang<type=Memory><NonHeapMemoryUsage>{attr}", "jvm_memory_nonheap_$1"),
-        MetricRule(rf"java\.lang<type=MemoryPool, name={pool}><Usage>{attr}", "jvm_memory_pool_$2", "GAUGE",
-                   {"pool": "$1"}),
-        MetricRule(rf"java\.lang<type=GarbageCollector, name={pool}><{gc}".replace("@", "CollectionCount"),
-                   "jvm_gc_collection_count", "COUNTER", {"gc": "$1"}),
-        MetricRule(rf"java\.lang<type=GarbageCollector, name={pool}><{gc}".replace("@", "CollectionTime"),
-                   "jvm_gc_collection_time_ms", "COUNTER", {"gc": "$1"}),
-        MetricRule(rf"java\.lang<type=Threading><{plain}", "jvm_threading_$1"),
-        MetricRule(rf"java\.lang<type=OperatingSystem><{plain}", "jvm_os_$1"),
-    ]
 
-
-def connect_rules() -> list[MetricRule]:
-    return _capture_rules() + _worker_rules() + _jvm_rules("(.+)", "([^>]+)", ">@", ">([^:]+)")
-
-
-# Broker beans as (domain, bean type, extra keys, attribute, name, type, labels).
-BROKER_BEANS = [
-    ("kafka.server", "BrokerTopicMetrics", ["topic"], "Count", "kafka_server_brokertopicmetrics_$1", "COUNTER",
-     {"topic": "$2"}),
-    ("kafka.server", "BrokerTopicMetrics", [], "Count", "kafka_server_brokertopicmetrics_$1", "COUNTER", {}),
-    ("kafka.server", "BrokerTopicMetrics", ["topic"], "OneMinuteRate", "kafka_server_brokertopicmetrics_$1_rate",
-     "GAUGE", {"topic": "$2"}),
-    ("kafka.server", "BrokerTopicMetrics", [], "OneMinuteRate", "kafka_server_brokertopicmetrics_$1_rate", "GAUGE",
-     {}),
-    ("kafka.server", "ReplicaManager", [], "Value", "kafka_server_replicamanager_$1", "GAUGE", {}),
-    ("kafka.server", "KafkaRequestHandlerPool", [], "OneMinuteRate", "kafka_server_kafkarequesthandlerpool_$1",
-     "GAUGE", {}),
-    ("kafka.server", "KafkaRequestHandlerPool", [], "Count", "kafka_server_kafkarequesthandlerpool_$1_total",
-     "COUNTER", {}),
-    ("kafka.network", "RequestMetrics", ["request"], "99thPercentile", "kafka_network_requestmetrics_$1", "GAUGE",
-     {"request": "$2", "quantile": "0.99"}),
-    ("kafka.network", "RequestMetrics", ["request"], "95thPercentile", "kafka_network_requestmetrics_$1", "GAUGE",
-     {"request": "$2", "quantile": "0.95"}),
-    ("kafka.network", "RequestMetrics", ["request"], "75thPercentile", "kafka_network_requestmetrics_$1", "GAUGE",
-     {"request": "$2", "quantile": "0.75"}),
-    ("kafka.network", "RequestMetrics", ["request"], "50thPercentile", "kafka_network_requestmetrics_$1", "GAUGE",
-     {"request": "$2", "quantile": "0.50"}),
-    ("kafka.network", "RequestMetrics", ["request"], "Count", "kafka_network_requestmetrics_$1_total", "GAUGE",
-     {"request": "$2"}),
-    ("kafka.network", "RequestMetrics", ["request"], "Mean", "kafka_network_requestmetrics_$1_mean", "GAUGE",
-     {"request": "$2"}),
-    ("kafka.network", "SocketServer", [], "Value", "kafka_network_socketserver_$1", "GAUGE", {}),
-    ("kafka.network", "SocketServer", [], "Count", "kafka_network_socketserver_$1", "COUNTER", {}),
-    ("kafka.controller", "KafkaController", [], "Value", "kafka_controller_kafkacontroller_$1", "GAUGE", {}),
-    ("kafka.controller", "ControllerStats", [], "Count", "kafka_controller_controllerstats_$1", "COUNTER", {}),
-    ("kafka.controller", "ControllerStats", [], "OneMinuteRate", "kafka_controller_controllerstats_$1_rate", "GAUGE",
-     {}),
-    ("kafka.log", "LogManager", [], "Value", "kafka_log_logmanager_$1", "GAUGE", {}),
-    ("kafka.log", "Log", ["topic", "partition"], "Value", "kafka_log_log_$1", "GAUGE",
-     {"topic": "$2", "partition": "$3"}),
-    ("kafka.server", "DelayedOperationPurgatory", ["delayedOperation"], "Value",
+# Rules of the brokers and their JVM, in order, as (pattern, name, type, labels).
+BROKER_RULES = [
+    ("kafka.server<type=BrokerTopicMetrics, name=(.+), topic=(.+)><>Count", "kafka_server_brokertopicmetrics_$1", "COUNTER", {"topic": "$2"}),
+    ("kafka.server<type=BrokerTopicMetrics, name=(.+)><>Count", "kafka_server_brokertopicmetrics_$1", "COUNTER", {}),
+    ("kafka.server<type=BrokerTopicMetrics, name=(.+), topic=(.+)><>OneMinuteRate",
+     "kafka_server_brokertopicmetrics_$1_rate", "GAUGE", {"topic": "$2"}),
+    ("kafka.server<type=BrokerTopicMetrics, name=(.+)><>OneMinuteRate", "kafka_server_brokertopicmetrics_$1_rate", "GAUGE", {}),
+    ("kafka.server<type=ReplicaManager, name=(.+)><>Value", "kafka_server_replicamanager_$1", "GAUGE", {}),
+    ("kafka.server<type=KafkaRequestHandlerPool, name=(.+)><>OneMinuteRate", "kafka_server_kafkarequesthandlerpool_$1", "GAUGE", {}),
+    ("kafka.server<type=KafkaRequestHandlerPool, name=(.+)><>Count", "kafka_server_kafkarequesthandlerpool_$1_total", "COUNTER", {}),
+    ("kafka.network<type=RequestMetrics, name=(.+), request=(.+)><>99thPercentile",
+     "kafka_network_requestmetrics_$1", "GAUGE", {"request": "$2", "quantile": "0.99"}),
+    ("kafka.network<type=RequestMetrics, name=(.+), request=(.+)><>95thPercentile",
+     "kafka_network_requestmetrics_$1", "GAUGE", {"request": "$2", "quantile": "0.95"}),
+    ("kafka.network<type=RequestMetrics, name=(.+), request=(.+)><>75thPercentile",
+     "kafka_network_requestmetrics_$1", "GAUGE", {"request": "$2", "quantile": "0.75"}),
+    ("kafka.network<type=RequestMetrics, name=(.+), request=(.+)><>50thPercentile",
+     "kafka_network_requestmetrics_$1", "GAUGE", {"request": "$2", "quantile": "0.50"}),
+    ("kafka.network<type=RequestMetrics, name=(.+), request=(.+)><>Count", "kafka_network_requestmetrics_$1_total", "GAUGE", {"request": "$2"}),
+    ("kafka.network<type=RequestMetrics, name=(.+), request=(.+)><>Mean", "kafka_network_requestmetrics_$1_mean", "GAUGE", {"request": "$2"}),
+    ("kafka.network<type=SocketServer, name=(.+)><>Value", "kafka_network_socketserver_$1", "GAUGE", {}),
+    ("kafka.network<type=SocketServer, name=(.+)><>Count", "kafka_network_socketserver_$1", "COUNTER", {}),
+    ("kafka.controller<type=KafkaController, name=(.+)><>Value", "kafka_controller_kafkacontroller_$1", "GAUGE", {}),
+    ("kafka.controller<type=ControllerStats, name=(.+)><>Count", "kafka_controller_controllerstats_$1", "COUNTER", {}),
+    ("kafka.controller<type=ControllerStats, name=(.+)><>OneMinuteRate", "kafka_controller_controllerstats_$1_rate", "GAUGE", {}),
+    ("kafka.log<type=LogManager, name=(.+)><>Value", "kafka_log_logmanager_$1", "GAUGE", {}),
+    ("kafka.log<type=Log, name=(.+), topic=(.+), partition=(.+)><>Value", "kafka_log_log_$1", "GAUGE", {"topic": "$2", "partition": "$3"}),
+    ("kafka.server<type=DelayedOperationPurgatory, name=(.+), delayedOperation=(.+)><>Value",
      "kafka_server_delayedoperationpurgatory_$1", "GAUGE", {"delayed_operation": "$2"}),
-    ("kafka.coordinator.group", "GroupMetadataManager", [], "Value", "kafka_coordinator_group_groupmetadatamanager_$1",
-     "GAUGE", {}),
+    ("kafka.coordinator.group<type=GroupMetadataManager, name=(.+)><>Value", "kafka_coordinator_group_groupmetadatamanager_$1", "GAUGE", {}),
+    (r"java\.lang<type=Memory><HeapMemoryUsage>(\w+)", "jvm_memory_heap_$1", "GAUGE", {}),
+    (r"java\.lang<type=Memory><NonHeapMemoryUsage>(\w+)", "jvm_memory_nonheap_$1", "GAUGE", {}),
+    (r"java\.lang<type=MemoryPool, name=(.+)><Usage>(\w+)", "jvm_memory_pool_$2", "GAUGE", {"pool": "$1"}),
+    (r"java\.lang<type=GarbageCollector, name=(.+)><CollectionCount>", "jvm_gc_collection_count", "COUNTER", {"gc": "$1"}),
+    (r"java\.lang<type=GarbageCollector, name=(.+)><CollectionTime>", "jvm_gc_collection_time_ms", "COUNTER", {"gc": "$1"}),
+    (r"java\.lang<type=Threading><(\w+)>", "jvm_threading_$1", "GAUGE", {}),
+    (r"java\.lang<type=OperatingSystem><(\w+)>", "jvm_os_$1", "GAUGE", {}),
 ]
 
-
-def broker_rules() -> list[MetricRule]:
-    rules = []
-    for domain, bean, keys, attribute, name, kind, labels in BROKER_BEANS:
-        extra = "".join(f", {k}=(.+)" for k in keys)
-        rules.append(MetricRule(f"{domain}<type={bean}, name=(.+){extra}><>{attribute}", name, kind, labels))
-    return rules + _jvm_rules(r"(\w+)", "(.+)", "@>", r"(\w+)>")
-
-
-# Beans of the schema registry, as (bean pattern, name, labels).
-REGISTRY_BEANS = [
-    (r"kafka\.schema\.registry<type=jetty-metrics><>([^:]+)", "kafka_schema_registry_jetty_$1", {}),
+# Rules of the schema registry and its JVM, in order, as (pattern, name, type, labels).
+REGISTRY_RULES = [
+    (r"kafka\.schema\.registry<type=jetty-metrics><>([^:]+)", "kafka_schema_registry_jetty_$1", "GAUGE", {}),
     (r"kafka\.schema\.registry<type=jersey-metrics><>(.+)\.(request-[^:]+|response-[^:]+)",
-     "kafka_schema_registry_jersey_$2", {"endpoint": "$1"}),
-    (r"kafka\.schema\.registry<type=master-slave-role><>([^:]+)", "kafka_schema_registry_master_slave_role", {}),
-    (r"kafka\.schema\.registry<type=([^,>]+)><>([^:]+)", "kafka_schema_registry_$1", {}),
-    (r"kafka\.producer<type=producer-metrics, client-id=([^>]+)><>([^:]+)", "kafka_schema_registry_producer_$2",
-     {"client_id": "$1"}),
+     "kafka_schema_registry_jersey_$2", "GAUGE", {"endpoint": "$1"}),
+    (r"kafka\.schema\.registry<type=master-slave-role><>([^:]+)", "kafka_schema_registry_master_slave_role", "GAUGE", {}),
+    (r"kafka\.schema\.registry<type=([^,>]+)><>([^:]+)", "kafka_schema_registry_$1", "GAUGE", {}),
+    (r"kafka\.producer<type=producer-metrics, client-id=([^>]+)><>([^:]+)", "kafka_schema_registry_producer_$2", "GAUGE", {"client_id": "$1"}),
     (r"kafka\.consumer<type=consumer-fetch-manager-metrics, client-id=([^>]+)><>([^:]+)",
-     "kafka_schema_registry_consumer_$2", {"client_id": "$1"}),
+     "kafka_schema_registry_consumer_$2", "GAUGE", {"client_id": "$1"}),
     (r"kafka\.consumer<type=consumer-coordinator-metrics, client-id=([^>]+)><>([^:]+)",
-     "kafka_schema_registry_consumer_coordinator_$2", {"client_id": "$1"}),
+     "kafka_schema_registry_consumer_coordinator_$2", "GAUGE", {"client_id": "$1"}),
+    (r"java\.lang<type=Memory><HeapMemoryUsage>(.+)", "jvm_memory_heap_$1", "GAUGE", {}),
+    (r"java\.lang<type=Memory><NonHeapMemoryUsage>(.+)", "jvm_memory_nonheap_$1", "GAUGE", {}),
+    (r"java\.lang<type=MemoryPool, name=([^>]+)><Usage>(.+)", "jvm_memory_pool_$2", "GAUGE", {"pool": "$1"}),
+    (r"java\.lang<type=GarbageCollector, name=([^>]+)><>CollectionCount", "jvm_gc_collection_count", "COUNTER", {"gc": "$1"}),
+    (r"java\.lang<type=GarbageCollector, name=([^>]+)><>CollectionTime", "jvm_gc_collection_time_ms", "COUNTER", {"gc": "$1"}),
+    (r"java\.lang<type=Threading><>([^:]+)", "jvm_threading_$1", "GAUGE", {}),
+    (r"java\.lang<type=OperatingSystem><>([^:]+)", "jvm_os_$1", "GAUGE", {}),
 ]
 
 
+def _rules(rows: list[tuple[str, str, str, dict[str, str]]]) -> list[MetricRule]:
+    return [MetricRule(*row) for row in rows]
+
+
+def connect_rules() -> list[MetricRule]:
+    return _capture_rules() + _rules(WORKER_RULES)
+
+
+def broker_rules() -> list[MetricRule]:
+    return _rules(BROKER_RULES)
+
+
 def registry_rules() -> list[MetricRule]:
-    rules = [MetricRule(p, n, "GAUGE", lab) for p, n, lab in REGISTRY_BEANS]
-    return rules + _jvm_rules("(.+)", "([^>]+)", ">@", ">([^:]+)")
+    return _rules(REGISTRY_RULES)
 
 
 def _rewritten(bean: Column, rules: list[MetricRule]) -> Column:
