@@ -16,17 +16,21 @@ from rowtide.llm.common import keep, same, table
 
 #: Seconds of a time cell.
 CELL = 86_400
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9a-fA-F:.]*\]|[^/:?#\[\]]+)"
+#: Hosts that are addresses and have no domains above them.
+ADDRESS = r"^(\[.*\]|\d{1,3}(\.\d{1,3}){3})$"
 
 
 def host(url: Column) -> Column:
-    """Host of an absolute URL in lower case; empty for anything else."""
-    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), HOST, 1))
+    """Host of an absolute URL in lower case, without dots at its end; empty for anything else. An IPv6
+    address keeps its brackets."""
+    return F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), HOST, 1), "\\.+$", ""))
 
 
 def domains(name: Column) -> Column:
-    """A host and the domains above it, of two labels at least; a single label stands for itself."""
-    labels = F.split(name, "\\.")
+    """A host and the domains above it, of two labels at least; a single label and an address stand for
+    themselves."""
+    labels = F.when(name.rlike(ADDRESS), F.array(name)).otherwise(F.split(name, "\\."))
     above = F.sequence(F.lit(0), F.greatest(F.size(labels) - 2, F.lit(0)))
     return F.array_distinct(F.transform(above, lambda i: F.array_join(F.slice(labels, i + 1, F.greatest(F.size(labels) - i, F.lit(1))), ".")))
 
@@ -41,7 +45,7 @@ def intervals(entries: DataFrame, cell: int = CELL) -> DataFrame:
     with very many entries is not sorted in one task.
     """
     log = same(entries, ["list", "domain", "action", "at"]).where("list is not null and domain is not null and at is not null and action in ('add', 'remove')")
-    log = log.groupBy("list", F.lower("domain").alias("domain"), F.col("at").cast("long").alias("at")).agg(F.max("action").alias("action"))
+    log = log.groupBy("list", F.lower(F.regexp_replace("domain", "\\.+$", "")).alias("domain"), F.col("at").cast("long").alias("at")).agg(F.max("action").alias("action"))
     log = keep(log.withColumn("cell", F.floor(F.col("at") / cell)), "entries")
     first = log.groupBy("list", "domain", "cell").agg(F.min("at").alias("first"))
     follow = first.withColumn("after", F.lead("first").over(Window.partitionBy("list", "domain").orderBy("cell"))).drop("first")
@@ -120,11 +124,13 @@ _FEED = " UNION ALL ".join(
 )
 SQL = rf"""
 WITH c AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+  SELECT page_id, lower(regexp_replace(regexp_extract(coalesce(url, ''),
+      '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9a-fA-F:.]*\]|[^/:?#\[\]]+)', 1), '\.+$', '')) AS host,
     1704067200 + (page_id * 7919 % 43200) * 60 AS fetched
   FROM pages
 ), l AS (
-  SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host <> ''
+  SELECT DISTINCT host, CASE WHEN regexp_matches(host, '^(\[.*\]|\d{{1,3}}(\.\d{{1,3}}){{3}})$') THEN [host] ELSE string_split(host, '.') END AS p
+  FROM c WHERE host <> ''
 ), h AS (
   SELECT DISTINCT host, array_to_string(p[i + 1:], '.') AS domain FROM (SELECT *, unnest(range(greatest(len(p) - 1, 1))) AS i FROM l)
 ), n AS (
