@@ -95,8 +95,15 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("the archive is cut off")
 
 
+#: Schemes of Spark's file systems that have another name among Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """File system and path of an address as Spark writes it. Archives are streamed by the workers, so
+    the scheme must be one that Arrow can write to; another one raises an error that names it."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def plan(pages: DataFrame, small: int = SMALL) -> DataFrame:
