@@ -220,4 +220,4 @@ def readiness(checks: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "FAIL").alias("failures"),
     )
     result = F.when(F.col("failures") > 0, "FAILED").when(F.col("warnings") > 0, "PASSED WITH WARNINGS")
-    return out.withColumn("result", result.otherwise("ALL CHECKS PASSED")  # fixed values: texts of the overall result)
+    return out.withColumn("result", result.otherwise("ALL CHECKS PASSED"))  # fixed values: texts of the overall result
