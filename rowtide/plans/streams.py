@@ -11,11 +11,14 @@ from rowtide.functions.clock import micros, seconds
 from rowtide.operators import apply as ap
 from rowtide.operators import windows as win
 from rowtide.plans.alerting import _chain
+from rowtide.plans.logs import orders as read_orders
 from rowtide.plans.logs import ORDER_COLS, ORIGIN_US, events_log, orders_log, scrape, sec, sql
 from rowtide.plans.merge import ORACLE as MERGE_ORACLE
 from rowtide.sources.tables import read_table, run_dir, stream_table
 from rowtide.sources.versions import read_state
 from rowtide.streaming.jobs import event_time
+from rowtide.streaming.state import keyed_state
+from rowtide.streaming.state import stream_upsert_state as keyed_upsert
 
 def _aggs():
     return {"n": F.count("*"), "cents": F.sum("cents")}
@@ -134,6 +137,18 @@ def stream_replay(spark, root):
     return ap.live(read_state(spark, f"{d}/orders")).select(*ORDER_COLS)
 
 
+def stream_upsert_state(spark, root):
+    """The same with the state inside the stream, which begins with a snapshot of the orders."""
+    log = orders_log(spark, root, stream_table(spark, root, "orders"))
+    snapshot = ap.as_state(read_orders(spark, root), lsn=0, schema_version=2)
+    d = run_dir(spark, "keyed")
+    with keyed_state(spark):
+        st.update_sink(keyed_upsert(log.filter(F.col("source.lsn") > 0), ["o_orderkey"], "apply", snapshot), f"{d}/out", f"{d}/checkpoint")
+    changed = st.latest_epoch(spark, f"{d}/out", ["o_orderkey"])
+    kept = snapshot.join(changed, "o_orderkey", "left_anti").select(*changed.columns)
+    return ap.live(changed.unionByName(kept)).select(*ORDER_COLS)
+
+
 def stream_hold(spark, root):
     """Targets down for two minutes, found while the stream runs."""
     up = scrape(spark, root, ["up"], stream_table(spark, root, "events"))
@@ -171,6 +186,7 @@ QUERIES = {
     "stream_upsert": _stream_upsert("drop"),
     "stream_upsert_apply": _stream_upsert("apply"),
     "stream_replay": stream_replay,
+    "stream_upsert_state": stream_upsert_state,
     "stream_hold": stream_hold,
     "event_lag_stream": event_lag_stream,
 }
@@ -207,6 +223,7 @@ ORACLE = {
     "stream_upsert": MERGE_ORACLE["upsert_drop_deletes"],
     "stream_upsert_apply": MERGE_ORACLE["upsert_apply_deletes"],
     "stream_replay": MERGE_ORACLE["upsert_apply_deletes"],
+    "stream_upsert_state": MERGE_ORACLE["upsert_apply_deletes"],
     "stream_hold": _chain("""
         SELECT 'TargetDown' AS alertname, node, instance AS series, sec, state FROM (
           SELECT node, instance, unnest([{'sec': a + 120, 'state': 'firing'}, {'sec': b, 'state': 'resolved'}], recursive := true)
