@@ -127,7 +127,7 @@ def test_thresholds_cover_every_pair():
         for _ in range(300):
             change = sum(1 << b for b in rng.sample(range(64), 3))
             assert any((change & mask).bit_count() <= t for mask, t in plan)
-    assert simhash.allocate([[5, 9], [1, 2], [1, 50]], 0) == (4.0, [-1, 1, 0]) or simhash.allocate([[5, 9], [1, 2], [1, 50]], 0)[0] == 3.0
+    assert simhash.allocate([[5, 9], [1, 2], [1, 50]], 0) == (3.0, [-1, 1, 0])
 
 
 def test_components_of_paths_and_stars(spark):
@@ -152,7 +152,7 @@ def test_toxicity_finds_stems_and_ignores_identity(spark):
     score = lambda m, t: m.score(t, {})
     gap = lambda m: abs(score(m, "women walk") - score(m, "men walk"))
     assert score(fair, "the vilezz house") > 0.5 > 0.3 > score(fair, "the house of they")
-    assert gap(fair) < 0.01 < gap(free) or gap(free) < 0.01
+    assert gap(fair) < 0.01
     extra = docs_of(spark, [(None, None), (900, ""), (901, "the vilea people " * 5000), (901, "the house")])
     kept = toxicity.without_toxic(docs.unionByName(extra), labels).where("doc_id is null or doc_id >= 900")
     assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == [(900, ""), (901, "the house"), (None, None)]
