@@ -54,7 +54,9 @@ def key_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     sketches of two tables, which may come from different sites. Each is off by ``THETA_ERROR`` of the
     union at most, and exact while both sets have no more keys than a sketch holds. It tells whether a
     comparison by key is worth its shuffle."""
-    both = a.select(F.col("keys").alias("a")).join(b.select(F.col("keys").alias("b")), how="cross")  # one row each
+    none = F.lit(None).cast("binary")
+    both = a.select(F.col("keys").alias("a"), none.alias("b")).unionByName(b.select(none.alias("a"), F.col("keys").alias("b")))
+    both = both.agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))  # of two rows
     size = F.theta_sketch_estimate
     return both.select(
         size("a").alias("source_keys"), size("b").alias("target_keys"), size(F.theta_intersection("a", "b")).alias("common"),
