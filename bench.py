@@ -43,9 +43,19 @@ def main() -> None:
             taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken[1:] or taken), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    rates = {}
+    if "stream_upsert" in seconds:
+        from rowtide.plans.logs import orders_log
+
+        events = orders_log(spark, sf_dir).count()
+        rates["stream_upsert_events_per_s"] = round(events / seconds["stream_upsert"])
+    scanned = {"value_diff": "orders", "fk_orphans": "lineitem", "rate_5m": "events", "session": "events", "latency_percentiles": "events"}
+    for name, table in scanned.items():
+        if name in seconds:
+            rates[f"{name}_mb_per_s"] = round(os.path.getsize(f"{sf_dir}/{table}.parquet") / 1e6 / seconds[name], 2)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": cpus,
+        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": cpus, "rates": rates,
     }))
     spark.stop()
 
