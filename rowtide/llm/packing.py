@@ -27,6 +27,8 @@ from rowtide.llm.common import bytes_of, keep, map_batches, same, table
 SIZE = 2048
 #: The id that ends each document.
 END = 1
+#: Rows that a worker encodes at a time.
+ROWS = 1_000
 #: Buckets that token counts are hashed to, dimensions they are projected to, bits of a grid axis.
 BUCKETS, AXES, GRID = 4096, 3, 10
 
@@ -126,8 +128,13 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
         cols = [batch.column(0), pa.array(hilbert(cells)), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "ids"])
 
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                yield run(batch.slice(start, ROWS))
+
     rows = same(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, lambda b: run(b) if b.num_rows else None, "doc_id long, key long, n long, ids binary")
+    return rows.mapInArrow(few, "doc_id long, key long, n long, ids binary")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
