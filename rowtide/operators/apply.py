@@ -134,7 +134,7 @@ def net_changes(events: DataFrame, key: list[str], from_lsn: int, to_lsn: int) -
     )
     agg = real.groupBy("key").agg(
         F.min_by("op", version()).alias("_first"),
-        F.max_by(F.struct("op", "after", "before", F.col("source.lsn").alias("lsn")), version()).alias("_last"),
+        F.max_by(F.struct("op", "after", F.col("source.lsn").alias("lsn")), version()).alias("_last"),
     )
     born = F.col("_first").isin("c", "r")
     gone = F.col("_last.op") == "d"

@@ -193,19 +193,18 @@ def idle_ms(events: DataFrame, step_s: int, by: list[str], until_us: int) -> Dat
     return points.select(*by, from_micros(F.col("_point")).alias("ts"), idle.alias("idle_ms"))
 
 
-def consumer_lag(end_offsets: DataFrame, committed: DataFrame, subscribed: DataFrame | None = None) -> DataFrame:
+def consumer_lag(end_offsets: DataFrame, committed: DataFrame, subscribed: DataFrame) -> DataFrame:
     """Records a consumer group has not read: end offset minus committed offset, summed.
 
-    ``subscribed(group, topic, partition)`` names what each group reads, by default what it has
-    committed to. A partition without a commit counts as a whole, and one whose end offset is not
-    known makes the lag unknown.
+    ``subscribed(group, topic, partition)`` names what each group reads, beside what it has committed
+    to. A partition without a commit counts as a whole, and one whose end offset is not known makes
+    the lag unknown.
     """
     # No lag passes, below 1000 records warns, anything above fails.
     lag = F.greatest(F.col("end_offset") - F.coalesce("committed", F.lit(0)), F.lit(0))
     out = committed.select("group", "topic", "partition", "committed")
-    if subscribed is not None:
-        reads = subscribed.select("group", "topic", "partition").unionByName(out.drop("committed")).distinct()
-        out = reads.join(out, ["group", "topic", "partition"], "left")
+    reads = subscribed.select("group", "topic", "partition").unionByName(out.drop("committed")).distinct()
+    out = reads.join(out, ["group", "topic", "partition"], "left")
     out = out.join(end_offsets.select("topic", "partition", "end_offset"), ["topic", "partition"], "left")
     unknown = F.max(F.col("end_offset").isNull())
     total = out.groupBy("group").agg(F.when(~unknown, F.sum(lag)).alias("lag"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, StringType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from rowtide.functions.names import matches_whole, routed_name, topic_parts
 
@@ -73,13 +73,18 @@ def _neutral(dtype: DataType) -> Column:
         return F.lit(0).cast(dtype)
     if isinstance(dtype, DateType):
         return F.lit("1970-01-01").cast(dtype)
-    return F.lit("1970-01-01 00:00:00").cast(dtype)
+    if isinstance(dtype, TimestampType | TimestampNTZType):
+        return F.lit("1970-01-01 00:00:00").cast(dtype)
+    if isinstance(dtype, BinaryType):
+        return F.lit("").cast(dtype)
+    raise TypeError(f"no neutral value of type {dtype.simpleString()}")
 
 
 def mask_fields(df: DataFrame, fields: list[str], replacement: str = "") -> DataFrame:
     """Overwrite fields: strings with the replacement, other types with their zero value.
 
-    Null stays null, so masking does not reveal or hide which values are set.
+    Null stays null, so masking does not reveal or hide which values are set. Binary fields become
+    empty; fields of arrays, maps and structs are refused.
     """
     missing = set(fields) - set(df.columns)
     if missing:

@@ -201,9 +201,13 @@ def interval_join(a: DataFrame, b: DataFrame, key: list[str], ta: Column, tb: Co
     Both sides are cut into time slots as long as the interval. Each row of ``b`` lies in one
     slot and each row of ``a`` looks into at most two, so a pair is found exactly once and a
     busy key is spread over its slots. Column names other than the key must differ.
+
+    With ``how`` ``left``, ``right`` or ``full`` the rows of that side that are in no pair follow, with
+    nulls for the other side: a row of ``b`` is looked for in its slot, a row of ``a`` in its first and
+    then in its last one. Rows with a null key or time are in no pair.
     """
-    if how != "inner":
-        raise ValueError("only inner interval joins")
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown interval join {how!r}")
     if high_us < low_us:
         raise ValueError("empty interval")
     slot = max(high_us - low_us, 1)
@@ -214,7 +218,25 @@ def interval_join(a: DataFrame, b: DataFrame, key: list[str], ta: Column, tb: Co
     left = a.withColumn("_slot", F.explode(slots))
     right = b.withColumn("_tb", tb).withColumn("_slot", _start(F.col("_tb"), slot))
     within = F.col("_tb").between(F.col("_ta") + low_us, F.col("_ta") + high_us)
-    return left.join(right, key + ["_slot"]).filter(within).drop("_slot", "_ta", "_tb")
+    out = left.join(right, key + ["_slot"]).filter(within).drop("_slot", "_ta", "_tb")
+    if how in ("left", "full"):
+        lone = a.withColumns({"_first": first, "_last": last})
+        for slot_of in ("_first", "_last"):
+            on = _all_equal([(f"l.{k}", f"r.{k}") for k in [*key]] + [(f"l.{slot_of}", "r._slot")]) & within
+            lone = lone.alias("l").join(right.alias("r"), on, "left_anti")
+        out = out.unionByName(lone.drop("_first", "_last", "_ta"), allowMissingColumns=True)
+    if how in ("right", "full"):
+        on = _all_equal([(f"l.{k}", f"r.{k}") for k in [*key, "_slot"]]) & within
+        lone = right.alias("r").join(left.alias("l"), on, "left_anti")
+        out = out.unionByName(lone.drop("_slot", "_tb"), allowMissingColumns=True)
+    return out
+
+
+def _all_equal(pairs: list[tuple[str, str]]) -> Column:
+    out = F.lit(True)
+    for x, y in pairs:
+        out = out & (F.col(x) == F.col(y))
+    return out
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], tl: Column, tr: Column, cols: list[str],

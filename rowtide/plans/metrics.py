@@ -162,7 +162,7 @@ def consumer_lag(spark, root):
                        (("connect-even", 0), ("connect-near", 100), ("connect-far", 400))])
     committed = ends.select("topic", "partition", "end_offset", F.inline(behind)).select(
         "group", "topic", "partition", (F.col("end_offset") - F.col("behind")).alias("committed"))
-    return tm.consumer_lag(ends, committed)
+    return tm.consumer_lag(ends, committed, committed)
 
 
 def dlq_depth(spark, root):

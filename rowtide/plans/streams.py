@@ -73,6 +73,16 @@ def interval_join(spark, root):
     return out.select("user_id", "click", "purchase")
 
 
+def interval_join_outer(spark, root):
+    """The same with clicks that led to nothing and purchases without a click."""
+    ev = _events(spark, root, stream=False)
+    a = ev.filter(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("ta"))
+    b = ev.filter(F.col("event_type") == "purchase").select(
+        "user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("tb"))
+    out = win.interval_join(a, b, ["user_id"], micros(F.col("ta")), micros(F.col("tb")), 0, seconds(HALF_HOUR), "full")
+    return out.select("user_id", "click", "purchase")
+
+
 def interval_join_stream(spark, root):
     ev = _events(spark, root)
     a = ev.filter(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("ta"))
@@ -178,6 +188,7 @@ QUERIES = {
     "session": session,
     "session_stream": session_stream,
     "interval_join": interval_join,
+    "interval_join_outer": interval_join_outer,
     "interval_join_stream": interval_join_stream,
     "asof_join": asof_join,
     "stream_dedupe": stream_dedupe,
@@ -211,6 +222,10 @@ ORACLE = {
     "session_stream": sql(
         'SELECT user_id, start_us, "rows" AS n, cents FROM x WHERE end_us + '
         f"{GAP_S * 1000000} <= (SELECT max(us) FROM e) // 1000 * 1000 - 600000000", e=_E, x=_SESSIONS),
+    "interval_join_outer": sql("""
+        SELECT * FROM p UNION ALL SELECT user_id, event_id, NULL FROM e WHERE event_type = 'click' AND event_id NOT IN (SELECT click FROM p)
+        UNION ALL SELECT user_id, NULL, event_id FROM e WHERE event_type = 'purchase' AND event_id NOT IN (SELECT purchase FROM p)""",
+                               e=_E, p=_PAIRS),
     "interval_join": sql(_PAIRS, e=_E),
     "interval_join_stream": sql(_PAIRS, e=_E),
     "asof_join": sql("""

@@ -23,6 +23,10 @@ def stream_table(spark: SparkSession, root: str, name: str, **options) -> DataFr
     return reader.parquet(f"{root}/{{{name}}}.parquet")
 
 
+#: Temporary folders of local sessions that name no shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -33,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="rowtide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    run = spark.sparkContext.applicationId
+    if run not in _LOCAL:
+        _LOCAL[run] = tempfile.mkdtemp(prefix="rowtide-")
+    return _LOCAL[run]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -49,6 +49,10 @@ def test_mask_keeps_nulls_and_types(spark):
     assert out.schema == df.schema
     with pytest.raises(ValueError):
         tr.mask_fields(df, ["nope"])
+    odd = spark.createDataFrame([(bytearray(b"x"), [1])], "raw binary, many array<int>")
+    assert bytes(tr.mask_fields(odd, ["raw"]).first().raw) == b""
+    with pytest.raises(TypeError):
+        tr.mask_fields(odd, ["many"])
 
 
 def test_origin_header(spark):

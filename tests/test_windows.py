@@ -177,3 +177,20 @@ def test_intervals_cut_out_like_points(spark, chunk, phase):
     assert sorted(tuple(r) for r in merged.collect()) == sorted(want)
     assert win.cut_out(df, gone.where("false"), ["k"], step, chunk).count() == len(rows)
     assert win.cut_out(df.where("false"), gone, ["k"], step, chunk).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("low, high", [(0, 7), (-5, 5), (3, 3)])
+def test_outer_interval_joins(spark, how, low, high):
+    rng = random.Random(how + str(low))
+    a = [(rng.choice(["x", "y", None]), rng.choice([None, *range(60)]), i) for i in range(40)]
+    b = [(rng.choice(["x", "y", "z"]), rng.choice([None, *range(60)]), 100 + i) for i in range(40)]
+    left, right = spark.createDataFrame(a, "k string, s bigint, i int"), spark.createDataFrame(b, "k string, t bigint, j int")
+    pairs = [(x[0], x[2], y[2]) for x in a for y in b if x[0] == y[0] and None not in (x[0], x[1], y[1]) and x[1] + low <= y[1] <= x[1] + high]
+    want = list(pairs)
+    if how in ("left", "full"):
+        want += [(x[0], x[2], None) for x in a if x[2] not in {p[1] for p in pairs}]
+    if how in ("right", "full"):
+        want += [(y[0], None, y[2]) for y in b if y[2] not in {p[2] for p in pairs}]
+    got = win.interval_join(left, right, ["k"], F.col("s"), F.col("t"), low, high, how)
+    assert sorted(map(tuple, got.select("k", "i", "j").collect()), key=str) == sorted(want, key=str)
