@@ -245,7 +245,8 @@ def merge_batch(spark: SparkSession, path: str, events: DataFrame, key: list[str
     if not added:
         rows = latest(rows, key)
     arrived = f"{staging}/batch={batch_id}-{uuid.uuid4().hex}"
-    rows.withColumn("bucket", key_bucket(key, buckets)).write.partitionBy("bucket").parquet(arrived)
+    # few files for a bucket, unless it is large: adaptive execution merges small partitions and splits large ones
+    rows.withColumn("bucket", key_bucket(key, buckets)).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(arrived)
     hit = versions.partition_bytes(spark, arrived, "bucket")
     try:
         while hit:
