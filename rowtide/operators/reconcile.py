@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.functions.clock import micros
-from rowtide.operators.windows import DAY, cut_out, merge_intervals, next_start
+from rowtide.operators.windows import BUSY, DAY, busy_keys, cut_out, cut_out_whole, lasting, merge_intervals, next_start
 from rowtide.sources.changes import union_all
 
 
@@ -118,7 +118,8 @@ def _held(log: DataFrame, by: list[str], keep: list[str], until: int, chunk: int
     return nexts.where(~F.col("gone")).select(*keep, F.col("at").alias("start_us"), F.least(ends, F.lit(until)).alias("end_us")).where("start_us <= end_us")
 
 
-def fk_violation_intervals(child: DataFrame, parent: DataFrame, ident: list[str], until: int, chunk: int = DAY) -> DataFrame:
+def fk_violation_intervals(child: DataFrame, parent: DataFrame, ident: list[str], until: int, chunk: int = DAY,
+                           busy: int = BUSY) -> DataFrame:
     """When the target held child rows without their parent, from the change logs applied to it.
 
     ``child`` has ``ident``, ``ref``, ``at``, ``seq`` and ``gone``; ``parent`` has ``ref``, ``at``, ``seq`` and
@@ -129,12 +130,21 @@ def fk_violation_intervals(child: DataFrame, parent: DataFrame, ident: list[str]
     violates; a change of the child that keeps its reference does not end an interval.
 
     A point-in-time anti join: what a child's reference interval has beyond all intervals of its parent.
-    Both are cut into chunks of time, so a parent that a third of all rows name is many tasks.
+    Intervals stay whole, so each log crosses the network once by its key and the children once more by
+    what they name. Only keys in hash buckets of more than ``busy`` rows are cut into chunks of time, so
+    a parent that a third of all rows name is many tasks.
     """
-    refs = _held(child, ident, [*ident, "ref"], until, chunk).where("ref is not null")
-    refs = merge_intervals(refs, [*ident, "ref"], 1, chunk).withColumn("_last", F.col("end_us"))
-    there = _held(parent, ["ref"], ["ref"], until, chunk)
-    bare = cut_out(refs, there, ["ref"], 1, chunk)
+    kind = child.select("ref").union(parent.select("ref")).schema["ref"].dataType  # equal references hash alike
+    own, named = busy_keys([child], [F.col(c) for c in ident], busy), busy_keys([child, parent], [F.col("ref").cast(kind)], busy)
+    refs = lasting(child if own is None else child.where(~own), ident, ["ref", "gone"], ["seq"], until).where("ref is not null and not gone").drop("gone")
+    if own is not None:
+        often = _held(child.where(own), ident, [*ident, "ref"], until, chunk).where("ref is not null")
+        refs = refs.unionByName(merge_intervals(often, [*ident, "ref"], 1, chunk))
+    refs = refs.withColumn("_last", F.col("end_us"))
+    there = lasting(parent if named is None else parent.where(~named), ["ref"], ["gone"], ["seq"], until).where("not gone").drop("gone")
+    bare = cut_out_whole(refs if named is None else refs.where(~named), there, ["ref"])
+    if named is not None:
+        bare = bare.unionByName(cut_out(refs.where(named), _held(parent.where(named), ["ref"], ["ref"], until, chunk), ["ref"], 1, chunk))
     state = F.when(F.col("end_us") >= until, "open").when(F.col("end_us") == F.col("_last"), "withdrawn").otherwise("healed")
     return bare.select(*ident, "ref", F.col("start_us").alias("since"), F.when(state != "open", F.col("end_us") + 1).alias("till"), state.alias("state"))
 

@@ -8,6 +8,8 @@ chunk length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -184,14 +186,57 @@ def cut_out(df: DataFrame, holes: DataFrame, on: list[str], step_us: int, chunk_
         "_e": F.col("_e") - F.pmod(F.col("_e") - F.col("_phase"), F.lit(step_us)),
     }).filter("_s <= _e")
     gone = split_intervals(merge_intervals(holes, on, step_us, chunk_us), size)
-    gone = gone.groupBy(*on, "_chunk").agg(F.sort_array(F.collect_list(F.struct("_s", "_e"))).alias("_holes"))
-    met = pieces.join(gone, [*on, "_chunk"], "left").withColumn(
+    return merge_intervals(_outside(pieces, gone, [*on, "_chunk"], keys, step_us), keys, step_us, chunk_us)
+
+
+def _outside(pieces: DataFrame, gone: DataFrame, on: list[str], keys: list[str], step_us: int, join: str | None = None) -> DataFrame:
+    """What the intervals ``_s`` to ``_e`` of ``gone``, apart from each other, leave of those of
+    ``pieces`` with equal ``on``: one row ``keys, start_us, end_us`` for each part."""
+    gone = gone.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("_s", "_e"))).alias("_holes"))
+    met = pieces.join(gone.hint(join) if join else gone, on, "left").withColumn(
         "_holes", F.coalesce("_holes", F.expr("cast(array() as array<struct<_s: bigint, _e: bigint>>)")))
     froms = F.concat(F.array("_s"), F.transform("_holes", lambda h: F.greatest(F.col("_s"), h["_e"] + step_us)))
     tos = F.concat(F.transform("_holes", lambda h: F.least(F.col("_e"), h["_s"] - step_us)), F.array("_e"))
     left = F.filter(F.arrays_zip(froms.alias("start_us"), tos.alias("end_us")), lambda x: x["start_us"] <= x["end_us"])
-    rest = met.select(*keys, F.inline(left))
-    return merge_intervals(rest, keys, step_us, chunk_us)
+    return met.select(*keys, F.inline(left))
+
+
+#: Buckets of keys that are counted, and rows from which on a bucket's keys are cut along time.
+BUCKETS, BUSY = 4096, 1 << 20
+
+
+def busy_keys(sides: list[DataFrame], keys: list[Column], busy: int = BUSY) -> Column | None:
+    """Whether a key, ``keys`` on any of the ``sides``, may have so many rows that one task must not order
+    them: true for the keys of hash buckets with more than ``busy`` rows, and more than eight times the
+    average, over all ``sides``; None if there are none. One scan counts the buckets; the numbers of those found are collected, at
+    most an eighth."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    counted = reduce(DataFrame.union, [df.select(bucket.alias("b")) for df in sides]).groupBy("b").count()
+    sizes = counted.agg(F.sum("count").alias("rows"), F.collect_list(F.struct("b", "count")).alias("all"))
+    limit = F.greatest(F.lit(busy), F.col("rows") * 8 / BUCKETS)
+    found = sizes.select(F.filter("all", lambda x: x["count"] > limit)["b"].alias("b")).first()[0]
+    return bucket.isin(found) if found else None
+
+
+def lasting(log: DataFrame, by: list[str], state: list[str], order: list[str], until: int) -> DataFrame:
+    """Intervals ``by, state, start_us, end_us``, ends included, in which a key keeps its state: from the
+    change ``at`` that brought it to the instant before the next change to another one, or to ``until``.
+    Of changes at one instant the last by ``order`` counts. A key is ordered in one task."""
+    w = Window.partitionBy(*by).orderBy("at", *order)
+    now = F.struct(*state)
+    seen = log.where(F.col("at") <= until).withColumn("_next", F.lead("at").over(w)).where("_next is null or _next > at")
+    turns = seen.withColumn("_before", F.lag(now).over(w)).where(~F.col("_before").eqNullSafe(now))
+    ends = F.coalesce(F.lead("at").over(w) - 1, F.lit(until)).cast("bigint")
+    return turns.select(*by, *[c for c in state if c not in by], F.col("at").cast("bigint").alias("start_us"), ends.alias("end_us"))
+
+
+def cut_out_whole(df: DataFrame, holes: DataFrame, on: list[str]) -> DataFrame:
+    """``cut_out`` by whole numbers for holes that lie apart, without cutting intervals into chunks: the
+    rows of equal ``on`` meet in one task. Always by a shuffle: a scan tells too little of how many rows
+    its changes become, and a broadcast once planned is kept."""
+    keys = [c for c in df.columns if c not in ("start_us", "end_us")]
+    pieces, gone = (d.withColumnsRenamed({"start_us": "_s", "end_us": "_e"}) for d in (df, holes))
+    return _outside(pieces, gone, on, keys, 1, "merge")
 
 
 def interval_join(a: DataFrame, b: DataFrame, key: list[str], ta: Column, tb: Column, low_us: int, high_us: int,

@@ -125,6 +125,31 @@ def test_violation_intervals_like_brute_force(spark, seed, chunk):
     assert rc.fk_violation_intervals(c.where("false"), p, ["id"], until).collect() == []
 
 
+@pytest.mark.parametrize("busy", [0, 12])
+def test_violation_intervals_of_busy_keys(spark, busy):
+    """All keys cut along time, and some of them, with a reference of another type on each side."""
+    rng = random.Random(busy)
+    until = 60
+    child = [{"key": rng.choice([1, 1, *range(10)]), "ref": rng.choice([None, 1, 1, *range(6)]), "at": rng.randint(0, 70), "gone": rng.random() < 0.2} for _ in range(60)]
+    parent = [{"key": rng.choice([2, 2, *range(6)]), "at": rng.randint(0, 70), "gone": rng.random() < 0.4} for _ in range(25)]
+    for log in (child, parent):
+        for i, r in enumerate(log):
+            r["seq"] = i
+    c = spark.createDataFrame([(r["key"], r["ref"], r["at"], r["seq"], r["gone"]) for r in child], "id bigint, ref bigint, at bigint, seq int, gone boolean")
+    p = spark.createDataFrame([(r["key"], r["at"], r["seq"], r["gone"]) for r in parent], "ref int, at bigint, seq int, gone boolean")
+    got = rc.fk_violation_intervals(c, p, ["id"], until, 7, busy)
+    assert sorted(((r.id, r.ref, r.since, r.till, r.state) for r in got.collect()), key=str) == brute_violations(child, parent, until)
+
+
+def test_violation_intervals_are_not_cut_without_need(spark):
+    """An interval of a thousand chunks stays one row."""
+    c = spark.createDataFrame([(1, 5, 0, 0, False)], "id bigint, ref bigint, at bigint, seq int, gone boolean")
+    p = spark.createDataFrame([(5, 900, 0, False)], "ref bigint, at bigint, seq int, gone boolean")
+    got = rc.fk_violation_intervals(c, p, ["id"], 1000, 1)
+    assert [tuple(r) for r in got.collect()] == [(1, 5, 0, 900, "healed")]
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def ranges_of(df):
     return sorted((r.partition, r.start, r.end) for r in df.collect())
 
