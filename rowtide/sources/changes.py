@@ -24,6 +24,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from rowtide.functions.names import matches_whole, topic_class
 from rowtide.operators import digests
 from rowtide.sources.profiles import Profile
+from rowtide.sources.tables import stored
+
+#: Parts of a topic's partition that meet the ranges of a replay in tasks of their own.
+SLICES = 64
 
 
 def source_struct(topic: str, lsn, ts: Column, snapshot: bool, seq=0) -> Column:
@@ -147,13 +151,18 @@ def subscribe(events: DataFrame, pattern: str) -> DataFrame:
 def replay(log: DataFrame, ranges: DataFrame) -> DataFrame:
     """Re-read a log between offsets; ``ranges`` has (topic, partition, start, end), end exclusive.
 
-    A null ``start`` means from the earliest record, a null ``end`` up to the latest.
+    A null ``start`` means from the earliest record, a null ``end`` up to the latest. The ranges are stored
+    first, so that Spark knows their size and broadcasts them if they are few, never the log for want of it;
+    if they are many, a partition of the log meets them in ``SLICES`` tasks.
     """
-    r = ranges.select("topic", "partition", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    r = stored(ranges.select("topic", "partition", F.col("start").alias("_start"), F.col("end").alias("_end")), "ranges")
+    r = r.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     inside = (F.col("_start").isNull() | (F.col("offset") >= F.col("_start"))) & (
         F.col("_end").isNull() | (F.col("offset") < F.col("_end"))
     )
-    return log.join(r, ["topic", "partition"]).filter(inside).drop("_start", "_end")
+    rows = log.withColumn("_slice", F.pmod(F.xxhash64("offset"), F.lit(SLICES)).cast("int"))
+    out = rows.join(r, ["topic", "partition", "_slice"]).filter(inside)
+    return out.select(*log.columns)
 
 
 def _edge(log: DataFrame, n: int, newest: bool) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from helpers import event, events
+from helpers import event, events, rows_of
 from rowtide import streaming as st
 from rowtide.functions.types import map_types
 from rowtide.operators import alerts as al
 from rowtide.operators import telemetry
 from rowtide.operators.apply import dedupe_delivery, live, merge_batch, split_documents, table_view
 from rowtide.plans.logs import orders
-from rowtide.sources.changes import snapshot_events
+from rowtide.sources.changes import replay, snapshot_events
 from rowtide.sources.versions import read_state
 
 ROOT = "/root/testdata/sf0.001"
@@ -124,3 +124,19 @@ def test_rules_meet_only_samples_that_fit(spark):
         ("twice", "critical", "", 0.0, False), ("twice", "critical", "", 2.0, False), ("twice", "critical", "", 3.0, True), ("twice", "critical", "y", 3.0, True),
         ("twice", "warning", "", 0.0, False), ("twice", "warning", "", 2.0, False), ("twice", "warning", "", 3.0, False),
     ]
+
+
+def test_replay_never_broadcasts_the_log(spark, tmp_path):
+    """Ranges of unknown size leave the log where it is, however small its files are; rows without an
+    offset, overlapping ranges and open ends count as before."""
+    rows = [("t", p, None if o == 99 else o) for p in (0, 1) for o in range(100)] + [("u", 0, 5), (None, 0, 5)]
+    spark.createDataFrame(rows, "topic string, partition int, offset bigint").write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    ranges = spark.createDataFrame(
+        [("t", 0, 10, 20), ("t", 0, 15, 17), ("t", 1, None, 3), ("t", 1, 98, None), ("u", 0, None, None), (None, 0, None, None)],
+        "topic string, partition int, start bigint, end bigint")
+    got = replay(log, ranges)
+    wanted = [("t", 0, o) for o in (*range(10, 20), 15, 16)] + [("t", 1, o) for o in (0, 1, 2, 98)] + [("u", 0, 5)]
+    assert rows_of(got, ["topic", "partition", "offset"]) == sorted([tuple(r) for r in wanted], key=lambda r: [(x is None, str(x)) for x in r])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
