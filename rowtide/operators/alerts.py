@@ -17,8 +17,9 @@ from rowtide.functions.clock import from_micros, micros, seconds
 from rowtide.functions.labels import label
 from rowtide.functions.names import whole
 from rowtide.operators import telemetry as tm
-from rowtide.operators.windows import DAY, asof_join, cut_out, merge_intervals, merge_runs
+from rowtide.operators.windows import DAY, asof_join, cut_out, merge_intervals, merge_runs, spread
 from rowtide.sources.changes import union_all
+from rowtide.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -143,21 +144,36 @@ def _uses(rules: list[AlertRule]) -> list[dict]:
     return out
 
 
-def _used_by(rows: DataFrame, uses: list[dict], columns: list[str]) -> DataFrame:
-    """Samples joined with the rules that read their metric, where the rule's label conditions hold:
-    ``_rule, ts, node, series, _v, _main``. The rules are a small table; Spark chooses the join."""
-    table = rows.sparkSession.createDataFrame(pa.Table.from_pylist(uses, _USES))
+def _readers(base: DataFrame, uses: list[dict]) -> DataFrame:
+    """What rules read of each series: ``_sid, metric, series`` joined with ``uses``, where the label
+    conditions hold, and ``_gid``, a number for ``_rule, node, member``, what a rule's value is told of.
+
+    Conditions are met once for each series, not for each sample, and what is shuffled or summed later is
+    told by numbers instead of labels. Both tables have a row for each series and use, and are stored.
+    """
+    read = base.filter(F.col("metric").isin(sorted({u["metric"] for u in uses})))
+    series = read.select("metric", "series", F.map_entries("labels").alias("pairs")).distinct()  # by hash, which an aggregate of labels is not
+    series = series.groupBy("metric", "series").agg(F.map_from_entries(F.any_value("pairs")).alias("labels"))
+    series = stored(series.withColumn("_sid", F.monotonically_increasing_id()), "series")
+    table = base.sparkSession.createDataFrame(pa.Table.from_pylist(uses, _USES))
     has = "coalesce(try_element_at(labels, m.name), '')"
-    v = F.expr(f"CASE _of {' '.join(f'WHEN {text(c)} THEN {c}' for c in columns)} END")
+    names = {"node": label(F.col("labels"), "node"), "instance": label(F.col("labels"), "instance")}
     per = "CASE _per WHEN 'series' THEN series WHEN 'instance' THEN instance ELSE '' END"
-    return (
-        rows.join(table, "metric")
+    met = (
+        series.withColumns(names).join(table, "metric")
         .filter(f"forall(_eq, m -> {has} = m.wanted)")
         .filter(f"forall(_regex, m -> {has} rlike m.wanted) AND forall(_not_regex, m -> NOT {has} rlike m.wanted)")
-        .withColumn("_v", v)
-        .filter("NOT _positive OR _v > 0")
-        .selectExpr("_rule", "ts", "IF(_per = '', '', node) AS node", f"{per} AS series", "_v", "_main")
+        .selectExpr("_sid", "metric", "series", "_rule", "IF(_per = '', '', node) AS node", f"{per} AS member", "_of", "_main", "_positive")
     )
+    told = stored(met.select("_rule", "node", "member").distinct().withColumn("_gid", F.monotonically_increasing_id()), "told")
+    same = F.expr("m._rule = t._rule AND m.node = t.node AND m.member <=> t.member")
+    return stored(met.alias("m").join(told.alias("t"), same).select("m.*", "t._gid"), "readers")
+
+
+def _by_series(rows: DataFrame, readers: DataFrame) -> DataFrame:
+    """Samples joined with what tells of their series."""
+    right = readers.withColumnsRenamed({"metric": "_metric", "series": "_series"})
+    return rows.join(right, (F.col("metric") == F.col("_metric")) & F.col("series").eqNullSafe(F.col("_series")))
 
 
 # the rule's value from the sums of a group, by kind
@@ -177,36 +193,45 @@ def _case(column: str, arms: dict[str, str]) -> Column:
 def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us: int = DAY) -> DataFrame:
     """Flags ``alertname, severity, for_s, ts, node, series, value, active`` of all rules.
 
-    The rules are a table that the samples are joined with by metric, so a sample meets only the
+    The rules are a table that the series are joined with by metric, so a sample meets only the
     rules that read it, and neither the passes over the samples nor the size of an expression
     depends on the number of rules. Threshold rules are one pass without a shuffle. Range functions
-    are laid out by series and chunk of time, once per function, and what the samples add to a rule
-    is summed per rule, instant and series, which also replaces the joins between two metrics. Rules
-    that aggregate over series have the empty series and node.
+    are laid out by number of series and chunk of time, once per function, and what the samples add to
+    a rule is summed per rule, instant and series, which also replaces the joins between two metrics.
+    Labels and names come back after that. Rules that aggregate over series have the empty series and node.
     """
     rules = ALERT_RULES if rules is None else rules
-    base = tm.with_series(samples).withColumns(
-        {"node": label(F.col("labels"), "node"), "instance": label(F.col("labels"), "instance")}
-    )
+    base = tm.with_series(samples)
     uses = _uses(rules)
+    readers = _readers(base, uses)
 
     def of(chosen: list[dict]) -> DataFrame:
-        return base.filter(F.col("metric").isin(sorted({u["metric"] for u in chosen})))
+        return base.filter(F.col("metric").isin(sorted({u["metric"] for u in chosen}))).select("metric", "series", "ts", "value")
+
+    def where(chosen: list[dict]) -> DataFrame:
+        return readers.where(F.struct("_rule", "metric", "_of").isin([F.struct(*map(F.lit, (u["_rule"], u["metric"], u["_of"]))) for u in chosen]))
+
+    def values(rows: DataFrame, columns: list[str]) -> DataFrame:
+        v = F.expr(f"CASE _of {' '.join(f'WHEN {text(c)} THEN {c}' for c in columns)} END")
+        return rows.withColumn("_v", v).filter("NOT _positive OR _v > 0").select("_gid", "ts", "_v", "_main")
 
     direct = [u for u in uses if rules[u["_rule"]].kind == "value"]
     plain = [u for u in uses if u["_of"] == "value" and u not in direct]
     out, adds = [], []
     if direct:
-        out.append(_used_by(of(direct), direct, ["value"]).withColumnRenamed("_v", "value").drop("_main"))
+        out.append(_by_series(of(direct), where(direct)).select("_rule", "ts", "node", F.col("member").alias("series"), "value"))
     if plain:
-        adds.append(_used_by(of(plain), plain, ["value"]))
+        adds.append(values(_by_series(of(plain), where(plain)), ["value"]))
     ranged = [u for u in uses if u["_of"] != "value"]
     for fn in sorted({_RANGE_FN[rules[u["_rule"]].kind] for u in ranged}):
         # one layout per function: a frame costs its length for every row, so rows of metrics that
         # do not need it stay out
         mine = [u for u in ranged if _RANGE_FN[rules[u["_rule"]].kind] == fn]
         specs = {u["_of"]: (fn, rules[u["_rule"]].window_s) for u in mine}
-        adds.append(_used_by(tm.range_columns(of(mine), specs, chunk_us=chunk_us), mine, list(specs)))
+        wanted = where(mine)
+        rows = _by_series(of(mine), wanted.select("_sid", "metric", "series").distinct()).select("_sid", "ts", "value")
+        told = wanted.select("_sid", "_gid", "_of", "_main", "_positive")
+        adds.append(values(tm.range_columns(rows, specs, ["_sid"], chunk_us).join(told, "_sid"), list(specs)))
     facts = [
         {"_rule": i, "alertname": r.name, "severity": r.severity, "for_s": r.for_s, "_kind": r.kind, "_op": r.op,
          "_threshold": float(r.threshold)}
@@ -215,9 +240,12 @@ def evaluate(samples: DataFrame, rules: list[AlertRule] | None = None, chunk_us:
     facts = samples.sparkSession.createDataFrame(pa.Table.from_pylist(facts, _FACTS))
     if adds:
         main, other = F.when(F.col("_main"), F.col("_v")), F.when(~F.col("_main"), F.col("_v"))
-        sums = union_all(adds).filter("_v IS NOT NULL").groupBy("_rule", "ts", "node", "series").agg(
+        # hardly any rows share an instant before the shuffle, so a sum there would only hold them all
+        added = spread(union_all(adds).filter("_v IS NOT NULL"), ["_gid", "ts"])
+        sums = added.groupBy("_gid", "ts").agg(
             F.sum(main).alias("_sum"), F.avg(main).alias("_avg"), F.max(main).alias("_max"), F.max(other).alias("_other"))
-        whole_ = sums.filter("_max IS NOT NULL").join(facts.select("_rule", "_kind"), "_rule")
+        told = readers.select("_gid", "_rule", "node", F.col("member").alias("series")).distinct()
+        whole_ = sums.filter("_max IS NOT NULL").join(told, "_gid").join(facts.select("_rule", "_kind"), "_rule")
         whole_ = whole_.filter("_kind <> 'used' OR _other IS NOT NULL")
         out.append(whole_.select("_rule", "ts", "node", "series", _case("_kind", _GROUPED).alias("value")))
     met = _case("_op", {k: f"value {v} _threshold" for k, v in _OPS.items()})

@@ -22,6 +22,12 @@ def _start(t: Column, size: int) -> Column:
     return t - F.pmod(t, F.lit(size))
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows by hash in ``spark.sql.shuffle.partitions`` tasks, however small they are: adaptive execution
+    would join them by their compressed size, and rows of a few series are many times larger in memory."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def grid_points(df: DataFrame, first: Column, last: Column, step_us: int, name: str) -> DataFrame:
     """One row per grid point from ``first`` to ``last``. Done in blocks, so that an interval of
     years does not become one huge array."""
@@ -54,6 +60,7 @@ class Frames:
         self.rows = base.select("*", F.inline(places))
         if carry:
             self.rows = self.rows.unionByName(self._carried(base, home, size, carry), allowMissingColumns=True)
+        self.rows = spread(self.rows, [*by, "_chunk"])
 
     def _carried(self, base: DataFrame, home: Column, size: int, carry: list[str]) -> DataFrame:
         by, t = self.by, F.col("_t")

@@ -11,7 +11,7 @@ from rowtide.functions.types import map_types
 from rowtide.operators import alerts as al
 from rowtide.operators import telemetry
 from rowtide.operators.apply import dedupe_delivery, live, merge_batch, split_documents, table_view
-from rowtide.plans.logs import orders
+from rowtide.plans.logs import orders, scrape
 from rowtide.sources.changes import replay, snapshot_events
 from rowtide.sources.versions import read_state
 
@@ -140,3 +140,12 @@ def test_replay_never_broadcasts_the_log(spark, tmp_path):
     assert rows_of(got, ["topic", "partition", "offset"]) == sorted([tuple(r) for r in wanted], key=lambda r: [(x is None, str(x)) for x in r])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
+def test_rules_meet_series_and_frames_carry_numbers(spark):
+    """Label conditions are not read for each sample, and what is laid out in time has neither labels nor
+    names, in as many tasks as the session shuffles to."""
+    plan = al.evaluate(scrape(spark, ROOT))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "try_element_at" not in plan.lower()
+    frames = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(frames) >= 4 and not any("series" in line or "metric" in line for line in frames)
