@@ -59,33 +59,87 @@ def words(text: str | None) -> Counter:
     return Counter((_LETTERS if BEYOND_LATIN.search(low) else _LATIN).findall(low))
 
 
-def lookup(probability: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
-    """Pieces with their probabilities, and with null every beginning of a piece that is none itself."""
-    out: dict[str, tuple[float, ...] | None] = {p[:n]: None for p in probability for n in range(1, len(p))}
-    return {**out, **probability}
+#: Languages up to which the sums of all are added up in one walk over a word.
+ABREAST = 4
+#: A piece's probabilities, at least ``ABREAST``, or null for a beginning that is none itself, and by character what goes on.
+Node = list
 
 
-def forward(word: str, known: dict[str, tuple[float, ...] | None], languages: int) -> list[float]:
+def lookup(probability: dict[str, tuple[float, ...]]) -> dict[str, Node]:
+    """Pieces with their probabilities, by one character after the other."""
+    root: dict[str, Node] = {}
+    for piece, p in probability.items():
+        level = root
+        for ch in piece[:-1]:
+            level = level.setdefault(ch, [None, {}])[1]
+        level.setdefault(piece[-1], [None, {}])[0] = (*p, *[0.0] * (ABREAST - len(p)))
+    return root
+
+
+def forward(word: str, known: dict[str, Node], languages: int) -> list[float]:
     """Log probability of a word in each language, over all its segmentations; ``known`` is a ``lookup``."""
     s = "▁" + word
     n = len(s)
-    unknown = (UNKNOWN,) * languages
-    edges = []
+    edges = None
+    if languages > ABREAST:
+        edges = _edges(s, known, languages)
+        totals = [_total(n, edges, lang) for lang in range(languages)]
+    else:
+        totals = _totals(s, known)[:languages]
+    if min(totals, default=1.0) <= _SMALL:
+        edges = edges or _edges(s, known, languages)
+    return [log(x) if x > _SMALL else scaled(n, edges, lang) for lang, x in enumerate(totals)]
+
+
+def _totals(s: str, known: dict[str, Node]) -> list[float]:
+    """The sum over all segmentations in each of ``ABREAST`` languages."""
+    n = len(s)
+    unknown = (UNKNOWN,) * ABREAST
+    a, b, c, d = ([1.0] + [0.0] * n for _ in range(ABREAST))
     for j in range(n):
-        for i in range(j + 1, n + 1):
-            p = known.get(s[j:i], False)
-            if p:
-                edges.append((j, i, p))
-            elif i == j + 1:
-                edges.append((j, i, unknown))
-            if p is False:
+        w, x, y, z = a[j], b[j], c[j], d[j]
+        node, i = known.get(s[j]), j + 1
+        e, f, g, h = node and node[0] or unknown
+        a[i] += w * e
+        b[i] += x * f
+        c[i] += y * g
+        d[i] += z * h
+        if not node:
+            continue
+        for ch in s[i:]:
+            node = node[1].get(ch)
+            if node is None:
+                break
+            i += 1
+            if node[0]:
+                e, f, g, h = node[0]
+                a[i] += w * e
+                b[i] += x * f
+                c[i] += y * g
+                d[i] += z * h
+    return [a[n], b[n], c[n], d[n]]
+
+
+def _total(n: int, edges: list[tuple[int, int, tuple[float, ...]]], lang: int) -> float:
+    sums = [1.0] + [0.0] * n
+    for j, i, p in edges:
+        sums[i] += sums[j] * p[lang]
+    return sums[n]
+
+
+def _edges(s: str, known: dict[str, Node], languages: int) -> list[tuple[int, int, tuple[float, ...]]]:
+    """The pieces of a word, from where to where, with their probabilities."""
+    out, unknown = [], (UNKNOWN,) * languages
+    for j in range(len(s)):
+        node, i = known.get(s[j]), j + 1
+        out.append((j, i, node and node[0] or unknown))
+        for ch in s[i:] if node else "":
+            node = node[1].get(ch)
+            if node is None:
                 break
-    out = []
-    for lang in range(languages):
-        sums = [1.0] + [0.0] * n
-        for j, i, p in edges:
-            sums[i] += sums[j] * p[lang]
-        out.append(log(sums[n]) if sums[n] > _SMALL else scaled(n, edges, lang))
+            i += 1
+            if node[0]:
+                out.append((j, i, node[0]))
     return out
 
 
@@ -144,7 +198,7 @@ class Model:
 
     def __init__(self, languages: list[str], probability: dict[str, tuple[float, ...]]) -> None:
         self.languages, self.probability = languages, probability
-        self.known: dict[str, tuple[float, ...] | None] = {}
+        self.known: dict[str, Node] = {}
         self.memo: dict[str, int] = {}
         self.logs = np.zeros((0, len(languages)))
 

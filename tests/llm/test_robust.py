@@ -134,3 +134,13 @@ def test_archive_addresses(monkeypatch):
     for address in ("s3a://bucket/a/b.zst", "s3n://b/c", "hdfs://host/x", "file:///tmp/x", "/tmp/x"):
         warc._filesystem(address)
     assert asked == ["s3://bucket/a/b.zst", "s3://b/c", "hdfs://host/x", "file:///tmp/x", "/tmp/x"]
+
+
+def test_sums_abreast_equal_sums_one_by_one():
+    """Up to four languages are added up in one walk, more over the edges: the same numbers, also where they get very small."""
+    pieces = {"▁": (0.1, 0.2, 0.3, 0.1, 0.2), "▁ab": (0.2, 0.1, 0.1, 0.3, 0.1), "a": (0.1,) * 5, "ba": (0.05, 0.1, 0.2, 0.1, 0.3), "b": (0.2, 0.1, 0.1, 0.1, 0.1)}
+    five = language.lookup(pieces)
+    for n in (1, 3, 4):
+        few = language.lookup({p: x[:n] for p, x in pieces.items()})
+        for word in ("abab", "q", "bq" * 3, "ab" * 900, ""):
+            assert language.forward(word, few, n) == language.forward(word, five, 5)[:n]
