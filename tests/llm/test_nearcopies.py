@@ -7,6 +7,8 @@ import random
 import re
 import sys
 
+import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -96,3 +98,68 @@ def test_an_id_with_two_texts_loses_only_the_copy(spark, first_of_each):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     got = first_of_each(docs_of(spark, [(1, a), (2, a), (2, b), (3, b), (3, None), (None, a)]))
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (3, None), (None, a)], key=str)
+
+
+def test_votes_and_the_surest_bits():
+    hashes = np.random.default_rng(1).integers(0, 2**64, 700, np.uint64)
+    for n in (1, 11, 12, 40, 700):
+        words = (hashes[:n, None] ^ nearcopies._FLIP) * nearcopies._ODD
+        words ^= words >> np.uint64(32)
+        ones = np.array([[(words[:, w] >> np.uint64(b) & np.uint64(1)).sum() for b in range(64)] for w in (0, 1, 95)], np.int64)
+        assert (nearcopies.votes(hashes[:n])[[0, 1, 95]] == ones).all()
+        told = nearcopies.mark(hashes[:n])
+        bits = [int(2 * x > n) for x in ones[:2].ravel()]
+        assert int.from_bytes(told[:16], "little") == sum(b << i for i, b in enumerate(bits))
+        place, value = divmod(told[16 + 95], 2)
+        lead = 2 * ones[2] - n
+        assert abs(lead[place]) == abs(lead).max() and value == (lead[place] > 0)
+    assert nearcopies.mark(hashes[:0]) == b""
+
+
+@pytest.mark.parametrize("common, apart", [(4, 1), (16, 4), (40, 10), (320, 80)])
+def test_similar_sets_share_a_key_of_their_fingerprints(common, apart):
+    rng = np.random.default_rng(common)
+    for _ in range(40):  # at 0.8 exactly, the hardest
+        found = rng.integers(0, 2**64, common + apart, np.uint64)
+        x, y = nearcopies.mark(found), nearcopies.mark(found[:common])
+        a, b = nearcopies.keys_of([x, y])
+        assert (a == b).any()
+        assert sum((i ^ j).bit_count() for i, j in zip(x[:16], y[:16])) <= nearcopies.NEAR
+
+
+@pytest.mark.parametrize("most", [3, 48])
+def test_a_key_is_divided_like_brute_force(monkeypatch, most):
+    monkeypatch.setattr(nearcopies, "SMALL", most)
+    rng, rows = random.Random(5), []
+    for key in range(6):
+        for _ in range(5):
+            bits = rng.getrandbits(128)
+            for _ in range(rng.randint(1, 5)):
+                rows.append((key, len(rows), 7, bits.to_bytes(16, "little")))
+                for b in rng.sample(range(128), 30):
+                    bits ^= 1 << b
+    rng.shuffle(rows)
+    part = {r[1]: r[1] for r in rows}
+    near = lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= nearcopies.NEAR
+    pairs = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and near(a[3], b[3])]
+    for _ in range(30):
+        for i, j in pairs:
+            part[i] = part[j] = min(part[i], part[j])
+    lone = [i for i, p in part.items() if list(part.values()).count(p) == 1]
+    got = nearcopies._divide(pd.DataFrame(rows, columns=["key", "sid", "size", "bits"]))
+    assert {r.sid: r.part for r in got.itertuples()} == {i: p for i, p in part.items() if i not in lone}
+
+
+@pytest.mark.parametrize("bucket_rows", [2**17, 2])
+def test_what_is_compared_meets_by_its_fingerprint(spark, bucket_rows):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, (20, 300), np.uint64)
+    sets = [s for x in base for s in (x, x[:245], np.append(x[30:], rng.integers(0, 2**64, 30, np.uint64)))]
+    rows = [(i, len(s), nearcopies.mark(s)) for i, s in enumerate(sets)] + [(99, 0, b"")]
+    met = nearcopies._meet(spark.createDataFrame(rows, "sid long, size int, mark binary"), bucket_rows, 50)
+    together = {}
+    for r in met.collect():
+        together.setdefault(r.key, set()).add(r.sid)
+    for i in range(0, 60, 3):
+        assert any({i, i + 1} <= s for s in together.values()) and any({i, i + 2} <= s for s in together.values())
+    assert all(len({i // 3 for i in s}) == 1 for s in together.values()) and 99 not in set().union(*together.values())
