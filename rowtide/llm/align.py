@@ -39,7 +39,7 @@ from rowtide.llm.common import keep, map_batches, same, table
 #: Links in a chunk of documents, about; any value gives the same result.
 CHUNK_LINKS = 1_000_000
 #: Stretches between blanks that a worker remembers, and the longest; they never affect results.
-REMEMBERED, MEMO_CHARS = 200_000, 48
+REMEMBERED, MEMO_CHARS = 300_000, 48
 #: Stretches above this length are encoded alone.
 LONG = 1000
 
@@ -68,8 +68,11 @@ class Coders:
         if any(re.search("[^▁]▁", p) for p in names):
             raise ValueError("a piece runs across the beginning of a word")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
-        #: Every id of either side as text, with what follows it in a list of groups.
-        self.texts = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(n)]
+        #: Every id of either side as text, with what follows it in a list of groups, in eight bytes each.
+        texts = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(n)]
+        if max(map(len, texts)) > 8:
+            raise ValueError("an id has more than seven digits")
+        self.texts = np.array(texts, "S8").view(np.uint64)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
@@ -148,7 +151,7 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
     a, b = a_ends.tolist(), b_ends.tolist()
     a_raw, b_raw, width = a_ends.tobytes(), b_ends.tobytes(), a_ends.itemsize
     n, m, i, j = len(a), len(b), 0, 0
-    a_inner, b_inner, a_links, b_links = [], [], [], []  # tokens that do not end their group; links of irregular groups
+    steps = bytearray()  # one for each link: 1 if its first token ends there, 2 if its second, 3 if both
     while i < n:
         left = min(n - i, m - j)
         run, step = 0, 4
@@ -161,48 +164,40 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
             step *= 2
         else:
             step = 1
-        if step > 4:  # halve it: the first difference is among the next ``step``
-            while step > 4:
-                step = (step + 1) // 2
-                x, y = i + run, j + run
-                if a_raw[x * width : (x + step) * width] == b_raw[y * width : (y + step) * width]:
-                    run += step
+        while step > 4:  # halve it: the first difference is among the next ``step``
+            step = (step + 1) // 2
+            x, y = i + run, j + run
+            if a_raw[x * width : (x + step) * width] == b_raw[y * width : (y + step) * width]:
+                run += step
         x, y = i + run, j + run
         while x < n and y < m and a[x] == b[y]:  # and the last few one by one
             x, y = x + 1, y + 1
-        run = x - i
-        i, j = i + run, j + run
+        steps += b"\3" * (x - i)
+        i, j = x, y
         if i == n:
             break
         at, bt = a[i], b[j]
-        while True:  # step through until both end together
-            a_links.append(i)
-            b_links.append(j)
+        while at != bt:  # step through until both end together
             if at < bt:
-                a_inner.append(i)
+                steps.append(1)
                 i += 1
                 at = a[i]
-            elif bt < at:
-                b_inner.append(j)
+            else:
+                steps.append(2)
                 j += 1
                 bt = b[j]
-            else:
-                break
+        steps.append(3)
         i, j = i + 1, j + 1
-    a_last, b_last = np.ones(n, bool), np.ones(m, bool)
-    a_last[a_inner], b_last[b_inner] = False, False
-    a_cuts, b_cuts = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
-    single = (np.diff(a_cuts, prepend=0) == 1) & (np.diff(b_cuts, prepend=0) == 1)
-    seen = np.zeros(n, bool)
-    seen[a_links] = True  # the last token of a group of two single ones can be among the links already
-    single &= ~seen[a_cuts - 1] if n else single
-    return Aligned(a_cuts, b_cuts, np.append(a_links, a_cuts[single] - 1).astype(np.int64), np.append(b_links, b_cuts[single] - 1).astype(np.int64))
+    told = np.frombuffer(steps, np.uint8)
+    a_after, b_after = np.cumsum(told & 1, dtype=np.int64), np.cumsum(told >> 1, dtype=np.int64)
+    both = told == 3
+    return Aligned(a_after[both], b_after[both], a_after - (told & 1), b_after - (told >> 1))
 
 
-def group_text(coder: Coders, a: np.ndarray, b: np.ndarray, found: Aligned) -> str:
+def group_text(coder: Coders, a: np.ndarray, b: np.ndarray, found: Aligned) -> bytes:
     """Groups as decimal ids: ``a1,a2|b1;a3|b2``."""
     if not len(a):
-        return ""
+        return b""
     na, nb = len(coder.a_bytes), len(coder.b_bytes)
     a_text, b_text = a.astype(np.int64), b.astype(np.int64) + 2 * na
     a_text[found.a_cuts - 1] += na
@@ -213,7 +208,8 @@ def group_text(coder: Coders, a: np.ndarray, b: np.ndarray, found: Aligned) -> s
     out[np.arange(len(a)) + np.repeat(found.b_cuts - b_size, a_size)] = a_text
     out[np.arange(len(b)) + np.repeat(found.a_cuts, b_size)] = b_text
     assert groups == len(found.b_cuts)
-    return "".join(map(coder.texts.__getitem__, out.tolist()))[:-1]
+    text = coder.texts[out].view(np.uint8)
+    return text[text != 0][:-1].tobytes()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -263,7 +259,7 @@ def _linked(docs: DataFrame, paths: tuple[str, str, str], chunk_links: int) -> D
                 a, b = coder.ids(text) if text else (np.array([], np.int32),) * 2
                 found = align(np.cumsum(coder.a_sizes[a]), np.cumsum(coder.b_sizes[b]))
                 pairs, counts = np.unique(a[found.a_links].astype(np.int64) << 32 | b[found.b_links], return_counts=True)
-                told = sha256(group_text(coder, a, b, found).encode()).hexdigest() if len(a) else ""
+                told = sha256(group_text(coder, a, b, found)).hexdigest() if len(a) else ""
                 links = len(found.a_links)
                 rows.append((len(a), len(b), len(found.a_cuts), links, told, chunk, _pack(np.diff(pairs, prepend=0)), _pack(counts)))
                 filled += links

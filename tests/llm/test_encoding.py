@@ -132,6 +132,16 @@ def test_runs_and_irregular_groups(seed):
     assert sorted(zip(found.a_links.tolist(), found.b_links.tolist())) == brute_links(a, b)
 
 
+def test_links_come_in_order_and_groups_as_bytes(coders):
+    found = align.align(np.array([1, 2, 5, 6, 9]), np.array([1, 3, 4, 5, 6, 8, 9]))
+    assert list(zip(found.a_links.tolist(), found.b_links.tolist())) == [(0, 0), (1, 1), (2, 1), (2, 2), (2, 3), (3, 4), (4, 5), (4, 6)]
+    a, b = coders.ids("Ein Wort, zwei längere Wortungetüme  und\n42")
+    found = align.align(np.cumsum(coders.a_sizes[a]), np.cumsum(coders.b_sizes[b]))
+    cuts = list(zip(found.a_cuts.tolist(), found.b_cuts.tolist()))
+    assert align.group_text(coders, a, b, found) == plain_groups(a.tolist(), b.tolist(), cuts).encode()
+    assert len(coders.a_bytes) > 40_000 and len(cuts) > 5
+
+
 def test_no_tokens_no_groups():
     empty = np.array([], np.int64)
     assert all(len(x) == 0 for x in align.align(empty, empty))
