@@ -81,6 +81,36 @@ def test_kept_like_brute_force(spark, make, seed):
     assert nearcopies.first_of_each(docs_of(spark, rows).where("false")).collect() == []
 
 
+def family(n, seed):
+    """Copies of one text with a few changed words: some pairs above the threshold, most just below."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        text = [f"b{k}" for k in range(150)]
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            text[at] = f"v{at}.{rng.randint(0, 2)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_a_set_of_a_family_is_filed_under_few_hubs(spark, monkeypatch):
+    filed, rows = [], family(240, 6)
+    file = nearcopies._filed
+    monkeypatch.setattr(nearcopies, "_filed", lambda *args: filed.append(file(*args)) or filed[-1])
+    got = nearcopies.first_of_each(docs_of(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_kept(rows)
+    hubs = filed[0].select("a", "b").distinct().groupBy("a").count()
+    assert not hubs.where("count > 3").count()
+    assert filed[0].count() < 20 * len(rows)
+
+
+def test_a_large_component_is_not_paired_with_itself(spark):
+    """In one file: a component of 50 sets, two others of one set, and one with too little left there."""
+    sets = [(i, 1, 30, 0, 10, 10, 7) for i in range(50)] + [(60, 1, 30, 60, 10, 10, 7), (61, 1, 30, 61, 10, 10, 7), (62, 1, 30, 62, 10, 2, 7)]
+    filed = spark.createDataFrame(sets, "a long, b long, size int, root long, d int, rest int, e long")
+    got = {(r.a, r.b) for r in nearcopies._meeting(filed, 0.8).collect()}
+    assert got == {(i, j) for i in range(50) for j in (60, 61)} | {(60, 61)}
+
+
 def test_stage_drops_copies_that_fingerprints_miss(spark):
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 400)}" for _ in range(200)]
