@@ -111,6 +111,15 @@ def test_a_large_component_is_not_paired_with_itself(spark):
     assert got == {(i, j) for i in range(50) for j in (60, 61)} | {(60, 61)}
 
 
+def test_later_links_join_components(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, root long")
+    found = spark.createDataFrame([(2, 6), (6, 20), (30, 31)], "a long, b long")
+    groups = {}
+    for r in nearcopies._joined(roots, found).collect():
+        groups.setdefault(r.root, []).append(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 5, 6, 20], [8, 9], [30, 31]]
+
+
 def test_stage_drops_copies_that_fingerprints_miss(spark):
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 400)}" for _ in range(200)]
